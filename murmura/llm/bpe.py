@@ -172,7 +172,7 @@ def decode_column(df: DataFrame, path: str, ids_col: str = "ids", text_col: str
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
         bpe = load(path)
-        return pd.Series(["" if x is None else bpe.decode(x.tolist()) for x in ids], dtype=object)
+        return pd.Series(["" if x is None else bpe.decode(x) for x in ids], dtype=object)
 
     return df.withColumn(text_col, decode(F.col(ids_col)))
 
