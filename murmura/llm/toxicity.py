@@ -36,7 +36,7 @@ WINDOW, STRIDE = 48, 36
 MIN_TEXTS = 5
 _DECAY = 0.05
 _WIDTH, _HIDDEN = 12, 8
-_KEEP = 200_000
+_KEEP = 400_000
 _STEP = 4096  # windows scored at a time
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}']+")
 
@@ -176,7 +176,9 @@ class Words:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.projected = self.network.project(np.zeros((1, _WIDTH), np.float32))
+        first = self.network.project(np.zeros((1, _WIDTH), np.float32))
+        self.projected, self.used = np.empty((1 << 14, *first.shape[1:]), np.float32), 1
+        self.projected[0] = first[0]
 
     def learn(self, found: set[str]) -> None:
         new = [x for x in found if x not in self.place]
@@ -185,12 +187,15 @@ class Words:
             new = list(found)
         if not new:
             return
-        n, table = len(self.projected), self.network.w["table"]
+        n, table = self.used, self.network.w["table"]
         rows = list(map(self.network.rows_of, new))
         sizes = np.array(list(map(len, rows)))
         vectors = np.add.reduceat(table[np.fromiter(itertools.chain.from_iterable(rows), np.int64, int(sizes.sum()))], np.cumsum(sizes) - sizes)
         self.place.update(zip(new, range(n, n + len(new))))
-        self.projected = np.concatenate([self.projected, self.network.project(vectors)])
+        self.used += len(new)
+        while self.used > len(self.projected):
+            self.projected = np.concatenate([self.projected, np.empty_like(self.projected)])
+        self.projected[n : self.used] = self.network.project(vectors)
 
 
 def window_grid(places: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
