@@ -80,9 +80,10 @@ def nearest(df: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id
     queries = rows.where(is_query)
     n_rows, n_queries = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     tiles, blocks = max(1, math.ceil(n_rows / tile_rows)), max(1, math.ceil(n_queries / block_rows))
+    # both sides' keys must have one type: cogroup deals rows by the keys' hashes, which differ between int and long
     place = F.xxhash64("vec_id", "v")
-    right = rows.select("vec_id", "v", "width", F.pmod(place, F.lit(tiles)).alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    left = queries.select("vec_id", "v", "width", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.pmod(F.xxhash64(place), F.lit(blocks)).alias("block"))
+    right = rows.select("vec_id", "v", "width", F.pmod(place, F.lit(tiles)).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    left = queries.select("vec_id", "v", "width", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.pmod(F.xxhash64(place), F.lit(blocks)).cast("int").alias("block"))
 
     def join(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         found = []

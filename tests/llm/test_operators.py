@@ -125,7 +125,14 @@ def test_digests(spark):
 # -- 4
 
 
-def test_nearest_against_brute_force(spark):
+@pytest.fixture
+def many_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_nearest_against_brute_force(spark, many_partitions):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(240, 7)).astype("float32")
     x[100:160] = x[100]
