@@ -180,11 +180,14 @@ def grd_slices(spark, sf):
 
 @_R.add("pipeline_private_retrieval")
 def pipeline(spark, sf):
-    """Documents to chunks, scores, noise and nearest chunks: hashed term vectors stand in for an embedding model."""
+    """Documents to chunks, scores, noise and nearest chunks: hashed term vectors stand in for an embedding model.
+
+    Queries are all chunks of the documents whose id 20 divides.
+    """
     ship(spark)
     chunks = C.sliding(table(spark, sf, "documents"), 1000, 200).withColumn("p", S.profile(F.col("content")))
     embedded = chunks.withColumn("vec", embed_terms(C.distinct_terms(F.col("content"))))
-    rows = embedded.select((F.col("doc_id") * 100000 + F.col("chunk_id")).alias("row_id"), F.col("p.raw_score").alias("raw"), "vec")
+    rows = embedded.select("doc_id", (F.col("doc_id") * 100000 + F.col("chunk_id")).alias("row_id"), F.col("p.raw_score").alias("raw"), "vec")
     safe = N.apply_noise(N.calibrate(rows, "raw"), "row_id", "vec", "sigma").select(F.col("row_id").alias("doc_id"), V.normalize(F.col("noised")).alias("vec"))
-    queries = rows.where("row_id % 2000000 = 0").select(F.col("row_id").alias("query_id"), "vec")
+    queries = rows.where("doc_id % 20 = 0").select(F.col("row_id").alias("query_id"), "vec")
     return R.top_k(queries, safe, 3)

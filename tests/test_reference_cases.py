@@ -103,3 +103,13 @@ def test_streaming_ingest(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("One sentence. Another one!", encoding="utf-8")
     ingest.start(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 1
+
+
+def test_all_chunks_of_every_twentieth_document_are_queries(spark):
+    from murmura.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 20 = 0")
+    want = {r.doc_id * 100000 + r.chunk_id for r in C.sliding(docs, 1000, 200).collect()}
+    found = registry.queries()["pipeline_private_retrieval"](spark, sf).collect()
+    assert {r.query_id for r in found} == want and len(found) == 3 * len(want) and any(i % 100000 for i in want)
