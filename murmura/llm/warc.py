@@ -34,6 +34,8 @@ RECORD_SCHEMA = (
 _VERSION = b"WARC/1."
 _MAGIC = b"\x1f\x8b\x08"
 _FEED = 1 << 16
+#: A version line is 'WARC/1.1'; header fields after it may be of any length.
+_VERSION_LINE = 16
 _DATE = "2000-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -72,15 +74,21 @@ def _parse(buf: bytes, at: int) -> tuple[dict, int]:
     """The record at a position of plain bytes and where it ends."""
     if buf[at : at + len(_VERSION)] != _VERSION:
         raise Damaged("no version line")
-    end = buf.find(b"\r\n\r\n", at, at + (1 << 16))
+    end = buf.find(b"\r\n", at, at + _VERSION_LINE)
     if end < 0:
-        raise Damaged("header without end")
+        raise Damaged("version line without end")
     head: dict[str, str] = {}
-    for line in bytes(buf[at:end]).split(b"\r\n")[1:]:
-        key, colon, value = line.partition(b":")
+    while buf[end : end + 4] != b"\r\n\r\n":
+        line_at, end = end + 2, buf.find(b"\r\n", end + 2)
+        if end < 0:
+            raise Damaged("header without end")
+        key, colon, value = bytes(buf[line_at:end]).partition(b":")
         if not colon:
             raise Damaged("header field without colon")
-        head[key.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        name = key.decode("latin-1").strip().lower()
+        if name == "warc-type" and name in head:
+            raise Damaged("header runs into another")
+        head[name] = value.decode("utf-8", "replace").strip()
     size = head.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         raise Damaged("no content length")

@@ -67,6 +67,16 @@ def test_pages_round_trip(spark):
     assert warc.read_archives(warc.write_archives(warc.mark_revisits(pages.limit(0)))).count() == 0
 
 
+def test_records_with_long_urls_are_read_back(spark):
+    urls = ["http://a/" + "日" * 100_000, "http://a/" + "x" * 100_000, "http://a/ WARC/1.1\r\n\r\n"]
+    pages = spark.createDataFrame([(i, u, "text") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    out = warc.read_archives(warc.write_archives(warc.mark_revisits(pages))).collect()
+    assert {(r.kind, r.page_id, r.target_uri) for r in out} == {("record", i, u) for i, u in enumerate(urls)}
+    plain = [warc.record(i, u, b"p", hashlib.sha256(b"p").hexdigest(), 1, None) for i, u in enumerate(urls)]
+    assert found(b"".join(plain))[0] == [0, 1, 2]
+    assert found(plain[0][:500_000] + plain[1]) == ([1], [(0, 500_000)])
+
+
 # -- 2
 
 
