@@ -2,7 +2,8 @@
 
 Inputs. A word's vector is the sum of a row for the word and rows for its characters: its beginnings
 and ends of 3 to 5 characters and its runs of 3, as far as MIN_TEXTS training texts have them. So
-unknown forms of known stems are near them, and what is rare carries no weight. A text's words are scored in windows of WINDOW words, each STRIDE words on from
+unknown forms of known stems are near them, and what is rare carries no weight. Runs of over 40 characters, as in texts without blanks, are cut into
+pieces of up to 40, each beginning 20 after the last one. A text's words are scored in windows of WINDOW words, each STRIDE words on from
 the last one; all windows count, and the highest is the text's score.
 
 Network. Two gated recurrent units read a window in both directions; a learned attention weighs their
@@ -38,16 +39,25 @@ _DECAY = 0.05
 _WIDTH, _HIDDEN = 12, 8
 _KEEP = 400_000
 _STEP = 4096  # windows scored at a time
+_PIECE = 40
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}']+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    """Runs of letters, marks, digits and apostrophes; one of over _PIECE characters gives pieces, each half in the next."""
+    found = _WORDS.findall(text.lower())
+    if max(map(len, found), default=0) <= _PIECE:
+        return found
+    return [p for w in found for p in _pieces(w)]
+
+
+def _pieces(word: str) -> list[str]:
+    return [word[i : i + _PIECE] for i in range(0, max(1, len(word) - _PIECE // 2), _PIECE // 2)]
 
 
 def features_of(word: str) -> set[str]:
     """The word and its characters' runs; '<' and '>' mark its ends."""
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     return {w, *(w[: k + 1] for k in (3, 4, 5)), *(w[-k - 1 :] for k in (3, 4)), *(w[i : i + 3] for i in range(len(w) - 2))}
 
 

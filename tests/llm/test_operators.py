@@ -244,6 +244,20 @@ def test_learns_and_reads_whole_texts(spark):
     assert toxicity.train([("a", 1)]) is None and toxicity.Scorer(None).scores(["x"]).tolist() == [0.0]
 
 
+def test_characters_far_inside_a_long_run_count():
+    r = random.Random(3)
+    words = [f"w{a}{b}" for a in "abcdef" for b in "ghijkl"]
+    make = lambda y: "".join(r.choice(words) for _ in range(40)) + ("grobble" if y else "") + "".join(r.choice(words) for _ in range(10))
+    net = toxicity.train([(make(i % 2), i % 2) for i in range(240)], rounds=8)
+    out = toxicity.Scorer(net).scores([make(i % 2) for i in range(40)])
+    assert out[1::2].min() > out[::2].max()
+    for n in (1, 39, 40, 41, 60, 61, 79, 80, 81, 500):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        parts = toxicity.words_of(word)
+        assert max(map(len, parts)) <= 40 and (parts == [word]) == (n <= 40)
+        assert all(any(word[i : i + 20] in p for p in parts) for i in range(n))
+
+
 # -- 8
 
 
