@@ -314,6 +314,16 @@ def test_templates(spark):
     assert line_dedup.drop_recurring_lines(docs.limit(0)).count() == 0
 
 
+def test_pipeline_drops_copies_of_long_lines(spark):
+    import corpus_pipeline
+
+    long, short = " ".join(f"word{chr(97 + i % 26)}{i}" for i in range(50)), " ".join(f"w{i}" for i in range(49))
+    other = " ".join(f"word{chr(97 + i % 26)}{i + 1}" for i in range(50))  # equal when masked
+    texts = [(1, f"one\n{long}"), (2, f"two\n{long}\n{short}"), (3, f"three\n{other}\n{short}"), (4, None), (5, long)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, documents(spark, texts), "").collect()}
+    assert out == {1: texts[0][1], 2: f"two\n{short}", 3: texts[2][1], 4: None}
+
+
 # -- 10
 
 
