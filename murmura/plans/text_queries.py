@@ -140,15 +140,26 @@ _FIND = f"regexp_matches(text, '{_ASCII_EMAIL}') AS e, regexp_matches(text, '{_U
 @_R.add("prv11_prv13_entities", f"""
 WITH f AS (SELECT doc_id, {_FIND}, len(regexp_extract_all(text, '{_ASCII_EMAIL}')) + len(regexp_extract_all(text, '{_URL}')) AS n FROM documents)
 SELECT doc_id, array_to_string(list_filter([CASE WHEN e THEN 'email' END, CASE WHEN u THEN 'url' END], lambda x: x IS NOT NULL), ',') AS entity_types, CAST(n AS INTEGER) AS entity_count FROM f WHERE n > 0""")
-def prv_entities(spark, sf):
+def prv_entities(spark, sf, kinds=("email", "url")):
     t = F.col("text")
-    n = S.entity_count(t, "email") + S.entity_count(t, "url")
-    return _docs(spark, sf).select("doc_id", F.array_join(S.entity_types(t, ("email", "url")), ",").alias("entity_types"), n.alias("entity_count")).where("entity_count > 0")
+    n = sum((S.entity_count(t, k) for k in kinds), F.lit(0))
+    return _docs(spark, sf).select("doc_id", F.array_join(S.entity_types(t, kinds), ",").alias("entity_types"), n.alias("entity_count")).where("entity_count > 0")
+
+
+@_R.add("prv11_prv13_entities_all")
+def prv_entities_all(spark, sf):
+    """With phone numbers, whose look-behind SQL can't express; so are the other queries of this suffix."""
+    return prv_entities(spark, sf, tuple(S.ENTITIES))
 
 
 @_R.add("prv14_redaction", f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{_ASCII_EMAIL}', ' ', 'g'), '{_URL}', ' ', 'g')) AS redacted_md5 FROM documents")
-def prv_redaction(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.md5(S.redact(F.col("text"), ("email", "url"))).alias("redacted_md5"))
+def prv_redaction(spark, sf, kinds=("email", "url")):
+    return _docs(spark, sf).select("doc_id", F.md5(S.redact(F.col("text"), kinds)).alias("redacted_md5"))
+
+
+@_R.add("prv14_redaction_all")
+def prv_redaction_all(spark, sf):
+    return prv_redaction(spark, sf, tuple(S.ENTITIES))
 
 
 @_R.add("prv15_attack_queries")
@@ -164,18 +175,28 @@ WITH f AS (SELECT {_FIND} FROM documents)
 SELECT 'has_email' AS attribute, sum(e::INT)::BIGINT AS positives, sum((NOT e)::INT)::BIGINT AS negatives FROM f
 UNION ALL SELECT 'has_url', sum(u::INT)::BIGINT, sum((NOT u)::INT)::BIGINT FROM f
 UNION ALL SELECT 'has_any_sensitive', sum((e OR u)::INT)::BIGINT, sum((NOT (e OR u))::INT)::BIGINT FROM f""")
-def prv_labels(spark, sf):
-    t = F.col("text")
-    e, u = (t.rlike(S.ENTITIES[k]).cast("int") for k in ("email", "url"))
-    flags = _docs(spark, sf).select(e.alias("has_email"), u.alias("has_url"), F.greatest(e, u).alias("has_any_sensitive"))
-    long = flags.unpivot([], ["has_email", "has_url", "has_any_sensitive"], "attribute", "label")
+def prv_labels(spark, sf, kinds=("email", "url")):
+    found = [F.col("text").rlike(S.ENTITIES[k]).cast("int") for k in kinds]
+    names = [*(f"has_{k}" for k in kinds), "has_any_sensitive"]
+    flags = _docs(spark, sf).select(*[c.alias(n) for c, n in zip([*found, F.greatest(*found)], names)])
+    long = flags.unpivot([], names, "attribute", "label")
     return long.groupBy("attribute").agg(F.sum("label").alias("positives"), F.sum(1 - F.col("label")).alias("negatives"))
 
 
+@_R.add("prv16_prv18_label_counts_all")
+def prv_labels_all(spark, sf):
+    return prv_labels(spark, sf, tuple(S.ENTITIES))
+
+
 @_R.add("prv19_eligible", f"""
 WITH f AS (SELECT {_FIND} FROM documents), c AS (
 SELECT 'has_email' AS attribute, sum(e::INT)::BIGINT AS positives, sum((NOT e)::INT)::BIGINT AS negatives FROM f UNION ALL SELECT 'has_url', sum(u::INT)::BIGINT, sum((NOT u)::INT)::BIGINT FROM f
 UNION ALL SELECT 'has_any_sensitive', sum((e OR u)::INT)::BIGINT, sum((NOT (e OR u))::INT)::BIGINT FROM f)
 SELECT attribute FROM c WHERE positives >= 5 AND negatives >= 5""")
-def prv_eligible(spark, sf):
-    return prv_labels(spark, sf).where("positives >= 5 AND negatives >= 5").select("attribute")
+def prv_eligible(spark, sf, kinds=("email", "url")):
+    return prv_labels(spark, sf, kinds).where("positives >= 5 AND negatives >= 5").select("attribute")
+
+
+@_R.add("prv19_eligible_all")
+def prv_eligible_all(spark, sf):
+    return prv_eligible(spark, sf, tuple(S.ENTITIES))

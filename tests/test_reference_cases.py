@@ -1,4 +1,6 @@
+import hashlib
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +115,24 @@ def test_all_chunks_of_every_twentieth_document_are_queries(spark):
     want = {r.doc_id * 100000 + r.chunk_id for r in C.sliding(docs, 1000, 200).collect()}
     found = registry.queries()["pipeline_private_retrieval"](spark, sf).collect()
     assert {r.query_id for r in found} == want and len(found) == 3 * len(want) and any(i % 100000 for i in want)
+
+
+def test_all_kinds_of_entities_against_brute_force(spark):
+    from murmura.plans import registry
+
+    sf, queries = "/root/testdata/sf0.001", registry.queries()
+    kinds = {k: re.compile(re.sub(r"^\(\?(i?)U\)", lambda m: "(?i)" if m[1] else "", v), re.ASCII if k == "phone" else 0) for k, v in S.ENTITIES.items()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = {d: {k: sum(1 for _ in p.finditer(t)) for k, p in kinds.items()} for d, t in texts.items()}
+    got = {r.doc_id: (r.entity_types, r.entity_count) for r in queries["prv11_prv13_entities_all"](spark, sf).collect()}
+    assert got == {d: (",".join(k for k in kinds if n[k]), sum(n.values())) for d, n in found.items() if any(n.values())}
+    assert any(types == "phone" for types, _ in got.values())
+    clean = {}
+    for d, t in texts.items():
+        for p in kinds.values():
+            t = p.sub(" ", t)
+        clean[d] = hashlib.md5(t.encode()).hexdigest()
+    assert {r.doc_id: r.redacted_md5 for r in queries["prv14_redaction_all"](spark, sf).collect()} == clean
+    flags = {f"has_{k}": [n[k] > 0 for n in found.values()] for k in kinds} | {"has_any_sensitive": [any(n.values()) for n in found.values()]}
+    assert {(r.attribute, r.positives, r.negatives) for r in queries["prv16_prv18_label_counts_all"](spark, sf).collect()} == {(k, sum(v), len(v) - sum(v)) for k, v in flags.items()}
+    assert {r.attribute for r in queries["prv19_eligible_all"](spark, sf).collect()} == {k for k, v in flags.items() if min(sum(v), len(v) - sum(v)) >= 5}
