@@ -93,6 +93,10 @@ def bootstrap_auc(rows: DataFrame, id_col: str, resamples: int, seed: int) -> Da
     return auc(counts, "b").where(~F.isnan("auc")).agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))
 
 
+#: What the groups of disjoint_split stand for, from 1 on.
+GROUPS = ("target_member", "target_nonmember", "shadow_member", "shadow_nonmember")
+
+
 def disjoint_split(docs: DataFrame, name_col: str, seed: int, groups: int = 4) -> DataFrame:
     """docs with grp 1 to 4, of sizes that differ by one at most."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(name_col).cast("string")))

@@ -9,7 +9,7 @@ from murmura.operators import grids as G
 from murmura.operators import retrieval as R
 from murmura.operators import security as X
 from murmura.plans.builder import Registry
-from murmura.session import ship, table
+from murmura.session import materialize, ship, table
 
 _R = Registry()
 QUERIES, ORACLES = _R.queries, _R.oracles
@@ -94,6 +94,20 @@ def sec_density(spark, sf):
     return X.knn_density(again, 5).withColumn("score", F.round("score", 5))
 
 
+@_R.add("sec17_membership")
+def sec_membership(spark, sf):
+    """Scores of rows whose id 20 divides, of all groups, by distance to the shadow members (group 3); the threshold comes from groups 3 and 4."""
+    ship(spark)
+    docs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), V.normalize(F.col("embedding").cast("array<double>")).alias("vec"))
+    docs = materialize(X.disjoint_split(docs, "doc_id", 2030), "groups")
+    asked = docs.where("doc_id % 20 = 0")
+    found = R.top_k(asked.select(F.col("doc_id").alias("query_id"), "vec"), docs.where("grp = 3"), 6, "l2").where("doc_id <> query_id")  # only members meet themselves
+    scored = X.knn_density(R.ranked(found.drop("rank"), 5, False), 5).join(asked.select(F.col("doc_id").alias("row_id"), "grp"), "row_id").withColumn("score", F.round("score", 5))
+    scored = materialize(scored, "scored")
+    limit = X.best_threshold(scored.where("grp >= 3").select("score", (F.col("grp") == 3).cast("int").alias("label")))
+    return scored.join(F.broadcast(limit.select("threshold")), how="left").select("row_id", F.element_at(F.array(*map(F.lit, X.GROUPS)), F.col("grp")).alias("member_of"), "score", (F.col("score") >= F.col("threshold")).cast("int").alias("predicted"))
+
+
 @_R.add("sec18_threshold", f"{_ROC} SELECT score AS threshold, round((tp / pos + 1 - fp / neg) / 2, 6) AS balanced_accuracy FROM o ORDER BY round((tp / pos + 1 - fp / neg) / 2, 12) DESC, score LIMIT 1")
 def sec_threshold(spark, sf):
     return X.best_threshold(_scored(spark, sf)).withColumn("balanced_accuracy", F.round("balanced_accuracy", 6))

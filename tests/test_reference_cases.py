@@ -2,6 +2,7 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,22 @@ def test_all_kinds_of_entities_against_brute_force(spark):
     flags = {f"has_{k}": [n[k] > 0 for n in found.values()] for k in kinds} | {"has_any_sensitive": [any(n.values()) for n in found.values()]}
     assert {(r.attribute, r.positives, r.negatives) for r in queries["prv16_prv18_label_counts_all"](spark, sf).collect()} == {(k, sum(v), len(v) - sum(v)) for k, v in flags.items()}
     assert {r.attribute for r in queries["prv19_eligible_all"](spark, sf).collect()} == {k for k, v in flags.items() if min(sum(v), len(v) - sum(v)) >= 5}
+
+
+def test_membership_scores_all_groups_against_brute_force(spark):
+    from murmura.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids = sorted((hashlib.md5(f"2030|{r.vec_id}".encode()).hexdigest(), r.vec_id) for r in rows)
+    group = {i: int(g) for g, part in enumerate(np.array_split([i for _, i in ids], 4)) for i in part.tolist()}
+    vec = {r.vec_id: np.array(r.embedding) / np.linalg.norm(r.embedding) for r in rows}
+    got = {r.row_id: r for r in registry.queries()["sec17_membership"](spark, sf).collect()}
+    assert set(got) == {i for i in vec if i % 20 == 0} and len({r.member_of for r in got.values()}) > 2
+    for i, r in got.items():
+        near = sorted(float(np.linalg.norm(vec[i] - vec[j])) for j in vec if group[j] == 2 and j != i)[:5]
+        assert abs(r.score + sum(near) / 5) < 2e-5 and r.member_of == security.GROUPS[group[i]]
+    shadow = [(r.score, group[i] == 2) for i, r in got.items() if group[i] > 1]
+    rate = lambda t, y: np.mean([(s >= t) == y for s, m in shadow if m == y])
+    best = min({s for s, _ in shadow}, key=lambda t: (-round((rate(t, True) + rate(t, False)) / 2, 12), t))
+    assert all(r.predicted == (r.score >= best) for r in got.values())
