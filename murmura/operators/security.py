@@ -79,8 +79,8 @@ def knn_density(neighbours: DataFrame, k: int) -> DataFrame:
     return neighbours.where(F.col("rank") <= k).groupBy(F.col("query_id").alias("row_id")).agg((-F.avg(F.sqrt("score"))).alias("score"))
 
 
-def bootstrap_auc(rows: DataFrame, id_col: str, resamples: int, seed: int) -> DataFrame:
-    """(low, high): percentiles 2.5 and 97.5 of AUC over stratified resamples, drawn by hash.
+def bootstrap(rows: DataFrame, id_col: str, resamples: int, seed: int, limit: float) -> DataFrame:
+    """One row: percentiles 2.5 and 97.5 of AUC, TPR at a false alarm rate up to limit, and advantage over stratified resamples, drawn by hash.
 
     Each row is drawn a Poisson(1) number of times, so no resample needs the table's size; rows are
     added up by (resample, score) before anything is sorted.
@@ -90,7 +90,13 @@ def bootstrap_auc(rows: DataFrame, id_col: str, resamples: int, seed: int) -> Da
     times = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
     drawn = rows.select(id_col, "label", "score", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).withColumn("times", times).where("times > 0")
     counts = drawn.select("b", "label", "score", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
-    return auc(counts, "b").where(~F.isnan("auc")).agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))
+    hits, alarms = F.col("tp") / F.col("pos"), F.col("fp") / F.col("neg")
+    each = roc(counts, "b").where("pos > 0 AND neg > 0").groupBy("b").agg(
+        (F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0)) / F.max(F.col("pos") * F.col("neg"))).alias("roc_auc"),
+        F.max(F.when(F.col("fp") <= limit * F.col("neg"), hits).otherwise(F.lit(0.0))).alias("tpr_at_fpr"),
+        F.greatest(F.max(hits - alarms), F.lit(0.0)).alias("attack_advantage"),
+    )
+    return each.agg(*[F.percentile(m, p).alias(f"{m}_ci_{side}") for m in ("roc_auc", "tpr_at_fpr", "attack_advantage") for side, p in (("low", 0.025), ("high", 0.975))])
 
 
 #: What the groups of disjoint_split stand for, from 1 on.

@@ -115,7 +115,7 @@ def sec_threshold(spark, sf):
 
 @_R.add("sec19_bootstrap")
 def sec_bootstrap(spark, sf):
-    return X.bootstrap_auc(_scored(spark, sf), "doc_id", 200, 2031)
+    return X.bootstrap(_scored(spark, sf), "doc_id", 1000, 2031, 0.01)
 
 
 @_R.add("sec1_sec3_exposure", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e),

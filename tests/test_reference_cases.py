@@ -156,3 +156,22 @@ def test_membership_scores_all_groups_against_brute_force(spark):
     rate = lambda t, y: np.mean([(s >= t) == y for s, m in shadow if m == y])
     best = min({s for s, _ in shadow}, key=lambda t: (-round((rate(t, True) + rate(t, False)) / 2, 12), t))
     assert all(r.predicted == (r.score >= best) for r in got.values())
+
+
+def test_bootstrap_covers_all_three_metrics(spark):
+    from murmura.plans import registry, security_queries
+
+    rows = registry.queries()["sec19_bootstrap"](spark, "/root/testdata/sf0.001").first()
+    scored = security_queries._scored(spark, "/root/testdata/sf0.001")
+    whole = {"roc_auc": security.auc(scored).first().auc, "tpr_at_fpr": security.tpr_at_fpr(scored, 0.01).first().tpr, "attack_advantage": security.advantage(scored).first().advantage}
+    for m, v in whole.items():
+        assert rows[f"{m}_ci_low"] <= rows[f"{m}_ci_high"] and (m != "roc_auc" or rows[f"{m}_ci_low"] < v < rows[f"{m}_ci_high"])
+
+
+def test_slices_of_all_sizes(spark):
+    from murmura.plans import registry
+
+    sf, q = "/root/testdata/sf0.1", registry.queries()
+    rows = {r["size"]: r.mean_best for r in q["grd4_scale_slices_all"](spark, sf).collect()}
+    assert set(rows) == {100, 300, 500, 1000} and all(rows[r["size"]] == r.mean_best for r in q["grd4_scale_slices"](spark, sf).collect())
+    assert "grd1_scale_sweep" in q
