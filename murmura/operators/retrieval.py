@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from murmura.functions import vector
 
 QUERY_BLOCK = 8192
+#: Scores held at a time by a task.
+_SCORES = 2_000_000
 #: For each measure, whether higher is nearer.
 MEASURES = {"cosine": True, "ip": True, "l2": False}
 
@@ -57,14 +59,15 @@ def _search(held, k: int, measure: str):
         q_ids, q = held.value
         best = np.full((len(q), 0), 0.0)
         best_ids = np.zeros((len(q), 0), np.int64)
+        step = max(k, _SCORES // len(q))
         for frame in frames:
-            if not len(frame):
-                continue
-            s = sign * np.round(_scores(q, np.stack(frame["v"].to_list()).astype(float), measure), 9)
-            ids = np.broadcast_to(frame["doc_id"].to_numpy(np.int64), s.shape)
-            best, best_ids = np.concatenate([best, s], 1), np.concatenate([best_ids, ids], 1)
-            order = np.lexsort((best_ids, best), axis=1)[:, :k]
-            best, best_ids = np.take_along_axis(best, order, 1), np.take_along_axis(best_ids, order, 1)
+            for i in range(0, len(frame), step):
+                part = frame.iloc[i : i + step]
+                s = sign * np.round(_scores(q, np.stack(part["v"].to_list()).astype(float), measure), 9)
+                ids = np.broadcast_to(part["doc_id"].to_numpy(np.int64), s.shape)
+                best, best_ids = np.concatenate([best, s], 1), np.concatenate([best_ids, ids], 1)
+                order = np.lexsort((best_ids, best), axis=1)[:, :k]
+                best, best_ids = np.take_along_axis(best, order, 1), np.take_along_axis(best_ids, order, 1)
         n = best.shape[1]
         yield pd.DataFrame({"query_id": np.repeat(q_ids, n), "doc_id": best_ids.reshape(-1), "score": (sign * best).reshape(-1) + 0.0})
 
