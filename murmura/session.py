@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Tables of materialize() that are still there.
+_TABLES: dict[str, SparkSession] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,10 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir).
 
-    A temporary folder is made only when the setting is unset, as in local tests.
+    A temporary folder is made only for a local master, as in tests: executors of a cluster can't see it.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.sparkContext.getConf()
+    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="murmura-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(_remove_local, found)
@@ -63,14 +69,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def materialize_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """materialize(), and the table's path for forget(); tables that are left go when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/murmura-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if not _TABLES:
+        atexit.register(_forget_all)
+    _TABLES[path] = spark
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a table made by materialize_at() that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    _TABLES.pop(path, None)
+
+
+def _forget_all() -> None:
+    for path, spark in list(_TABLES.items()):
+        if spark.sparkContext._jsc is None:  # stopped before
+            return
+        forget(spark, path)
