@@ -78,8 +78,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    out = line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+    out = line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_dropped"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
