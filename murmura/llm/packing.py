@@ -13,7 +13,8 @@ the powers of two that stay unpadded. The first kind of window needs the smalles
 boundaries in reach, which a monotone queue gives at once; the second has one i for each power.
 
 The stream is planned some _SPAN tokens at a time; the best end near its end is kept and what follows
-is carried on, so memory is bounded by _SPAN and the longest document. Nothing is shuffled.
+is carried on, so memory is bounded by _SPAN and the longest document. Nothing is shuffled, and no words
+are remembered: some _CHARS characters of texts are split in numpy and encoded at once.
 
 Defined results: a null or empty text has the closing id only; each id lies in exactly one piece; rows
 with equal ids are packed one by one; a null doc_id stays null; an empty table has no pieces. A
@@ -32,32 +33,33 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from murmura.llm import chars
 from murmura.llm.bpe import byte_alphabet
 
 _HARD = 256
 _SPAN = 1 << 17
+_CHARS = 1 << 20
 _WINDOW = 2
-_KEEP = 500_000
 _POWERS = tuple(1 << p for p in range(7, 31))
+#: Fixed value: the splitting pattern that _together() follows; other vocabularies go to the library.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class WordEncoder(dict):
-    """Ids (as little-endian 32-bit integers) of words between white space, remembered up to a bound.
+class WordEncoder:
+    """Ids of texts and of their sentences, for a tokenizers file of words with an end-of-word suffix.
 
-    For vocabularies whose splitting drops white space, a text's ids are its words' ids in order. New
-    words of a batch are encoded together: a zero byte after each piece stands for the end-of-word
-    suffix, so that tiktoken's core can merge them by the same ranks. Words with a zero byte, special
-    tokens and vocabularies of another make are left to the tokenizers library.
+    The pieces of many texts (letters, single numbers, other characters, contractions) are found in
+    numpy; a zero after each stands for the suffix, so that tiktoken's core can merge them by the same
+    ranks. Texts with a zero character or a special token, and vocabularies of another make, are left to
+    the tokenizers library.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -71,55 +73,67 @@ class WordEncoder(dict):
         model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
         steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
         if model["type"] != "BPE" or not suffix or split.get("type") != "Split" or not split.get("invert") or steps != ["NFC", "Replace", "Lowercase"]:
             return None
-        letters, added = byte_alphabet(), [t["content"] for t in spec.get("added_tokens", [])]
-        ranks = {}
+        if split["pattern"].get("Regex") != _PATTERN:
+            return None
+        letters, ranks = byte_alphabet(), {}
         for token, i in model["vocab"].items():
-            if token not in added:
+            if token not in self.added:
                 stem = token.removesuffix(suffix)
                 ranks[bytes(letters[c] for c in stem) + b"\0" * (stem != token)] = i
         order = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
         ends = [ranks.get(bytes([b, 0]), -1) for b in range(256)]
-        if order != sorted(order) or min(ends) < 0 or max(ends) > min(order) or len(ranks) != len(set(model["vocab"]) - set(added)):
+        if order != sorted(order) or min(ends) < 0 or max(ends) > min(order) or len(ranks) != len(set(model["vocab"]) - set(self.added)):
             return None
-        self.pieces, self.added, self.gap = regex.compile(split["pattern"]["Regex"]), added, ranks[b"\n"]
+        self.gap = ranks[b"\n"]
         return tiktoken.Encoding("words", pat_str=r"[^\x00\n]+\x00|\n", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
-    def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, texts: list[str]) -> None:
-        """Encode the words of all texts that aren't known yet."""
-        if self.core is None:
-            return
-        found: set[str] = set()
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, the length of each sentence that has any, and each text's number of those."""
+        out, run = [], []
         for t in texts:
-            found.update(t.split())
-        new = [w for w in found if w not in self]
-        if len(self) + len(new) > _KEEP:
-            self.clear()
-            new = list(found)
-        new = [w for w in new if len(w) < 128 and "\0" not in w and not any(a in w for a in self.added)]
-        if not new:
-            return
-        plain = unicodedata.normalize("NFC", "\n".join(new))
+            if self.core is None or "\0" in t or any(a in t for a in self.added):
+                out += [self._together(run)] if run else []
+                out.append(self._alone(t))
+                run = []
+            else:
+                run.append(t)
+        out += [self._together(run)] if run else []
+        return tuple(np.concatenate([x[i] for x in out]) for i in range(3)) if out else (np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _alone(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [ids for line in text.split("\n") if (ids := self.tokenizer.encode(line, add_special_tokens=False).ids)]
+        return np.array([x for ids in found for x in ids], "<u4"), np.array([len(x) for x in found], np.int64), np.array([len(found)], np.int64)
+
+    def _together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        plain = unicodedata.normalize("NFC", "\0".join([*texts, ""]))
         plain = plain.replace("\N{GREEK CAPITAL LETTER SIGMA}", "\N{GREEK SMALL LETTER SIGMA}").lower()  # never the final form
-        ids = np.array(self.core.encode_ordinary(self.pieces.sub("\\g<0>\0", plain) + "\n"), "<u4")
+        cp = chars.points(plain)
+        kind = chars.classes()[cp]
+        kind[cp == 0] = chars.WHITE
+        keep = kind != chars.WHITE
+        changes = np.append(kind[1:] != kind[:-1], True)
+        piece = keep & (changes | (kind == chars.NUMBER))
+        quotes = np.flatnonzero(cp == ord("'"))
+        begin, stop = chars.contractions(cp, quotes[(quotes == 0) | (kind[quotes - 1] != chars.OTHER)])
+        piece[begin] = False
+        piece[stop - 1] = True
+        sentence = (cp == 10) | (cp == 0)
+        sentence[:-1] |= ((cp[:-1] == ord(".")) | (cp[:-1] == ord("!")) | (cp[:-1] == ord("?"))) & (cp[1:] == 32)
+        width = keep.astype(np.int64) + piece + sentence
+        end = np.cumsum(width)
+        marked = np.zeros(int(end[-1]), "<u4")
+        marked[(end - width)[keep]] = cp[keep]
+        marked[end[sentence] - 1] = 10
+        ids = np.frombuffer(self.core.encode_to_tiktoken_buffer(marked.tobytes().decode("utf-32-le"), set()), np.uint32)
         gaps = np.flatnonzero(ids == self.gap)
-        starts, ends, raw = [0, *(gaps[:-1] * 4 + 4).tolist()], (gaps * 4).tolist(), ids.tobytes()
-        self.update(zip(new, map(raw.__getitem__, map(slice, starts, ends))))
-
-    def __missing__(self, word: str) -> bytes:
-        return self.direct(word)
-
-    def sentences(self, text: str) -> list[bytes]:
-        """The ids of each sentence that has any."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for Python, not for the vocabulary
-            return [ids for line in text.split("\n") if (ids := self.direct(line))]
-        parts = text.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")
-        get = self.__getitem__
-        return [ids for s in parts if (ids := b"".join(map(get, s.split())))]
+        lengths = np.diff(gaps, prepend=-1) - 1
+        closes = cp[sentence] == 0
+        owner = np.cumsum(closes) - closes
+        some = lengths > 0
+        return ids[ids != self.gap], lengths[some], np.bincount(owner[some], minlength=len(texts))
 
 
 @lru_cache(maxsize=2)
@@ -127,20 +141,27 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def units_of(sentences: list[bytes], closing: int) -> list[tuple[bytes, int]]:
-    """(ids, kind of the boundary after them): 0 document, 1 sentence, 2 inside a sentence."""
-    out: list[tuple[bytes, int]] = []
-    for s in sentences:
-        while len(s) > 4 * _HARD:
-            out.append((s[: 4 * _HARD], 2))
-            s = s[4 * _HARD :]
-        out.append((s, 1))
-    last = np.uint32(closing).tobytes()
-    if out and len(out[-1][0]) < 4 * _HARD:
-        out[-1] = (out[-1][0] + last, 0)
-    else:
-        out.append((last, 0))
-    return out
+def units_of(ids: np.ndarray, lengths: np.ndarray, counts: np.ndarray, closing: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids with each text's closing id; each unit's length, the kind of the boundary after it, and its text.
+
+    Kinds: 0 document, 1 sentence, 2 inside a sentence.
+    """
+    n = len(counts)
+    parts = -(-lengths // _HARD)
+    last = np.cumsum(parts) - 1
+    size, kind = np.full(int(parts.sum()), _HARD, np.int64), np.full(int(parts.sum()), 2, np.int8)
+    size[last], kind[last] = lengths - (parts - 1) * _HARD, 1
+    owner = np.repeat(np.repeat(np.arange(n), counts), parts)
+    tokens = np.bincount(owner, size, n).astype(np.int64)
+    after = np.searchsorted(owner, np.arange(n), side="right")  # of each text's last unit
+    room = np.zeros(n, bool)
+    some = counts > 0
+    room[some] = size[after[some] - 1] < _HARD
+    size[after[room] - 1] += 1
+    kind[after[room] - 1] = 0
+    own = np.flatnonzero(~room)
+    size, kind, owner = np.insert(size, after[own], 1), np.insert(kind, after[own], 0), np.insert(owner, after[own], own)
+    return np.insert(ids, np.cumsum(tokens), closing).astype("<u4"), size, kind, owner
 
 
 def plan(lengths: list[int], kinds: list[int], max_tokens: int, penalties: tuple[float, float, float], final: bool) -> list[int]:
@@ -188,40 +209,68 @@ class Packer:
 
     def __init__(self, max_tokens: int, penalties: tuple[float, float, float], first: int):
         self.max_tokens, self.penalties, self.sequence = max_tokens, penalties, first
-        self.ids: list[bytes] = []
-        self.kinds: list[int] = []
-        self.docs: list[tuple[object, int, int]] = []  # of each unit: doc_id, ids of the document before it, all its ids
+        self.ids, self.sizes, self.kinds, self.owners = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)], [np.zeros(0, np.int64)]
+        self.docs: list[object] = []
+        self.tokens: list[int] = []  # of each document
+        self.done = 0  # ids of the first document that are packed
         self.held = 0
 
-    def add(self, doc_id: object, units: list[tuple[bytes, int]]) -> None:
-        total, at = sum(len(u) for u, _ in units) // 4, 0
-        for ids, kind in units:
-            self.ids.append(ids)
-            self.kinds.append(kind)
-            self.docs.append((doc_id, at, total))
-            at += len(ids) // 4
-        self.held += total
+    def add(self, doc_ids: list, units: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> None:
+        ids, size, kind, owner = units
+        self.ids.append(ids)
+        self.sizes.append(size)
+        self.kinds.append(kind)
+        self.owners.append(owner + len(self.docs))
+        self.docs += doc_ids
+        self.tokens += np.bincount(owner, size, len(doc_ids)).astype(np.int64).tolist()
+        self.held += len(ids)
 
     def flush(self, final: bool) -> Iterator[tuple]:
         """Rows (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of the windows decided on."""
-        if not self.ids:
+        ids, size, kind, owner = map(np.concatenate, (self.ids, self.sizes, self.kinds, self.owners))
+        if not len(size):
             return
-        lengths = [len(x) // 4 for x in self.ids]
-        at = 0
-        for end in plan(lengths, self.kinds, self.max_tokens, self.penalties, final):
-            offset = 0
-            while at < end:
-                doc_id, start, total = self.docs[at]
-                stop = at + 1
-                while stop < end and self.docs[stop][1] > 0:
-                    stop += 1
-                ids = b"".join(self.ids[at:stop])
-                yield doc_id, start, len(ids) // 4, ids, total, self.sequence, offset
-                offset += len(ids) // 4
-                at = stop
-            self.sequence += 1
-        del self.ids[:at], self.kinds[:at], self.docs[:at]
-        self.held = sum(len(x) for x in self.ids) // 4
+        ends = np.array(plan(size.tolist(), kind.tolist(), self.max_tokens, self.penalties, final), np.int64)
+        stop, before = int(ends[-1]), np.concatenate([[0], np.cumsum(size)])
+        cut = np.zeros(stop + 1, bool)
+        cut[0] = cut[ends] = True
+        cut[1:stop] |= owner[1:stop] != owner[: stop - 1]
+        units = np.flatnonzero(cut)
+        at, doc = before[units], owner[units[:-1]]
+        of_doc = np.concatenate([[0], np.cumsum(self.tokens)]) - self.done
+        window = np.searchsorted(ends, units[:-1], side="right")
+        offset = at[:-1] - np.concatenate([[0], before[ends]])[window]
+        raw = memoryview(ids.tobytes())
+        starts = at[:-1] - of_doc[doc]
+        for d, start, a, b, w, o in zip(doc.tolist(), starts.tolist(), at[:-1].tolist(), at[1:].tolist(), window.tolist(), offset.tolist()):
+            yield self.docs[d], start, b - a, raw[4 * a : 4 * b], self.tokens[d], self.sequence + w, o
+        self.sequence += len(ends)
+        packed = int(before[stop])
+        first = int(owner[stop]) if stop < len(owner) else len(self.docs)
+        self.done = packed - int(of_doc[first])
+        del self.docs[:first], self.tokens[:first]
+        self.ids, self.sizes, self.kinds, self.owners = [ids[packed:]], [size[stop:]], [kind[stop:]], [owner[stop:] - first]
+        self.held = len(ids) - packed
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts, cut at white space where there is any near."""
+    at = 0
+    while len(text) - at > _CHARS:
+        end = max(text.rfind(" ", at + _CHARS // 2, at + _CHARS), text.rfind("\n", at + _CHARS // 2, at + _CHARS))
+        if end < 0:  # one run of characters
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def units_of_texts(words: WordEncoder, texts: list[str], closing: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    if len(texts) == 1:
+        found = [words.encode([p]) for p in _parts(texts[0])]
+        ids, lengths, counts = (np.concatenate([x[i] for x in found]) for i in range(3))
+        return units_of(ids, lengths, counts.sum(keepdims=True), closing)
+    return units_of(*words.encode(texts), closing)
 
 
 def pack(
@@ -256,9 +305,9 @@ def pack(
         words = encoder(path)
         packer = Packer(max_tokens, (0.0, sentence_penalty, hard_penalty), TaskContext.get().partitionId() << 40)
         for frame in frames:
-            words.learn([t for t in frame["text"] if t])
-            for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"]):
-                packer.add(doc_id, units_of(words.sentences(text or ""), closing_id))
+            doc_ids, texts = frame["doc_id"].tolist(), [t or "" for t in frame["text"]]
+            for a, b in chars.slices(texts, _CHARS):
+                packer.add(doc_ids[a:b], units_of_texts(words, texts[a:b], closing_id))
                 if packer.held >= _SPAN:
                     yield rows(packer.flush(False))
         yield rows(packer.flush(True))
