@@ -112,24 +112,43 @@ def odd_texts(n=300):
     return ["", " ", "  ", "a  b", "x \n y", "x\n ", "<|endoftext|> a<|endoftext|>", "don't  stop 12", "a" * 3000, " \xa0y\xa0 \xa0z", "\x1c \x1d z"] + ["".join(r.choice(" \n\tab'sZé1%<|\x1c\xa0日") for _ in range(r.randint(1, 60))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("core", [True, False])
-def test_ids_equal_the_library(core, monkeypatch):
+def test_ids_equal_the_library(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     mine, library = bpe.ForcedBoundaryBPE(path), Tokenizer.from_file(path)
-    monkeypatch.setattr(bpe, "_FRAGMENT", 9)
-    if not core:
-        mine.core = None
-    for t in odd_texts():
+    monkeypatch.setattr(bpe, "_CHARS", 40)
+    texts = odd_texts() + ["''s 's\n's'ts'rehe 'll'l", "aa'"]
+    for t, raw in zip(texts, mine.encode_all(texts), strict=True):
         ids = library.encode(t, add_special_tokens=False).ids
-        assert mine.encode(t) == ids and mine.decode(ids) == library.decode(ids, skip_special_tokens=False)
+        assert np.frombuffer(raw, "<u4").tolist() == ids and mine.encode(t) == ids and mine.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_forced_pairs_cut_texts():
+    """Cuts are where pieces begin and between bytes that no token holds side by side, and none elsewhere."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    mine, library = bpe.ForcedBoundaryBPE(path), Tokenizer.from_file(path)
+    inside = {(x, y) for t in mine.tokens[:50256] for x, y in zip(t, t[1:])}
+    assert int(mine.never.sum()) == 256 * 256 - len(inside) and not any(mine.never[x, y] for x, y in inside)
+    for text in [t for t in odd_texts(80) if t and "<|" not in t]:
+        raw, starts, ends = mine.cuts([text])
+        at = np.cumsum([0] + [len(c.encode()) for c in text])
+        pieces = {int(at[a]) for _, (a, _) in library.pre_tokenizer.pre_tokenize_str(text)}
+        forced = {i for i in range(1, len(raw)) if (raw[i - 1], raw[i]) not in inside}
+        assert set(starts.tolist()) == pieces | forced and ends.tolist() == [len(raw)]
 
 
 def test_digests(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    out = bpe.digest_rows(documents(spark, EDGE), path).collect()
-    assert len(out) == len(EDGE) and {r.n_tokens for r in out if r.doc_id in (1, 2)} == {0}
+    library, texts = Tokenizer.from_file(path), EDGE + [(100 + i, t) for i, t in enumerate(odd_texts(60))]
+    out = bpe.digest_rows(documents(spark, texts), path).collect()
+    want = []
+    for i, t in texts:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out), key=str) == sorted(want, key=str)
     back = bpe.decode_column(bpe.encode_column(documents(spark, EDGE), path), path).collect()
     assert all(r.decoded == (r.text or "") for r in back)
+    assert bpe.digest_rows(documents(spark, []), path).count() == 0
 
 
 # -- 4
