@@ -22,7 +22,6 @@ table gives none; extra columns are ignored by score() and kept by keep_clean().
 
 from __future__ import annotations
 
-import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,12 +32,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmura.llm.chars import distinct, points, slices
+
 WINDOW, STRIDE = 48, 36
 MIN_TEXTS = 5
 _DECAY = 0.05
 _WIDTH, _HIDDEN = 12, 8
-_KEEP = 400_000
-_STEP = 4096  # windows scored at a time
+#: Words remembered in each of two generations; windows scored, and characters read, at a time.
+_KEEP = 50_000
+_STEP = 1024
+_CHARS = 1 << 20
 _PIECE = 40
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}']+")
 
@@ -61,6 +64,28 @@ def features_of(word: str) -> set[str]:
     return {w, *(w[: k + 1] for k in (3, 4, 5)), *(w[-k - 1 :] for k in (3, 4)), *(w[i : i + 3] for i in range(len(w) - 2))}
 
 
+_M = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _edges(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends in their concatenation."""
+    size = np.array(list(map(len, words)), np.int64)
+    end = np.cumsum(size)
+    return end - size, end
+
+
+def _hashes(text: str, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of parts of a text, by running sums of its characters times powers of _M."""
+    cp = points(text).astype(np.uint64)
+    powers = np.cumprod(np.full(len(cp), _M))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((cp + np.uint64(1)) * powers)])
+    back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(cp), _INVERSE))])
+    x = (sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
 def starts(n_words: int) -> list[int]:
     """Where the windows of a text begin; the last one reaches its end."""
     return [0] if n_words <= WINDOW else [*range(0, n_words - WINDOW, STRIDE), n_words - WINDOW]
@@ -77,6 +102,7 @@ class Network:
     w: dict[str, np.ndarray]
     rows: dict[str, int]
     scale: tuple[float, float] = (1.0, 0.0)
+    _keys: tuple[np.ndarray, np.ndarray] | None = None  # hashes of rows' names in order, and the rows
 
     @classmethod
     def fresh(cls, rows: dict[str, int], seed: int = 7) -> Network:
@@ -93,6 +119,28 @@ class Network:
         get = self.rows.get
         return [0, *(r for f in features_of(word) if (r := get(f)))]
 
+    def rows_of_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """rows_of() for many words at once: all rows in a line, and how many each word has."""
+        if self._keys is None:
+            found = sorted(self.rows.items(), key=lambda x: x[1])
+            hashed = _hashes("".join(f for f, _ in found), *_edges([f for f, _ in found])) if found else np.zeros(0, np.uint64)
+            order = np.argsort(hashed)
+            self._keys = hashed[order], np.array([r for _, r in found], np.int64)[order]
+        keys, rows = self._keys
+        start, end = _edges([f"<{w}>" for w in words])
+        which = np.arange(len(words))
+        runs = end - start - 2
+        inner = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(start, runs)
+        begins = [start, start, start, start, np.maximum(end - 4, start), np.maximum(end - 5, start), inner]
+        ends = [end, *(np.minimum(start + k, end) for k in (4, 5, 6)), end, end, inner + 3]
+        owner = np.concatenate([*[which] * 6, np.repeat(which, runs)])
+        hashed = _hashes("".join(f"<{w}>" for w in words), np.concatenate(begins), np.concatenate(ends))
+        at = np.minimum(np.searchsorted(keys, hashed), max(0, len(keys) - 1))
+        hit = keys[at] == hashed if len(keys) else np.zeros(len(hashed), bool)
+        n_rows = len(self.w["table"])
+        both = distinct(np.concatenate([which * n_rows, owner[hit] * n_rows + rows[at[hit]]]))
+        return both % n_rows, np.bincount(both // n_rows, minlength=len(words))
+
     # The recurrent unit: z, r = sigmoid(x_zr + h u_zr); c = tanh(x_c + (r h) u_c); h' = h + z (c - h).
     # Steps beyond a window's length leave the state as it is.
 
@@ -178,34 +226,43 @@ class Network:
 
 
 class Words:
-    """Words as places in a growing table of what project() makes of them; place 0 is no word."""
+    """Words as places in a growing table of what project() makes of them; place 0 is no word.
+
+    There are two generations: words that the last _KEEP new ones brought no text with are forgotten.
+    """
 
     def __init__(self, network: Network):
         self.network = network
-        self.clear()
+        self.old: tuple[dict[str, int], np.ndarray] = {}, np.empty((0, 0, 0), np.float32)
+        self._fresh()
 
-    def clear(self) -> None:
+    def _fresh(self) -> None:
         self.place: dict[str, int] = {}
         first = self.network.project(np.zeros((1, _WIDTH), np.float32))
-        self.projected, self.used = np.empty((1 << 14, *first.shape[1:]), np.float32), 1
+        self.projected, self.used = np.empty((1 << 12, *first.shape[1:]), np.float32), 1
         self.projected[0] = first[0]
 
+    def _add(self, words: list[str], rows: np.ndarray) -> None:
+        n = self.used
+        self.place.update(zip(words, range(n, n + len(words))))
+        self.used += len(words)
+        if self.used > len(self.projected):
+            more = np.empty((max(self.used, 3 * len(self.projected) // 2) - len(self.projected), *self.projected.shape[1:]), np.float32)
+            self.projected = np.concatenate([self.projected, more])
+        self.projected[n : self.used] = rows
+
     def learn(self, found: set[str]) -> None:
-        new = [x for x in found if x not in self.place]
-        if len(self.place) + len(new) > _KEEP and self.place:
-            self.clear()
-            new = list(found)
-        if not new:
+        if len(self.place) >= _KEEP:
+            self.old = self.place, self.projected
+            self._fresh()
+        new = found - self.place.keys()
+        old_place, old_rows = self.old
+        if back := list(new & old_place.keys()):
+            self._add(back, old_rows[list(map(old_place.__getitem__, back))])
+        if not (new := list(new - old_place.keys())):
             return
-        n, table = self.used, self.network.w["table"]
-        rows = list(map(self.network.rows_of, new))
-        sizes = np.array(list(map(len, rows)))
-        vectors = np.add.reduceat(table[np.fromiter(itertools.chain.from_iterable(rows), np.int64, int(sizes.sum()))], np.cumsum(sizes) - sizes)
-        self.place.update(zip(new, range(n, n + len(new))))
-        self.used += len(new)
-        while self.used > len(self.projected):
-            self.projected = np.concatenate([self.projected, np.empty_like(self.projected)])
-        self.projected[n : self.used] = self.network.project(vectors)
+        flat, sizes = self.network.rows_of_all(new)
+        self._add(new, self.network.project(np.add.reduceat(self.network.w["table"][flat], np.cumsum(sizes) - sizes)))
 
 
 def window_grid(places: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,10 +281,12 @@ class Scorer:
         self.words = Words(network) if network else None
 
     def scores(self, texts: list[str]) -> np.ndarray:
+        """Of any number of texts, some _CHARS characters at a time."""
         if self.network is None:
             return np.zeros(len(texts))
         a, b = self.network.scale
-        return _sigmoid(a * self.logits(texts) + b)
+        each = [self.logits(texts[i:j]) for i, j in slices(texts, _CHARS)]
+        return _sigmoid(a * np.concatenate(each) + b) if each else np.zeros(0)
 
     def logits(self, texts: list[str]) -> np.ndarray:
         """The highest window of each text, before scaling."""
@@ -409,16 +468,7 @@ def score(docs: DataFrame, network: Network | None, threshold: float = 0.7, keep
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(held.value)
         for frame in frames:
-            texts = [t or "" for t in frame["text"]]
-            values, at = np.empty(len(texts)), 0
-            while at < len(texts):  # by size, so that long texts don't pile up
-                end, size = at, 0
-                while end < len(texts) and size < 4_000_000:
-                    size += len(texts[end])
-                    end += 1
-                values[at:end] = scorer.scores(texts[at:end])
-                at = end
-            yield frame[names].assign(score=values)
+            yield frame[names].assign(score=scorer.scores([t or "" for t in frame["text"]]))
 
     chosen = docs.select(*[F.col(c).cast("string").alias(n) for c, n in zip(keep, names)], F.col(text_col).cast("string").alias("text"))
     out = chosen.mapInPandas(run, ", ".join(f"{n} string" for n in names) + ", score double")
