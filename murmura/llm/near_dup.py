@@ -14,8 +14,11 @@ with a probability close to the Jaccard similarity.
    similarities from the threshold on are less likely than others by MARGIN in the logarithm, it is
    no link; otherwise the full sets decide, with whole numbers. Members already connected are
    never compared, so a large group of copies costs about one comparison a member, not all pairs.
-4. A group of several blocks is settled within its blocks, then its members outside the largest
-   component so far meet all the other blocks. No pair that could connect two components is left out.
+4. A group of several blocks is settled within its blocks; then one member of each component found so
+   far meets those of the others, again in blocks, as long as that halves their number. At last members
+   outside the group's largest component meet all members of like size in all blocks. No pair that could
+   connect two components is left out. The last step is quadratic in the members left over; among near
+   copies of one text there are none or few.
 
 At similarity 0.8 a pair misses all of the 40 bands with a probability of about 4e-6.
 
@@ -38,6 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmura.llm.chars import distinct
 from murmura.session import forget, materialize, materialize_at
 
 BANDS, ROWS = 40, 6
@@ -46,9 +50,9 @@ BASE, RATE = 1.1, 20.0
 MARGIN = 15.0
 #: Members and shingles of a block.
 BLOCK_DOCS, BLOCK_SHINGLES = 1500, 3_000_000
-#: Rows of a side that is sent to all tasks (under 100 bytes each); beyond, tables are joined by a shuffle.
-_BROADCAST_ROWS = 300_000
-_WORDS = 400_000
+#: Rows of a side that is sent to all tasks (some 400 bytes each at most); beyond, tables are joined by a shuffle.
+_BROADCAST_ROWS = 100_000
+_WORDS = 60_000
 
 
 # -- sets and sketches
@@ -87,7 +91,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     x = h[: n - size + 1].copy()
     for i in range(1, size):
         x = x * _M1 + h[i : n - size + 1 + i]
-    return np.unique(_mix(x + np.uint64(size)))
+    return distinct(_mix(x + np.uint64(size)))
 
 
 @lru_cache(maxsize=1)
@@ -186,7 +190,7 @@ def connect(sets: list[np.ndarray], sketches: np.ndarray, percent: int, known: l
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of edges (a, b), root the smallest node of the component.
+    """(k, root) for the nodes of edges (a, b), root the smallest node of the component.
 
     Large-star and small-star steps (Kiveris and others, 2014) until nothing changes; each round is
     a table in the shared folder.
@@ -207,14 +211,14 @@ def components(edges: DataFrame) -> DataFrame:
         if state == last or state[0] == 0:
             break
         last = state
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return current.select(F.col("u").alias("k"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("k"), F.col("v").alias("root"))).distinct()
 
 
 # -- the plan
 
 
 def sketch_rows(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node, sketch): node is the set's 128-bit hash; both null for empty sets."""
+    """(doc_id, h, n_shingles, node, sketch): h is the text's hash, node the set's of 128 bits; node and sketch are null for empty sets."""
     kind = docs.schema[id_col].dataType
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,126 +226,147 @@ def sketch_rows(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: s
             rows = []
             for text in frame["text"]:
                 found = shingles(text, words)
-                node = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+                node = _node(found) if len(found) else None
                 rows.append((len(found), node, sketch(found).tobytes() if len(found) else None))
             out = pd.DataFrame(rows, columns=["n_shingles", "node", "sketch"])
-            yield pd.concat([frame[["doc_id"]].reset_index(drop=True), out], axis=1)
+            yield pd.concat([frame[["doc_id", "h"]].reset_index(drop=True), out], axis=1)
 
-    chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = chosen.mapInPandas(run, "doc_id string, n_shingles long, node binary, sketch binary")
+    text = F.col(text_col).cast("string")
+    chosen = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    out = chosen.mapInPandas(run, "doc_id string, h long, n_shingles long, node binary, sketch binary")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
+def _node(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
 def candidate_edges(classes: DataFrame) -> DataFrame:
-    """(a, b): each class with the first class of each of its buckets."""
+    """(a, b): each class with the first class of each of its buckets, by 64-bit hashes of their nodes.
+
+    Nearly all buckets hold one class: those that hold several are found first, by sums of fixed width,
+    and only their rows are joined. Classes whose hashes collide share a group, where full sets decide.
+    """
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * ROWS + 1, F.lit(ROWS))))
-    in_bands = classes.select("node", F.explode(band).alias("bucket"))
-    first = in_bands.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return in_bands.join(first, "bucket").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    in_bands = classes.select(F.xxhash64("node").alias("k"), F.explode(band).alias("bucket"))
+    several = in_bands.groupBy("bucket").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last").drop("last")
+    several = materialize(several, "buckets")
+    small = several.count() <= _BROADCAST_ROWS
+    met = in_bands.join(F.broadcast(several) if small else several, "bucket").where("k <> first")
+    return met.select(F.col("k").alias("a"), F.col("first").alias("b")).distinct()
 
 
-def _settle(tasks: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) links of blocks; tasks: group_key, node, doc_text, sketch, known (a component so far or null).
+def _settle(docs: DataFrame, tasks: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) links of blocks; tasks: group_key, node, doc_id, h, sketch, known (a component so far or null).
 
-    A block's rows come in order, so a task holds one block at a time.
+    A block's rows come in order, so a task holds one block's sets at a time, and repeated rows once.
     """
 
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("node")
-        nodes = rows["node"].tolist()
-        sets, keep = [], []
-        for i, (node, text) in enumerate(zip(nodes, rows["doc_text"])):
-            found = shingles(text, words)
-            if len(found) and hashlib.blake2b(found.tobytes(), digest_size=16).digest() == bytes(node):
-                sets.append(found)
-                keep.append(i)
-        if len(keep) < 2:
+    def block(nodes: list[bytes], sets: list[np.ndarray], sketches: list[np.ndarray], labels: list[bytes]) -> pd.DataFrame:
+        if len(nodes) < 2:
             return pd.DataFrame({"a": [], "b": []}, dtype=object)
-        sketches = np.stack([np.frombuffer(rows["sketch"].iloc[i], np.uint8) for i in keep])
-        labels = [rows["known"].iloc[i] or nodes[i] for i in keep]
         numbers = {k: j for j, k in enumerate(dict.fromkeys(labels))}
-        root = connect(sets, sketches, percent, [numbers[k] for k in labels])
-        pairs = [(nodes[keep[i]], nodes[keep[r]]) for i, r in enumerate(root) if r != i]
+        root = connect(sets, np.stack(sketches), percent, [numbers[k] for k in labels])
+        pairs = [(nodes[i], nodes[r]) for i, r in enumerate(root) if r != i]
         return pd.DataFrame(pairs, columns=["a", "b"], dtype=object)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        key, held = None, ([], [], [], [])
         for frame in frames:
-            keys = frame["group_key"].to_numpy()
-            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(frame)]
-            for a, b in zip(edges, edges[1:]):
-                if held and a < b and held[-1]["group_key"].iloc[-1] != keys[a]:
-                    yield block(pd.concat(held))
-                    held = []
-                held.append(frame.iloc[a:b])
-        if held:
-            yield block(pd.concat(held))
-
-    ordered = tasks.select("group_key", "node", "doc_text", "sketch", "known").repartition("group_key").sortWithinPartitions("group_key", "node")
+            for k, node, text, registers, known in zip(frame["group_key"], frame["node"], frame["doc_text"], frame["sketch"], frame["known"]):
+                if k != key:
+                    yield block(*held)
+                    key, held = k, ([], [], [], [])
+                if held[0] and held[0][-1] == node:
+                    continue
+                found = shingles(text, words)
+                if len(found) and _node(found) == bytes(node):
+                    for column, x in zip(held, (node, found, np.frombuffer(registers, np.uint8), known or node)):
+                        column.append(x)
+        yield block(*held)
+
+    texts = docs.select(F.col("doc_id").alias("t_id"), F.col("text").cast("string").alias("doc_text")).withColumn("t_hash", F.xxhash64("doc_text"))
+    tasks = materialize(tasks.select("group_key", "node", "doc_id", "h", "sketch", "known"), "tasks")
+    small = tasks.count() <= _BROADCAST_ROWS
+    found = texts.join(F.broadcast(tasks) if small else tasks, F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_hash") == F.col("h")))
+    ordered = found.select("group_key", "node", "doc_text", "sketch", "known").repartition("group_key").sortWithinPartitions("group_key", "node")
     return ordered.mapInPandas(run, "a binary, b binary")
 
 
-def _with_texts(docs: DataFrame, members: DataFrame, small: bool) -> DataFrame:
-    """members with the text of the document that stands for each class."""
-    texts = docs.select(F.col("doc_id").alias("t_id"), F.col("text").cast("string").alias("doc_text"))
-    return texts.join(F.broadcast(members) if small else members, F.col("t_id").eqNullSafe(F.col("doc_id"))).drop("t_id")
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each document."""
     docs = docs.select("doc_id", "text")
     rows = materialize(sketch_rows(docs, words), "sketches")
     some = rows.where("node IS NOT NULL")
-    classes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes, "classes")
+    # a class is stood for by the text of its row with the smallest id; null ids are last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("f")
+    classes = some.groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.max("n_shingles").alias("n"))
+    classes = materialize(classes.select("node", "f.doc_id", "f.h", "copies", "sketch", "n"), "classes")
     groups = components(candidate_edges(classes))
-    members = classes.join(groups, "node").withColumnRenamed("root", "grp")
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    members = classes.join(groups.withColumnRenamed("root", "grp"), F.xxhash64(classes["node"]) == F.col("k"))
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).where("members > 1")
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     members = members.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
-    members = materialize(members.select("grp", "blocks", "block", "node", "doc_id", "sketch"), "members")
-    n_members, n_large = members.agg(F.count(F.lit(1)), F.count(F.when(F.col("blocks") > 1, 1))).first()
-    small = n_members <= _BROADCAST_ROWS
-    nothing = F.lit(None).cast("binary")
-    tasks = _with_texts(docs, members.withColumns({"group_key": _key("block"), "known": nothing}), small)
-    links = materialize(_settle(tasks, words, percent), "links")
-    stars = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    if n_large:
-        stars = _across(docs, members.where("blocks > 1"), links, words, percent, small)
+    members = materialize(members.select("grp", "blocks", "block", "node", "doc_id", "h", "n", "sketch"), "members")
+    tasks = members.withColumns({"group_key": _key("block"), "known": F.lit(None).cast("binary")})
+    links = materialize(_settle(docs, tasks, words, percent), "links")
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        stars = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    else:
+        stars = _across(docs, large, links, words, percent).withColumnRenamed("k", "node").where("node <> root")
     joined = stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct()
     comp = classes.select("node", F.col("doc_id").alias("first_id"), "copies").join(joined, "node", "left")
     comp = comp.where("root IS NOT NULL OR copies > 1").withColumn("root", F.coalesce("root", "node"))
     least = comp.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = comp.join(least, "root").select("node", "component_id")
+    named = materialize(comp.join(least, "root").select("node", "component_id"), "named")
     out = rows.join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _key(*columns: str) -> Column:
     """A name for a block of a group."""
-    return F.concat_ws("/", F.hex("grp"), *[F.col(c).cast("string") for c in columns])
+    return F.concat_ws("/", F.col("grp").cast("string"), *[F.col(c).cast("string") for c in columns])
+
+
+def _known(large: DataFrame, links: DataFrame) -> DataFrame:
+    """Members with the component that the links so far give, named by its smallest node."""
+    found = components(links.select("a", "b")).withColumnRenamed("k", "node")
+    return materialize(large.join(found, "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root"), "known")
 
 
-def _across(docs: DataFrame, large: DataFrame, links: DataFrame, words: int, percent: int, small: bool) -> DataFrame:
-    """Stars over all links, after the groups of several blocks have been settled across their blocks."""
-    found = components(links.select("a", "b"))
-    known = large.join(found, "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root")
-    counts = known.groupBy("grp", "known").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.groupBy("grp").agg(F.max_by("known", F.struct("n", "known")).alias("most"))
-    known = materialize(known.join(most, "grp"), "known")
+def _across(docs: DataFrame, large: DataFrame, links: DataFrame, words: int, percent: int) -> DataFrame:
+    """(k, root) stars over all links, after the groups of several blocks have been settled across their blocks."""
+    known, last = _known(large, links), None
+    while True:
+        firsts = known.where("node = known")
+        per_group = firsts.groupBy("grp").agg(F.count(F.lit(1)).alias("firsts")).where("firsts > 1")
+        left = per_group.agg(F.sum("firsts")).first()[0] or 0
+        if not left or last is not None and 2 * left > last:
+            break
+        parts = firsts.join(per_group, "grp").withColumn("part", F.pmod(F.hash(F.hash("node")), F.ceil(F.col("firsts") / BLOCK_DOCS).cast("int")))
+        more = materialize(_settle(docs, parts.withColumn("group_key", _key("part")), words, percent), "links")
+        links = links.unionByName(more)
+        known, last = _known(large, links), left
+    counts = known.groupBy("grp", "known").agg(F.count(F.lit(1)).alias("n_known"))
+    most = counts.groupBy("grp").agg(F.max_by("known", F.struct("n_known", "known")).alias("most"))
+    # sets may be similar enough only if their sizes' classes are neighbours or the same
+    size_class = F.floor(F.log(100 / percent, "n") + 1e-9).cast("int")
+    known = materialize(known.join(most, "grp").withColumn("size_class", size_class if percent < 100 else F.col("n").cast("int")), "known")
     rest = known.where("known <> most")
-    n_rest = rest.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("parts"))
-    columns = ["grp", "node", "doc_id", "sketch", "known"]
-    all_parts = known.join(n_rest, "grp").select(*columns, "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    own_parts = rest.join(n_rest, "grp").select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash(F.hash("node")), F.col("parts")).alias("part"))
-    tasks = all_parts.unionByName(own_parts).withColumn("group_key", _key("block", "part"))
-    more = _settle(_with_texts(docs, tasks.drop("grp", "block", "part"), small), words, percent)
-    stars = components(links.select("a", "b").unionByName(more))
-    return stars.where("node <> root")
+    n_rest = rest.groupBy("grp", "size_class").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("parts"))
+    columns = ["grp", "node", "doc_id", "h", "sketch", "known", "size_class"]
+    near = known.select("grp", "node", "doc_id", "h", "sketch", "known", "block", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])).alias("size_class"))
+    all_parts = near.join(n_rest, ["grp", "size_class"]).select(*columns, "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    own_parts = rest.join(n_rest, ["grp", "size_class"]).select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash(F.hash("node")), F.col("parts")).alias("part"))
+    tasks = all_parts.unionByName(own_parts).withColumn("group_key", _key("block", "size_class", "part"))
+    return components(links.select("a", "b").unionByName(_settle(docs, tasks, words, percent)))
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with the document of the smallest id of each component; an id goes if none of its rows is kept."""
     found = near_duplicates(docs, words, percent)
-    gone = found.groupBy(F.col("doc_id").alias("__gone")).agg(F.max("kept").alias("__kept")).where(~F.col("__kept"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    gone = found.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("stays")).where(~F.col("stays"))
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    rows = rows.join(gone, F.col(f"c{docs.columns.index('doc_id')}").eqNullSafe(F.col("gone_id")), "left_anti")
+    return rows.toDF(*docs.columns)
