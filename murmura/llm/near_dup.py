@@ -50,8 +50,8 @@ BASE, RATE = 1.1, 20.0
 MARGIN = 15.0
 #: Members and shingles of a block.
 BLOCK_DOCS, BLOCK_SHINGLES = 1500, 3_000_000
-#: Rows of a side that is sent to all tasks (some 400 bytes each at most); beyond, tables are joined by a shuffle.
-_BROADCAST_ROWS = 100_000
+#: Rows of a side that is sent to all tasks: of some 400 bytes each, and of two numbers; beyond, tables are joined by a shuffle.
+_BROADCAST_ROWS, _BROADCAST_PAIRS = 100_000, 1_000_000
 _WORDS = 60_000
 
 
@@ -251,15 +251,16 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     in_bands = classes.select(F.xxhash64("node").alias("k"), F.explode(band).alias("bucket"))
     several = in_bands.groupBy("bucket").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last").drop("last")
     several = materialize(several, "buckets")
-    small = several.count() <= _BROADCAST_ROWS
+    small = several.count() <= _BROADCAST_PAIRS
     met = in_bands.join(F.broadcast(several) if small else several, "bucket").where("k <> first")
     return met.select(F.col("k").alias("a"), F.col("first").alias("b")).distinct()
 
 
 def _settle(docs: DataFrame, tasks: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) links of blocks; tasks: group_key, node, doc_id, h, sketch, known (a component so far or null).
+    """(a, b) links between components so far; tasks: group_key, node, doc_id, h, sketch, known (that component).
 
-    A block's rows come in order, so a task holds one block's sets at a time, and repeated rows once.
+    Each a is linked once in a block, with the component of the block's first node that it reaches. A
+    block's rows come in order, so a task holds one block's sets at a time, and repeated rows once.
     """
 
     def block(nodes: list[bytes], sets: list[np.ndarray], sketches: list[np.ndarray], labels: list[bytes]) -> pd.DataFrame:
@@ -267,8 +268,8 @@ def _settle(docs: DataFrame, tasks: DataFrame, words: int, percent: int) -> Data
             return pd.DataFrame({"a": [], "b": []}, dtype=object)
         numbers = {k: j for j, k in enumerate(dict.fromkeys(labels))}
         root = connect(sets, np.stack(sketches), percent, [numbers[k] for k in labels])
-        pairs = [(nodes[i], nodes[r]) for i, r in enumerate(root) if r != i]
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype=object)
+        pairs = {labels[i]: labels[r] for i, r in enumerate(root) if labels[i] != labels[r]}
+        return pd.DataFrame(list(pairs.items()), columns=["a", "b"], dtype=object)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, ([], [], [], [])
@@ -281,7 +282,7 @@ def _settle(docs: DataFrame, tasks: DataFrame, words: int, percent: int) -> Data
                     continue
                 found = shingles(text, words)
                 if len(found) and _node(found) == bytes(node):
-                    for column, x in zip(held, (node, found, np.frombuffer(registers, np.uint8), known or node)):
+                    for column, x in zip(held, (node, found, np.frombuffer(registers, np.uint8), known)):
                         column.append(x)
         yield block(*held)
 
@@ -308,15 +309,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     members = members.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
     members = materialize(members.select("grp", "blocks", "block", "node", "doc_id", "h", "n", "sketch"), "members")
-    tasks = members.withColumns({"group_key": _key("block"), "known": F.lit(None).cast("binary")})
-    links = materialize(_settle(docs, tasks, words, percent), "links")
-    large = members.where("blocks > 1")
-    if large.isEmpty():
-        stars = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    else:
-        stars = _across(docs, large, links, words, percent).withColumnRenamed("k", "node").where("node <> root")
-    joined = stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct()
-    comp = classes.select("node", F.col("doc_id").alias("first_id"), "copies").join(joined, "node", "left")
+    links = _settle(docs, members.withColumns({"group_key": _key("block"), "known": F.col("node")}), words, percent)
+    known = _relabelled(members.withColumn("known", F.col("node")), links)
+    if not members.where("blocks > 1").isEmpty():
+        known = _across(docs, known, words, percent)
+    comp = classes.select("node", F.col("doc_id").alias("first_id"), "copies").join(known.select("node", F.col("known").alias("root")), "node", "left")
     comp = comp.where("root IS NOT NULL OR copies > 1").withColumn("root", F.coalesce("root", "node"))
     least = comp.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = materialize(comp.join(least, "root").select("node", "component_id"), "named")
@@ -329,38 +326,42 @@ def _key(*columns: str) -> Column:
     return F.concat_ws("/", F.col("grp").cast("string"), *[F.col(c).cast("string") for c in columns])
 
 
-def _known(large: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with the component that the links so far give, named by its smallest node."""
-    found = components(links.select("a", "b")).withColumnRenamed("k", "node")
-    return materialize(large.join(found, "node", "left").withColumn("known", F.coalesce("root", "node")).drop("root"), "known")
+def _relabelled(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Members with the components that links (a, b) give instead of those they had; each a has one b."""
+    moved = links.select("a", "b")
+    return materialize(known.join(moved, F.col("known") == F.col("a"), "left").withColumn("known", F.coalesce("b", "known")).drop("a", "b"), "known")
 
 
-def _across(docs: DataFrame, large: DataFrame, links: DataFrame, words: int, percent: int) -> DataFrame:
-    """(k, root) stars over all links, after the groups of several blocks have been settled across their blocks."""
-    known, last = _known(large, links), None
+def _across(docs: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
+    """known, after the groups of several blocks have been settled across their blocks.
+
+    A component is named by its smallest node, so one member of each is found by its name.
+    """
+    last = None
     while True:
-        firsts = known.where("node = known")
+        firsts = known.where("blocks > 1 AND node = known")
         per_group = firsts.groupBy("grp").agg(F.count(F.lit(1)).alias("firsts")).where("firsts > 1")
         left = per_group.agg(F.sum("firsts")).first()[0] or 0
         if not left or last is not None and 2 * left > last:
             break
         parts = firsts.join(per_group, "grp").withColumn("part", F.pmod(F.hash(F.hash("node")), F.ceil(F.col("firsts") / BLOCK_DOCS).cast("int")))
-        more = materialize(_settle(docs, parts.withColumn("group_key", _key("part")), words, percent), "links")
-        links = links.unionByName(more)
-        known, last = _known(large, links), left
-    counts = known.groupBy("grp", "known").agg(F.count(F.lit(1)).alias("n_known"))
+        known, last = _relabelled(known, _settle(docs, parts.withColumn("group_key", _key("part")), words, percent)), left
+    if not left:
+        return known
+    counts = known.where("blocks > 1").groupBy("grp", "known").agg(F.count(F.lit(1)).alias("n_known"))
     most = counts.groupBy("grp").agg(F.max_by("known", F.struct("n_known", "known")).alias("most"))
     # sets may be similar enough only if their sizes' classes are neighbours or the same
-    size_class = F.floor(F.log(100 / percent, "n") + 1e-9).cast("int")
-    known = materialize(known.join(most, "grp").withColumn("size_class", size_class if percent < 100 else F.col("n").cast("int")), "known")
-    rest = known.where("known <> most")
+    size_class = F.floor(F.log(100 / percent, "n") + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
+    large = materialize(known.join(most, "grp").withColumn("size_class", size_class), "known")
+    rest = large.where("known <> most")
     n_rest = rest.groupBy("grp", "size_class").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("parts"))
     columns = ["grp", "node", "doc_id", "h", "sketch", "known", "size_class"]
-    near = known.select("grp", "node", "doc_id", "h", "sketch", "known", "block", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])).alias("size_class"))
+    near = large.select("grp", "node", "doc_id", "h", "sketch", "known", "block", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])).alias("size_class"))
     all_parts = near.join(n_rest, ["grp", "size_class"]).select(*columns, "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     own_parts = rest.join(n_rest, ["grp", "size_class"]).select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash(F.hash("node")), F.col("parts")).alias("part"))
     tasks = all_parts.unionByName(own_parts).withColumn("group_key", _key("block", "size_class", "part"))
-    return components(links.select("a", "b").unionByName(_settle(docs, tasks, words, percent)))
+    names = components(_settle(docs, tasks, words, percent))
+    return _relabelled(known, names.select(F.col("k").alias("a"), F.col("root").alias("b")))
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
