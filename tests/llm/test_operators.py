@@ -84,16 +84,13 @@ def test_cascade_is_exact(spark):
     keys = [f"k{i}" for i in range(3000)]
     universe = spark.createDataFrame([(k,) for k in keys], "key string")
     listed = keys[::7]
-    for size in (100, 3000):  # an underestimate gives more levels
-        try:
-            c = url_filter.build_cascade(listed, universe, size)
-        except url_filter.TooMany:
-            continue
+    for size in (3, 100, 3000):  # an underestimate gives more levels, or level 0 again
+        c = url_filter.build_cascade(listed, universe, size)
         assert c.has(keys).tolist() == [k in set(listed) for k in keys]
     assert len(c.levels) > 1 and not url_filter.build_cascade([], universe, 9).has(keys).any()
 
 
-@pytest.mark.parametrize("bound", [64 << 20, 0])
+@pytest.mark.parametrize("bound", [64 << 20, 0])  # with 0 each rule has a cascade of its own
 def test_rules(spark, bound):
     from murmura.llm.queries import RULES
 
@@ -102,6 +99,16 @@ def test_rules(spark, bound):
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, RULES, max_bytes=bound).collect()}
     assert got == {0: (None, "allow"), 1: (None, "allow"), 2: ("example.com/en/7", "allow"), 3: ("com/en/", "block"), 4: ("com/en/", "block"), 5: (None, "allow"), 6: ("example.net/de/8", "block"), 7: ("net/de/", "block"), 8: (None, "allow"), 9: (None, "allow")}
     assert url_filter.judge(pages.limit(0), RULES, max_bytes=bound).count() == 0
+    assert len(url_filter.shards_of(RULES, 10, 0)) > 1 == len(url_filter.shards_of(RULES, 10, 64 << 20))
+
+
+def test_rules_for_very_long_urls(spark):
+    from murmura.llm.queries import RULES
+
+    urls = ["http://" + "a." * 30_000 + "example.com/en/7" + "x" * 100_000, "http://" + "com." * 30_000 + "xx/en/", "http://a.net/de/8"] + ["http://example.net/de/8"] * 3
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, RULES).collect()}
+    assert got == {0: ("example.com/en/7", "allow"), 1: (None, "allow"), 2: ("net/de/", "block"), **{i: ("example.net/de/8", "block") for i in (3, 4, 5)}}
 
 
 # -- 3
@@ -166,7 +173,7 @@ def test_nearest_against_brute_force(spark, many_partitions):
     x = rng.normal(size=(240, 7)).astype("float32")
     x[100:160] = x[100]
     rows = [(i, [float(v) for v in x[i]]) for i in range(240)] + [(240, None), (241, [0.0] * 7), (242, [float("nan")] * 7), (243, [None] * 7), (250, [1.0, 2.0]), (7, [float(v) for v in x[7]])]
-    out = vectors.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, 5, tile_rows=40, block_rows=2).collect()
+    out = vectors.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, 5, cell_rows=40).collect()
     y = x.astype(float)
     norm = np.sqrt((y * y).sum(1))
     for q in range(0, 240, 50):
@@ -176,6 +183,14 @@ def test_nearest_against_brute_force(spark, many_partitions):
     assert not [r for r in out if r.query_id == 250]
 
 
+def test_nearest_of_huge_and_tiny_numbers(spark):
+    rows = [(0, [1e300, 1e300]), (1, [1e-300, 1e-300]), (2, [1e300, -1e300]), (3, [3.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = [(r.vec_id, round(r.score, 9)) for r in vectors.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert out == [(1, 1.0), (3, 0.989949494), (2, 0.0)]
+    assert vectors.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
 # -- 5
 
 
