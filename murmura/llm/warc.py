@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmura.session import materialize
+
 ARCHIVE_SCHEMA = "archive_id string, data binary"
 RECORD_SCHEMA = (
     "archive_id string, kind string, offset long, length long, reason string, record_type string, page_id long, "
@@ -37,6 +39,7 @@ _FEED = 1 << 16
 #: A version line is 'WARC/1.1'; header fields after it may be of any length.
 _VERSION_LINE = 16
 _DATE = "2000-01-01T00:00:00Z"
+_BROADCAST_ROWS, _SALTS = 300_000, 32
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -222,7 +225,9 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(page_id, url, text, digest, n_bytes, refers_to) for each page.
 
     Only ids, digests and sizes are shuffled to find equal payloads; the texts then meet a table of
-    the payloads that several rows have, which Spark broadcasts or not by its size.
+    the payloads that several rows have. It is sent to all tasks up to _BROADCAST_ROWS rows (of some 100
+    bytes); beyond, rows meet it by digest and a salt, so that a payload that many pages share is dealt
+    to many tasks.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = pages.select(
@@ -236,7 +241,14 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         .where((F.col("n_rows") > 1) & F.col("first_id").isNotNull())
         .drop("n_rows")
     )
-    return base.join(shared, F.col("digest") == F.col("shared_digest"), "left").select(
+    shared = materialize(shared, "shared")
+    if shared.count() <= _BROADCAST_ROWS:
+        found = base.join(F.broadcast(shared), F.col("digest") == F.col("shared_digest"), "left")
+    else:
+        shared = shared.withColumn("shared_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS))
+        found = base.withColumn("salt", salt).join(shared, (F.col("digest") == F.col("shared_digest")) & (F.col("salt") == F.col("shared_salt")), "left")
+    return found.select(
         "page_id", "url", "text", "digest", "n_bytes", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to")
     )
 
