@@ -2,7 +2,8 @@
 
 Queries and candidates are dealt to tiles by a hash of their ids; a cell of the grid multiplies one
 block of queries with one tile of candidates, so a task holds two bounded blocks however large the
-table is. In a cell, unit vectors are rounded to 8-bit integers; with the rounding's residual norms the
+table is. Both are as large as fits (_CELL_BYTES of doubles), as each row travels once for each block or
+tile of the other side, in the table's own type of number. A cell takes _STEP queries at a time: there, unit vectors are rounded to 8-bit integers; with the rounding's residual norms the
 product of the integers bounds each cosine from both sides:
 
     |u.w - s_u s_w (q_u.q_w)| <= |e_u| |s_w q_w| + |e_w|
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OUT_SCHEMA = "query_id long, vec_id long, score double"
+_CELL_BYTES = 32 << 20
+_STEP = 512
 
 
 def quantise(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,9 +43,24 @@ def quantise(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 def cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query, candidate, cosine) of each query's k nearest in the tile."""
-    q_norm, c_norm = np.sqrt((queries * queries).sum(1)), np.sqrt((vectors * vectors).sum(1))
+    queries, vectors = scaled(queries), scaled(vectors)
+    c_norm = np.sqrt((vectors * vectors).sum(1))
+    right = quantise(vectors / c_norm[:, None])
+    out = []
+    for i in range(0, len(queries), _STEP):
+        out += _step(query_ids[i : i + _STEP], queries[i : i + _STEP], ids, vectors, c_norm, right, k)
+    return out
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that squares neither overflow nor vanish; cosines stay the same to the last bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def _step(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, c_norm: np.ndarray, right: tuple, k: int) -> list[tuple[int, int, float]]:
+    q_norm = np.sqrt((queries * queries).sum(1))
     q, q_scale, q_off, q_back = quantise(queries / q_norm[:, None])
-    c, c_scale, c_off, c_back = quantise(vectors / c_norm[:, None])
+    c, c_scale, c_off, c_back = right
     exact = np.float32 if queries.shape[1] * 127 * 127 < 1 << 24 else np.float64  # the sums stay whole numbers
     rough = (q.astype(exact) @ c.astype(exact).T) * q_scale[:, None] * c_scale
     error = q_off[:, None] * c_back + c_off + 1e-9
@@ -64,7 +82,8 @@ def cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
 
 def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v, width) of the vectors that take part, once for each id and vector."""
-    v = F.col(vector_col).cast("array<double>")
+    kind = df.schema[vector_col].dataType.simpleString()
+    v = F.col(vector_col) if kind == "array<float>" else F.col(vector_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull())).where(finite_of("v")).where(F.exists("v", lambda x: x != 0))
     return rows.dropDuplicates(["vec_id", "v"]).withColumn("width", F.size("v"))
@@ -74,12 +93,21 @@ def finite_of(name: str):
     return F.forall(name, lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
 
 
-def nearest(df: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", tile_rows: int = 4096, block_rows: int = 1024) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest of each row for which is_query (on vec_id) holds."""
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_list()).astype(np.float64)
+
+
+def nearest(df: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", cell_rows: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest of each row for which is_query (on vec_id) holds.
+
+    cell_rows, by default as many as fit in _CELL_BYTES, bounds the rows of a block and of a tile.
+    """
     rows = usable(df, id_col, vector_col)
     queries = rows.where(is_query)
-    n_rows, n_queries = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
-    tiles, blocks = max(1, math.ceil(n_rows / tile_rows)), max(1, math.ceil(n_queries / block_rows))
+    n_rows, n_queries, width = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1)), F.max("width")).first()
+    most = cell_rows or max(256, _CELL_BYTES // (8 * (width or 1)))
+    spread = min(2 * df.sparkSession.sparkContext.defaultParallelism, n_rows // 1024)  # tiles worth having, to use all cores
+    tiles, blocks = max(1, spread, math.ceil(n_rows / most)), max(1, math.ceil(n_queries / most))
     # both sides' keys must have one type: cogroup deals rows by the keys' hashes, which differ between int and long
     place = F.xxhash64("vec_id", "v")
     right = rows.select("vec_id", "v", "width", F.pmod(place, F.lit(tiles)).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
@@ -88,7 +116,7 @@ def nearest(df: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id
     def join(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(q) and len(c):
-            found = cell(q["vec_id"].to_numpy(), np.stack(q["v"].to_list()), c["vec_id"].to_numpy(), np.stack(c["v"].to_list()), k)
+            found = cell(q["vec_id"].to_numpy(), _matrix(q["v"]), c["vec_id"].to_numpy(), _matrix(c["v"]), k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     keys = ("tile", "block", "width")
