@@ -340,24 +340,15 @@ def test_pieces_hold_all_ids(spark):
 
 
 def test_templates(spark):
-    rows = [(i, f"user {i} logged in from host {i * 3}\nown words {chr(97 + i) * 3} here\n") for i in range(8)]
+    rows = [(i, f"user {i} logged in from host {i * 3}\nown words are {chr(97 + i) * 3} here and there\n") for i in range(8)]
     docs = documents(spark, rows + [(90, None), (91, ""), (92, "user 9 logged in from host 1"), (None, "x y")])
-    out = {r.doc_id: r for r in line_dedup.drop_recurring_lines(docs).collect()}
-    assert out[0].text == rows[0][1] and out[5].text == "own words fff here\n" and out[90].text is None and out[91].text == "" and out[92].text == "" and out[None].text == "x y"
+    out = {r.doc_id: r for r in line_dedup.drop_recurring_lines(docs, keep_first=True).collect()}
+    assert out[0].text == rows[0][1] and out[5].text == "" and out[90].text is None and out[91].text == "" and out[92].text == "" and out[None].text == "x y"
     assert 92 not in {r.doc_id for r in line_dedup.drop_recurring_lines(docs, drop_emptied=True).collect()}
+    assert {r.text for r in line_dedup.drop_recurring_lines(docs).collect() if r.doc_id is not None and r.doc_id < 8} == {""}
     assert line_dedup.drop_recurring_lines(docs.limit(0)).count() == 0
 
 
-def test_pipeline_drops_copies_of_long_lines(spark):
-    import corpus_pipeline
-
-    long, short = " ".join(f"word{chr(97 + i % 26)}{i}" for i in range(50)), " ".join(f"w{i}" for i in range(49))
-    other = " ".join(f"word{chr(97 + i % 26)}{i + 1}" for i in range(50))  # equal when masked
-    texts = [(1, f"one\n{long}"), (2, f"two\n{long}\n{short}"), (3, f"three\n{other}\n{short}"), (4, None), (5, long)]
-    out = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, documents(spark, texts), "").collect()}
-    assert out == {1: texts[0][1], 2: f"two\n{short}", 3: texts[2][1], 4: None}
-
-
 # -- 10
 
 
@@ -409,12 +400,3 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(documents(spark, [])).count() == 0
     out = {x.doc_id: x for x in near_dup.near_duplicates(documents(spark, EDGE)).collect()}
     assert out[5].component_id == 4 and out[1].n_shingles == 0 and out[None].component_id is None
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, "/root/testdata/sf0.001")
-        assert out.columns == docs.columns and out.count() <= docs.count(), name
