@@ -81,7 +81,7 @@ def sigma_per_dim(sigma: Column, width: Column, utility_scale: float) -> Column:
 
 
 def noise_vector(row_id: Column, width: Column, sigma: Column, seed: int, stream: str = "dp") -> Column:
-    return F.transform(F.sequence(F.lit(0), width - 1), lambda i: sigma * randomness.gaussian(seed, stream, row_id, i))
+    return randomness.gaussian_row(seed, stream, row_id, width, sigma)
 
 
 def apply_noise(rows: DataFrame, id_col: str, vector_col: str, sigma_col: str, config: NoiseConfig = NoiseConfig()) -> DataFrame:

@@ -1,23 +1,24 @@
-"""Exact top-k search of a bounded query set, filter-refine search, and linkage.
+"""Exact top-k search, filter-refine search, linkage, and what an index keeps.
 
-Queries go to all tasks in blocks of at most QUERY_BLOCK rows; candidates are never shuffled: each task
-keeps its best k for each query, and only those are ranked together. Scores are rounded to 9 digits
-before ranking, ties go to the smaller id.
+Queries are dealt to blocks and candidates to tiles by hashes of their ids; a cell of the grid scores one
+block against one tile, some _SCORES at a time, and gives its k best for each query. Nothing is gathered
+on the driver, and a cell holds two bounded tables however many queries and candidates there are. Scores
+are rounded to 9 digits before ranking, ties go to the smaller id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmura.functions import vector
 
-QUERY_BLOCK = 8192
-#: Scores held at a time by a task.
+#: Rows of a block and of a tile, and scores held at a time by a task.
+BLOCK_ROWS, TILE_ROWS = 8192, 32_768
 _SCORES = 2_000_000
 #: For each measure, whether higher is nearer.
 MEASURES = {"cosine": True, "ip": True, "l2": False}
@@ -36,44 +37,54 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, measure: str = "cosine",
     """(query_id, rank, doc_id, score)."""
     if measure not in MEASURES or k < 1:
         raise ValueError("k must be positive and the measure one of " + ", ".join(MEASURES))
-    spark = docs.sparkSession
-    ids = queries.select(F.col(q_id).alias("i"), F.col(vec).cast("array<double>").alias("v"))
-    blocks = max(1, -(-ids.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        rows = ids.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).orderBy("i").collect()
-        if not rows:
-            continue
-        held = spark.sparkContext.broadcast((np.array([r.i for r in rows], np.int64), np.array([r.v for r in rows], float)))
-        part = docs.select(F.col(d_id).alias("doc_id"), F.col(vec).cast("array<double>").alias("v")).mapInPandas(_search(held, k, measure), "query_id long, doc_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    return ranked(found, k, MEASURES[measure])
-
-
-def _search(held, k: int, measure: str):
+    left = queries.select(F.col(q_id).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    right = docs.select(F.col(d_id).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    n_left, n_right = (t.agg(F.count(F.lit(1))).first()[0] for t in (left, right))
+    blocks = max(1, math.ceil(n_left / BLOCK_ROWS))
+    spread = min(docs.sparkSession.sparkContext.defaultParallelism, n_right // 1024)  # tiles worth having, to use all cores
+    tiles = max(1, spread // blocks, math.ceil(n_right / TILE_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), every(tiles).alias("tile"))
+    right = right.select("id", "v", every(blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile"))
+    cells = left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile"))
+    return ranked(cells.applyInPandas(_search(k, measure), "query_id long, doc_id long, score double"), k, MEASURES[measure])
+
+
+def _search(k: int, measure: str):
     sign = -1 if MEASURES[measure] else 1
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q = held.value
-        best = np.full((len(q), 0), 0.0)
-        best_ids = np.zeros((len(q), 0), np.int64)
-        step = max(k, _SCORES // len(q))
-        for frame in frames:
-            for i in range(0, len(frame), step):
-                part = frame.iloc[i : i + step]
-                s = sign * np.round(_scores(q, np.stack(part["v"].to_list()).astype(float), measure), 9)
-                ids = np.broadcast_to(part["doc_id"].to_numpy(np.int64), s.shape)
-                best, best_ids = np.concatenate([best, s], 1), np.concatenate([best_ids, ids], 1)
-                order = np.lexsort((best_ids, best), axis=1)[:, :k]
-                best, best_ids = np.take_along_axis(best, order, 1), np.take_along_axis(best_ids, order, 1)
-        n = best.shape[1]
-        yield pd.DataFrame({"query_id": np.repeat(q_ids, n), "doc_id": best_ids.reshape(-1), "score": (sign * best).reshape(-1) + 0.0})
+    def run(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(queries) and len(docs):
+            docs = docs.sort_values("id")
+            ids, c = docs["id"].to_numpy(np.int64), np.stack(docs["v"].to_list())
+            q_ids, q = queries["id"].to_numpy(np.int64), np.stack(queries["v"].to_list())
+            if q.shape[1] != c.shape[1]:
+                raise ValueError(f"queries of {q.shape[1]} numbers and candidates of {c.shape[1]}")
+            step = max(1, _SCORES // len(ids))
+            for i in range(0, len(q), step):
+                out.append(_best(q_ids[i : i + step], np.round(sign * _scores(q[i : i + step], c, measure), 9), ids, k))
+        found = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pd.DataFrame({"query_id": found[0], "doc_id": found[1], "score": sign * found[2] + 0.0})
 
     return run
 
 
+def _best(q_ids: np.ndarray, s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k smallest scores; ids are in order, so that the first of equal scores have the smaller ids."""
+    if s.shape[1] > 4 * k:  # only what is as good as the k-th best is sorted
+        kth = np.partition(s, k - 1, axis=1)[:, k - 1]
+        row, column = np.nonzero(s <= kth[:, None])
+    else:
+        row, column = (x.reshape(-1) for x in np.indices(s.shape))
+    values = s[row, column]
+    order = np.lexsort((column, values, row))
+    row, column, values = row[order], column[order], values[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < k
+    return q_ids[row[keep]], ids[column[keep]], values[keep]
+
+
 def ranked(scores: DataFrame, k: int, higher: bool, by: str = "query_id") -> DataFrame:
     """The k best rows of each query."""
     order = F.col("score").desc() if higher else F.col("score").asc()
@@ -93,3 +104,17 @@ def filter_refine(queries: DataFrame, docs: DataFrame, k: int, ratio: int, refer
 def linkage(protected: DataFrame, public: DataFrame, k: int, measure: str = "cosine") -> DataFrame:
     """For each protected vector the k nearest public ones."""
     return top_k(protected, public, k, measure)
+
+
+def write_index(rows: DataFrame, path: str, space: str = "cosine", id_col: str = "doc_id", vec: str = "vec") -> None:
+    """What search needs: (doc_id, vec) with the measure, as parquet; chunk records may be written beside it."""
+    if space not in MEASURES:
+        raise ValueError("space must be one of " + ", ".join(MEASURES))
+    rows.select(F.col(id_col).alias("doc_id"), F.col(vec).cast("array<double>").alias("vec"), F.lit(space).alias("space")).write.mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """The (doc_id, vec) table of an index and its measure ('cosine' for an empty one)."""
+    rows = spark.read.parquet(path)
+    first = rows.select("space").first()
+    return rows.select("doc_id", "vec"), first.space if first else "cosine"

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.functions import randomness
+from murmura.operators import ordered
+from murmura.session import materialize
 
 
 def roc(rows: DataFrame, *by: str) -> DataFrame:
@@ -15,10 +17,17 @@ def roc(rows: DataFrame, *by: str) -> DataFrame:
     """
     label = F.col("label").cast("double")
     counts = rows.groupBy(*by, "score").agg(F.sum(label).alias("p"), F.sum(F.lit(1.0) - label).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.col("score").desc())
-    whole = Window.partitionBy(*by)
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(*by, "score", "p", "n", F.sum("p").over(upto).alias("tp"), F.sum("n").over(upto).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg"))
+    sums = ordered.running_sums(counts, [F.col("score").desc(), *map(F.col, by)], {"tp": F.col("p"), "fp": F.col("n")}, by)
+    return _beside(sums, sums.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg")), by)
+
+
+def _beside(rows: DataFrame, totals: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """rows with what totals has for their group (one row a group)."""
+    if not by:
+        return rows.join(F.broadcast(totals))
+    totals = totals.withColumnsRenamed({c: f"t_{c}" for c in by})
+    on = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in by]
+    return rows.join(F.broadcast(totals), ordered._all(on)).drop(*[f"t_{c}" for c in by])
 
 
 def auc(rows: DataFrame, *by: str) -> DataFrame:
@@ -58,10 +67,10 @@ def best_threshold(rows: DataFrame) -> DataFrame:
 
 
 def stratified_folds(rows: DataFrame, id_col: str, label_col: str, folds: int, seed: int) -> DataFrame:
-    """rows with fold: each class is dealt evenly in a hashed order (numbered within hash slices, then across them)."""
+    """rows with fold: each class is dealt evenly in a hashed order."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
-    w = Window.partitionBy(label_col).orderBy(key, id_col)
-    return rows.withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int"))
+    found = ordered.numbered(rows.withColumn("fold_key", key), [F.col("fold_key"), F.col(id_col)], "fold_no", (label_col,))
+    return found.withColumn("fold", ((F.col("fold_no") - 1) % folds).cast("int")).drop("fold_key", "fold_no")
 
 
 def exposure(found: DataFrame, targets: DataFrame, sensitive: DataFrame) -> DataFrame:
@@ -89,9 +98,12 @@ def bootstrap(rows: DataFrame, id_col: str, resamples: int, seed: int, limit: fl
     steps = [0.36787944117144233, 0.73575888234288467, 0.91969860292860584, 0.98101184312384626, 0.99634015317265634, 0.99940581518241833]
     times = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
     drawn = rows.select(id_col, "label", "score", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).withColumn("times", times).where("times > 0")
-    counts = drawn.select("b", "label", "score", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
+    label, times = F.col("label").cast("double"), F.col("times").cast("double")
+    counts = drawn.groupBy("b", "score").agg(F.sum(label * times).alias("p"), F.sum((F.lit(1.0) - label) * times).alias("n"))
+    sums = ordered.running_sums(counts, [F.col("b"), F.col("score").desc()], {"tp": F.col("p"), "fp": F.col("n")}, ("b",))
+    curve = sums.join(sums.groupBy("b").agg(F.sum("p").alias("pos"), F.sum("n").alias("neg")), "b")
     hits, alarms = F.col("tp") / F.col("pos"), F.col("fp") / F.col("neg")
-    each = roc(counts, "b").where("pos > 0 AND neg > 0").groupBy("b").agg(
+    each = curve.where("pos > 0 AND neg > 0").groupBy("b").agg(
         (F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0)) / F.max(F.col("pos") * F.col("neg"))).alias("roc_auc"),
         F.max(F.when(F.col("fp") <= limit * F.col("neg"), hits).otherwise(F.lit(0.0))).alias("tpr_at_fpr"),
         F.greatest(F.max(hits - alarms), F.lit(0.0)).alias("attack_advantage"),
@@ -104,6 +116,73 @@ GROUPS = ("target_member", "target_nonmember", "shadow_member", "shadow_nonmembe
 
 
 def disjoint_split(docs: DataFrame, name_col: str, seed: int, groups: int = 4) -> DataFrame:
-    """docs with grp 1 to 4, of sizes that differ by one at most."""
+    """docs with grp 1 to groups, of sizes that differ by one at most; with fewer documents than groups an error."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(name_col).cast("string")))
-    return docs.withColumn("grp", F.ntile(groups).over(Window.orderBy(key, name_col)))
+    found = ordered.numbered(docs.withColumn("split_key", key), [F.col("split_key"), F.col(name_col)], "split_no")
+    n = docs.count()
+    if n < groups:
+        raise ValueError(f"a split needs at least {groups} source documents")
+    size, more = divmod(n, groups)
+    at, long = F.col("split_no") - 1, (size + 1) * more
+    grp = F.when(at < long, F.floor(at / (size + 1))).otherwise(more + F.floor((at - long) / size)) + 1
+    return found.withColumn("grp", grp.cast("int")).drop("split_key", "split_no")
+
+
+def cyclic_split(docs: DataFrame, name_col: str, size_col: str, seed: int, cap: int, groups: int = 4) -> DataFrame:
+    """docs with grp 1 to groups and taken: of its chunks (size_col), those that fit until the group has cap of them.
+
+    Documents in a hashed order are dealt in cycles, each cycle in its own hashed order; a group that
+    can't be filled is an error.
+    """
+    hashed = lambda salt: F.md5(F.concat_ws("|", F.lit(f"{seed}{salt}"), F.col(name_col).cast("string")))
+    found = ordered.numbered(docs.withColumn("split_key", hashed("")), [F.col("split_key"), F.col(name_col)], "split_no")
+    found = found.withColumn("cycle", F.floor((F.col("split_no") - 1) / groups))
+    in_cycle = Window.partitionBy("cycle").orderBy(hashed("c"), name_col)  # at most `groups` rows each
+    found = found.withColumn("grp", F.row_number().over(in_cycle))
+    found = ordered.running_sums(found, [F.col("split_no")], {"upto": F.col(size_col).cast("long")}, ("grp",))
+    before = F.col("upto") - F.col(size_col)
+    out = found.withColumn("taken", F.least(F.col(size_col).cast("long"), F.greatest(F.lit(0), cap - before))).where("taken > 0")
+    out = materialize(out.drop("split_key", "split_no", "cycle", "upto"), "split")
+    if out.groupBy("grp").agg(F.sum("taken").alias("n")).where(F.col("n") >= cap).count() < groups:
+        raise ValueError(f"the documents don't give {groups} groups of {cap} chunks")
+    return out
+
+
+def overlapping(rows: DataFrame, name_col: str) -> DataFrame:
+    """Names that lie in several groups: none, if a split is disjoint."""
+    return rows.groupBy(name_col).agg(F.countDistinct("grp").alias("groups")).where("groups > 1")
+
+
+def linkage_metrics(found: DataFrame, sensitive: DataFrame) -> DataFrame:
+    """One row on ranked lists (query_id, rank, doc_id) whose target is the query's own id: top-1, recall at 5 and MRR, for all and for sensitive queries (doc_id)."""
+    hit = found.groupBy("query_id").agg(F.min(F.when((F.col("doc_id") == F.col("query_id")) & (F.col("rank") <= 5), F.col("rank"))).alias("rank"))
+    marked = hit.join(sensitive.select(F.col("doc_id").alias("query_id"), F.lit(True).alias("sensitive")), "query_id", "left")
+    nan = F.lit(float("nan"))
+    out = []
+    for name, ok in (("", F.lit(True)), ("sensitive_", F.coalesce("sensitive", F.lit(False)))):
+        mean = lambda x: F.coalesce(F.avg(F.when(ok, x)), nan)  # noqa: B023, E731
+        out += [mean((F.coalesce("rank", F.lit(99)) == 1).cast("double")).alias(f"{name}top1"), mean(F.col("rank").isNotNull().cast("double")).alias(f"{name}recall_at_5"), mean(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias(f"{name}mrr_at_5")]
+    return marked.agg(*out)
+
+
+def shadow_attack(shadow: DataFrame, targets: DataFrame, vec: str = "vec", limit: float = 0.5) -> DataFrame:
+    """targets with score and prediction of a balanced logistic fit on shadow rows (label, vec) only."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    raw = array_to_vector(F.col(vec).cast("array<double>"))
+    train = materialize(shadow.select("label", F.col(vec)), "shadow").withColumn("raw", raw)
+    counts = train.groupBy("label").count().collect()  # two rows
+    total = sum(r["count"] for r in counts)
+    weight = F.coalesce(*[F.when(F.col("label") == r["label"], F.lit(total / (len(counts) * r["count"]))) for r in counts], F.lit(1.0))
+    scaler = StandardScaler(withMean=True, inputCol="raw", outputCol="features").fit(train)
+    model = LogisticRegression(weightCol="weight", regParam=1 / max(1, total), maxIter=100).fit(scaler.transform(train).withColumn("weight", weight))
+    out = model.transform(scaler.transform(targets.withColumn("raw", raw))).withColumn("score", vector_to_array("probability")[1])
+    return out.select(*targets.columns, "score", (F.col("score") >= limit).cast("int").alias("prediction"))
+
+
+def fold_summary(rows: DataFrame, values: list[str]) -> DataFrame:
+    """One row: mean and population deviation of each value over folds, without NaN."""
+    ok = lambda c: F.when(~F.isnan(c), F.col(c))
+    return rows.agg(*[f(ok(c)).alias(f"{c}_{n}") for c in values for n, f in (("mean", F.avg), ("std", F.stddev_pop))])

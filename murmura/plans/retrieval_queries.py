@@ -16,7 +16,7 @@ from murmura.operators import noise as N
 from murmura.operators import projection as P
 from murmura.operators import retrieval as R
 from murmura.plans.builder import Registry
-from murmura.session import ship, table
+from murmura.session import materialize, ship, table
 
 _R = Registry()
 QUERIES, ORACLES = _R.queries, _R.oracles
@@ -193,7 +193,7 @@ def pipeline(spark, sf):
     ship(spark)
     chunks = C.sliding(table(spark, sf, "documents"), 1000, 200).withColumn("p", S.profile(F.col("content")))
     embedded = chunks.withColumn("vec", embed_terms(C.distinct_terms(F.col("content"))))
-    rows = embedded.select("doc_id", (F.col("doc_id") * 100000 + F.col("chunk_id")).alias("row_id"), F.col("p.raw_score").alias("raw"), "vec")
+    rows = materialize(embedded.select("doc_id", (F.col("doc_id") * 100000 + F.col("chunk_id")).alias("row_id"), F.col("p.raw_score").alias("raw"), "vec"), "chunks")
     safe = N.apply_noise(N.calibrate(rows, "raw"), "row_id", "vec", "sigma").select(F.col("row_id").alias("doc_id"), V.normalize(F.col("noised")).alias("vec"))
     queries = rows.where("doc_id % 20 = 0").select(F.col("row_id").alias("query_id"), "vec")
-    return R.top_k(queries, safe, 3)
+    return R.top_k(queries, materialize(safe, "noised"), 3)
