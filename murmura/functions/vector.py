@@ -67,3 +67,15 @@ def jl_min_dim(n: int, eps: float) -> int:
 
 def jl_min_dim_column(n: Column, eps: Column) -> Column:
     return F.when(n <= 1, F.lit(1)).otherwise(F.ceil(F.lit(4.0) * F.log(n.cast("double")) / (eps * eps / 2 - eps * eps * eps / 3)).cast("int"))
+
+
+def chunked_l2(a: Column, b: Column, slots: int) -> Column:
+    """The squared distances of the parts of `slots` numbers; their sum is the whole distance."""
+    parts = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / slots).cast("int"))
+    return F.transform(parts, lambda i: squared_l2(F.slice(a, i * slots + 1, slots), F.slice(b, i * slots + 1, slots)))
+
+
+def errors(measured: Column, plain: Column) -> tuple[Column, Column]:
+    """Absolute and relative error; relative to nothing, the absolute one."""
+    gap = F.abs(measured - plain)
+    return gap, F.when(F.abs(plain) < 1e-12, gap).otherwise(gap / F.abs(plain))

@@ -118,3 +118,35 @@ def semantic(docs: DataFrame, size: int = 1000, overlap: int = 200, id_col: str
             yield pd.DataFrame(rows, columns=[id_col, "chunk_id", "content"])
 
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, chunk_id int, content string")
+
+
+def panel(text: Column, width: int) -> Column:
+    """Lines without blanks at their ends, cut to a width with '...'."""
+    lines = F.array_join(F.transform(F.split(strip(text), "\n"), lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), "\n")
+    cut = F.regexp_replace(F.substring(lines, 1, max(0, width - 3)), r"(?U)\s+$", "")
+    return F.when(F.length(lines) <= width, lines).otherwise(F.concat(cut, F.lit("...")))
+
+
+# What an answer may repeat of its prompt, and what stands for an empty answer.
+ECHOES = ("用户的问题：{q}", "用户的问题:{q}", "问题：{q}", "问题:{q}", "{q}", "请直接给出简洁且专业的回答：", "请直接给出简洁且专业的回答:")
+NO_ANSWER = "对不起，我没有生成有效回答，请重试或调整提示词。"
+
+
+def cleaned_answer(answer: Column, query: Column) -> Column:
+    """The answer without what it repeats of its prompt, each echo once and in order; a sentence for an empty one."""
+    out = strip(answer)
+    for echo in ECHOES:
+        before, q, _ = echo.partition("{q}")
+        mark = F.concat(F.lit(before), query) if q else F.lit(before)
+        out = F.when(F.startswith(out, mark), strip(F.substr(out, F.length(mark) + 1))).otherwise(out)
+    return F.when(out == "", F.lit(NO_ANSWER)).otherwise(out)
+
+
+def prompt_entry(name: Column, chunk: Column, content: Column) -> Column:
+    """What the prompt shows of one chunk that was found."""
+    return F.concat(F.lit("📄【"), name, F.lit("#chunk-"), chunk.cast("string"), F.lit("】\n"), prompt_cut(content))
+
+
+def identity(text: Column) -> Column:
+    """The text that sets the answering role, with its heading."""
+    return F.concat(F.lit("[系统角色提示]\n"), text, F.lit("\n\n"))

@@ -46,3 +46,35 @@ def settled(effective: Column, bounty: Column, total: Column) -> Column:
     """Whole-number shares: scores times 10^4, rounded down."""
     e, t = F.floor(effective * 10000).cast("long"), F.floor(total * 10000).cast("long")
     return F.when(t > 0, F.floor(e * bounty / t).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def recommendation(rows: DataFrame, rules: dict[str, tuple[str, float]]) -> DataFrame:
+    """For each scheme of rules (scheme: key, least value) its constrained best row, with the key, the bound and a reason for a fallback."""
+    out = None
+    for scheme, (key, least) in rules.items():
+        best = constrained_best(rows.where(F.col("scheme") == scheme), key, least).withColumns({"threshold_key": F.lit(key), "threshold": F.lit(least)})
+        best = best.withColumn("fallback_reason", F.when(F.col("fallback"), F.lit(f"no candidate satisfied {key} threshold")))
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def resolved(variant: Column, base: Column, default: float) -> Column:
+    """A variant's own parameter, else its base scheme's, else the default."""
+    return F.coalesce(variant.cast("double"), base.cast("double"), F.lit(float(default)))
+
+
+def best_by_loss(rows: DataFrame, by: str, loss: str, most: float, score: str = "recall") -> DataFrame:
+    """For each group the row of highest score with a loss up to a bound, else the one of smallest loss."""
+    ok = F.coalesce(F.col(loss) <= most, F.lit(False))
+    w = Window.partitionBy(by).orderBy(ok.desc(), F.when(ok, -F.col(score)).otherwise(F.col(loss)).asc_nulls_last(), *sorted(c for c in rows.columns if c != by))
+    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def largest_slice(rows: DataFrame, size: str) -> DataFrame:
+    """The rows of the largest size."""
+    return rows.join(F.broadcast(rows.agg(F.max(size).alias("__most"))), F.col(size) == F.col("__most")).drop("__most")
+
+
+def first_valid(*columns: Column) -> Column:
+    """The first value that is there, is a number and is positive."""
+    return F.coalesce(*[F.when(~F.isnan(c) & (c > 0), c) for c in columns])

@@ -33,21 +33,61 @@ def _scores(q: np.ndarray, c: np.ndarray, measure: str) -> np.ndarray:
     return q @ c.T
 
 
-def top_k(queries: DataFrame, docs: DataFrame, k: int, measure: str = "cosine", q_id: str = "query_id", d_id: str = "doc_id", vec: str = "vec") -> DataFrame:
-    """(query_id, rank, doc_id, score)."""
+def top_k(
+    queries: DataFrame, docs: DataFrame, k: int, measure: str = "cosine", q_id: str = "query_id", d_id: str = "doc_id", vec: str = "vec", by: str | None = None, variants: list[str] | None = None
+) -> DataFrame:
+    """(query_id, rank, doc_id, score); with by, for each of the variants that docs (and queries, if they have the column) hold there."""
     if measure not in MEASURES or k < 1:
         raise ValueError("k must be positive and the measure one of " + ", ".join(MEASURES))
-    left = queries.select(F.col(q_id).alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    right = docs.select(F.col(d_id).alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    n_left, n_right = (t.agg(F.count(F.lit(1))).first()[0] for t in (left, right))
+    left = queries.select(F.col(q_id).alias("id"), F.col(vec).cast("array<double>").alias("v"), *_variant(queries, by, variants))
+    right = docs.select(F.col(d_id).alias("id"), F.col(vec).cast("array<double>").alias("v"), *([] if by is None else [F.col(by).alias("variant")]))
+    if by is None:
+        left, right = (t.withColumn("variant", F.lit("")) for t in (left, right))
+    schema = "variant string, query_id long, doc_id long, score double"
+    found = ranked(_cells(left, right).applyInPandas(_search(k, measure), schema), k, MEASURES[measure], "query_id", "variant")
+    return found.drop("variant") if by is None else found.withColumnRenamed("variant", by)
+
+
+def _variant(queries: DataFrame, by: str | None, variants: list[str] | None) -> list:
+    """The variants that a query is asked of: its own, or all."""
+    if by is None:
+        return []
+    return [F.col(by).alias("variant") if by in queries.columns else F.explode(F.array(*map(F.lit, variants or []))).alias("variant")]
+
+
+def _cells(left: DataFrame, right: DataFrame):
+    """(variant, id, v) tables of queries and candidates, cogrouped by the cells of a grid."""
+    n_left, n_right = (t.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0 for t in (left, right))
     blocks = max(1, math.ceil(n_left / BLOCK_ROWS))
-    spread = min(docs.sparkSession.sparkContext.defaultParallelism, n_right // 1024)  # tiles worth having, to use all cores
+    spread = min(right.sparkSession.sparkContext.defaultParallelism, n_right // 1024)  # tiles worth having, to use all cores
     tiles = max(1, spread // blocks, math.ceil(n_right / TILE_ROWS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = left.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), every(tiles).alias("tile"))
-    right = right.select("id", "v", every(blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile"))
-    cells = left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile"))
-    return ranked(cells.applyInPandas(_search(k, measure), "query_id long, doc_id long, score double"), k, MEASURES[measure])
+    left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("tile", every(tiles))
+    right = right.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")).withColumn("block", every(blocks))
+    keys = ("variant", "block", "tile")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys))
+
+
+def pair_sums(queries: DataFrame, variants: DataFrame, names: list[str]) -> DataFrame:
+    """(variant, query_id, n, sum_a ... most_drift): over all documents, of cosines with ref (a) and vec (b), added up where they are found."""
+    left = queries.select(F.col("query_id").alias("id"), F.col("vec").alias("v"), *_variant(queries, "variant", names))
+    right = variants.select("variant", F.col("doc_id").alias("id"), F.col("vec").alias("v"), "ref")
+
+    def add(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(q) and len(c):
+            x, a, b = (np.stack(t.to_list()).astype(float) for t in (q["v"], c["ref"], c["v"]))
+            step = max(1, _SCORES // len(c))
+            for i in range(0, len(x), step):
+                s, t = (np.round(_scores(x[i : i + step], y, "cosine"), 9) for y in (a, b))
+                gap = np.abs(s - t)
+                found = [np.full(len(s), len(c)), s.sum(1), t.sum(1), (s * s).sum(1), (t * t).sum(1), (s * t).sum(1), gap.sum(1), gap.max(1)]
+                rows.append(pd.DataFrame({"variant": q["variant"].iloc[0], "query_id": q["id"].iloc[i : i + step].to_numpy()} | dict(zip(names_of, found))))
+        return pd.concat(rows) if rows else pd.DataFrame(columns=["variant", "query_id", *names_of])
+
+    names_of = ["n", "sum_a", "sum_b", "sum_aa", "sum_bb", "sum_ab", "sum_drift", "most_drift"]
+    parts = _cells(left, right).applyInPandas(add, "variant string, query_id long, n long, " + ", ".join(f"{n} double" for n in names_of[1:]))
+    return parts.groupBy("variant", "query_id").agg(*[F.sum(n).alias(n) for n in names_of[:-1]], F.max("most_drift").alias("most_drift"))
 
 
 def _search(k: int, measure: str):
@@ -65,7 +105,7 @@ def _search(k: int, measure: str):
             for i in range(0, len(q), step):
                 out.append(_best(q_ids[i : i + step], np.round(sign * _scores(q[i : i + step], c, measure), 9), ids, k))
         found = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pd.DataFrame({"query_id": found[0], "doc_id": found[1], "score": sign * found[2] + 0.0})
+        return pd.DataFrame({"variant": queries["variant"].iloc[0] if out else "", "query_id": found[0], "doc_id": found[1], "score": sign * found[2] + 0.0})
 
     return run
 
@@ -85,11 +125,12 @@ def _best(q_ids: np.ndarray, s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np
     return q_ids[row[keep]], ids[column[keep]], values[keep]
 
 
-def ranked(scores: DataFrame, k: int, higher: bool, by: str = "query_id") -> DataFrame:
+def ranked(scores: DataFrame, k: int, higher: bool, *by: str) -> DataFrame:
     """The k best rows of each query."""
+    by = by or ("query_id",)
     order = F.col("score").desc() if higher else F.col("score").asc()
-    w = Window.partitionBy(by).orderBy(order, "doc_id")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(by, "rank", "doc_id", "score")
+    w = Window.partitionBy(*by).orderBy(order, "doc_id")
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, "rank", "doc_id", "score")
 
 
 def filter_refine(queries: DataFrame, docs: DataFrame, k: int, ratio: int, reference: str = "ref", protected: str = "vec", measure: str = "l2") -> DataFrame:
