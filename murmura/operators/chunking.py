@@ -134,12 +134,10 @@ NO_ANSWER = "对不起，我没有生成有效回答，请重试或调整提示
 
 def cleaned_answer(answer: Column, query: Column) -> Column:
     """The answer without what it repeats of its prompt, each echo once and in order; a sentence for an empty one."""
-    out = strip(answer)
-    for echo in ECHOES:
-        before, q, _ = echo.partition("{q}")
-        mark = F.concat(F.lit(before), query) if q else F.lit(before)
-        out = F.when(F.startswith(out, mark), strip(F.substr(out, F.length(mark) + 1))).otherwise(out)
-    return F.when(out == "", F.lit(NO_ANSWER)).otherwise(out)
+    marks = [F.concat(F.lit(before), query) if q else F.lit(before) for before, q, _ in (echo.partition("{q}") for echo in ECHOES)]
+    rest = lambda out, mark: F.when(F.startswith(out, mark), strip(F.substr(out, F.length(mark) + 1))).otherwise(out)
+    out = F.aggregate(F.array(*marks), strip(answer), rest)
+    return F.coalesce(F.nullif(out, F.lit("")), F.lit(NO_ANSWER))
 
 
 def prompt_entry(name: Column, chunk: Column, content: Column) -> Column:

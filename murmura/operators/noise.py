@@ -95,3 +95,25 @@ def apply_noise(rows: DataFrame, id_col: str, vector_col: str, sigma_col: str, c
 
 def noise_to_signal(noise: Column, clipped: Column) -> Column:
     return vector.norm(noise) / F.greatest(vector.norm(clipped), F.lit(vector.TINY))
+
+
+def ball(row_id: Column, width: Column, radius: Column, seed: int, stream: str = "sap") -> tuple[Column, Column]:
+    """A normal direction, and what to scale it by so that it is uniform in a ball."""
+    z = randomness.gaussian_row(seed, stream, row_id, width, F.lit(1.0))
+    return z, F.pow(randomness.uniform(seed, f"{stream}r", row_id), F.lit(1.0) / width) * radius
+
+
+def scale_and_perturb(rows: DataFrame, id_col: str, vector_col: str, beta: float, seed: int, scale: float | None = None) -> DataFrame:
+    """rows with perturbed: vectors times scale (the root of their width by default) plus a draw from the ball of radius scale * beta / 4; queries are moved by the same call, under their own ids."""
+    width = F.size(vector_col)
+    s = F.sqrt(width.cast("double")) if scale is None else F.lit(float(scale))
+    direction, by = ball(F.col(id_col), width, s * beta / 4, seed)
+    out = rows.withColumn("__direction", direction)
+    moved = vector.added(vector.scaled(F.col(vector_col), s), vector.scaled(F.col("__direction"), by / vector.norm(F.col("__direction"))))
+    return out.withColumn("perturbed", moved).drop("__direction")
+
+
+def score_column(rows: DataFrame, names: tuple[str, ...] = ("raw_sensitivity_score", "raw_score", "sensitivity_score"), default: float = 0.1) -> Column:
+    """The first of the columns that rows has, as a number; the default without any, or for what is no number."""
+    found = [c for c in names if c in rows.columns]
+    return F.coalesce(F.col(found[0]).try_cast("double"), F.lit(default)) if found else F.lit(default)

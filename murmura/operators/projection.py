@@ -58,3 +58,20 @@ def project(rows: DataFrame, projector: Projector, vector_col: str, out_col: str
             yield pd.Series(list(x))
 
     return rows.withColumn(out_col, times(F.col(vector_col)))
+
+
+def mode_of(name: str) -> str:
+    """'jl' or 'no_jl', however it is written."""
+    mode = name.strip().lower().replace("-", "_")
+    if mode not in ("jl", "no_jl"):
+        raise ValueError(f"unknown representation: {name}")
+    return mode
+
+
+def represent(rows: DataFrame, mode: str, vector_col: str, projector: Projector | None = None, out_col: str = "represented") -> DataFrame:
+    """rows with unit vectors, projected in mode 'jl'; queries and documents take the same projector."""
+    if mode_of(mode) == "no_jl":
+        return rows.withColumn(out_col, vector.normalize(F.col(vector_col)))
+    if projector is None:
+        raise ValueError("mode jl needs a projector")
+    return project(rows, projector, vector_col, out_col)

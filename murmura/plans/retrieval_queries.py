@@ -9,14 +9,16 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmura.functions import randomness, sensitivity as S, vector as V
+from murmura.functions import randomness, sensitivity, vector as V
 from murmura.operators import chunking as C
+from murmura.operators import experiments as E
 from murmura.operators import metrics as M
 from murmura.operators import noise as N
 from murmura.operators import projection as P
 from murmura.operators import retrieval as R
+from murmura.plans import sql_parts as S
 from murmura.plans.builder import Registry
-from murmura.session import materialize, ship, table
+from murmura.session import materialize, shared_dir, ship, table
 
 _R = Registry()
 QUERIES, ORACLES = _R.queries, _R.oracles
@@ -69,24 +71,23 @@ def _moved(rows, id_col, stream):
     return rows.withColumn("ref", F.col("vec")).withColumn("vec", V.added(F.col("vec"), N.noise_vector(F.col(id_col), F.size("vec"), F.lit(0.02), 5, stream)))
 
 
-@_R.add("ret8_ret10_filter_refine", f"""{_PAIRS} {_top('l2', 'ASC', 5)}""")
-def ret_refine(spark, sf):
-    """With the whole table as candidates of the first stage, the second gives the exact nearest."""
-    queries, docs = _tables(spark, sf)
-    n = docs.count()
-    return _shown(R.filter_refine(_moved(queries, "query_id", "q"), _moved(docs, "doc_id", "d"), 5, -(-n // 5)))
+_GAUSS = lambda stream, row: randomness.gaussian_sql(5, stream, row, "i")
+_REFINE = f"""{_PAIRS}, u AS (SELECT vec_id, unnest(v) AS x, unnest(range(64)) AS i FROM n), qm AS (SELECT vec_id, list(x + 0.02 * {_GAUSS('q', 'vec_id')} ORDER BY i) AS w FROM u WHERE vec_id % 20 = 0 GROUP BY vec_id), dm AS (SELECT vec_id, list(x + 0.02 * {_GAUSS('d', 'vec_id')} ORDER BY i) AS w FROM u GROUP BY vec_id),
+f AS (SELECT qm.vec_id AS query_id, dm.vec_id AS doc_id FROM qm, dm QUALIFY row_number() OVER (PARTITION BY qm.vec_id ORDER BY round(list_sum(list_transform(list_zip(qm.w, dm.w), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), 9), dm.vec_id) <= 20)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY l2, doc_id) AS INTEGER) AS rank, doc_id, round(l2, 6) AS score FROM s JOIN f USING (query_id, doc_id) QUALIFY rank <= 5"""
 
 
-@_R.add("ret8_filter_refine_protected")
-def ret_refine_protected(spark, sf):
+@_R.add("ret8_ret10_filter_refine", _REFINE)
+def ret_refine(spark, sf):
+    """The 5 nearest by raw distance among 20 found with protected vectors."""
     queries, docs = _tables(spark, sf)
-    return R.filter_refine(_moved(queries, "query_id", "q"), _moved(docs, "doc_id", "d"), 5, 4)
+    return _shown(R.filter_refine(materialize(_moved(queries, "query_id", "q"), "moved"), materialize(_moved(docs, "doc_id", "d"), "moved"), 5, 4))
 
 
-@_R.add("ret9_ret13_full_scan", f"""{_PAIRS}, t AS ({_top('l2', 'ASC', 5)}) SELECT count(*) AS results, round(avg(score), 6) AS mean_distance, round(16.0 * 1024 / (64 * 4), 6)::DOUBLE AS expansion FROM t""")
+@_R.add("ret9_full_scan", f"""{_PAIRS}, t AS ({_top('l2', 'ASC', 5)}) SELECT count(*) AS results, round(avg(score), 6) AS mean_distance FROM t""")
 def ret_full_scan(spark, sf):
     top = _shown(R.top_k(*_tables(spark, sf), 5, "l2"))
-    return top.agg(F.count(F.lit(1)).alias("results"), F.round(F.avg("score"), 6).alias("mean_distance"), F.round(F.lit(16.0 * 1024) / F.lit(64 * 4), 6).alias("expansion"))
+    return top.agg(F.count(F.lit(1)).alias("results"), F.round(F.avg("score"), 6).alias("mean_distance"))
 
 
 @_R.add("ret16_linkage", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e),
@@ -131,59 +132,52 @@ def met_stages(spark, sf):
     return row.select(*[F.round(c, 6).alias(c) for c in row.columns])
 
 
-@_R.add("met5_met7_drift", f"""{_PAIRS} SELECT round(avg(abs(cosine - ip)), 6) AS mean_drift, round(max(abs(cosine - ip)), 6) AS max_drift, round(corr(cosine, ip), 6) AS pearson FROM s""")
-def met_drift(spark, sf):
-    queries, docs = _tables(spark, sf)
-    n = docs.count()
-    a, b = (R.top_k(queries, docs, n, m).select("query_id", "doc_id", F.col("score").alias(m)) for m in ("cosine", "ip"))
-    gap = F.abs(F.col("cosine") - F.col("ip"))
-    return a.join(b, ["query_id", "doc_id"]).agg(F.round(F.avg(gap), 6).alias("mean_drift"), F.round(F.max(gap), 6).alias("max_drift"), F.round(M.safe_corr(F.col("cosine"), F.col("ip")), 6).alias("pearson"))
+_STAGED = f"""WITH {S.VECTORS}, w AS (SELECT i, j, {randomness.gaussian_sql(42, 'jl', 'i', 'j')} AS w FROM range(64) a(i), range(32) b(j)), u AS (SELECT vec_id, n, unnest(v) AS x, unnest(range(64)) AS i FROM n),
+y AS (SELECT vec_id, j, sum(x / greatest(n, 1e-12) * w) AS y FROM u JOIN w USING (i) GROUP BY ALL), z AS (SELECT vec_id, j AS i, y / sqrt(sum(y * y) OVER (PARTITION BY vec_id)) AS x FROM y),
+m AS (SELECT vec_id, list(x ORDER BY i) AS z, list(x + 0.1 * {randomness.gaussian_sql(42, 'dp', 'vec_id', 'i')} ORDER BY i) AS w FROM z GROUP BY vec_id),
+p AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round({S.dot('nq.v', 'nd.v')} / (nq.n * nd.n), 9) AS raw, round({S.dot('q.z', 'd.z')}, 9) AS jl, round({S.dot('q.z', 'd.w')} / sqrt({S.dot('d.w', 'd.w')}), 9) AS jl_dp
+  FROM m q JOIN m d ON q.vec_id % 20 = 0 JOIN n nq ON nq.vec_id = q.vec_id JOIN n nd ON nd.vec_id = d.vec_id),
+k AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS raw, row_number() OVER (PARTITION BY query_id ORDER BY jl DESC, doc_id) AS jl, row_number() OVER (PARTITION BY query_id ORDER BY jl_dp DESC, doc_id) AS jl_dp FROM p),
+s AS (SELECT 'jl vs raw' AS comparison, query_id, raw AS a, jl AS b FROM k UNION ALL SELECT 'jl_dp vs jl', query_id, jl, jl_dp FROM k UNION ALL SELECT 'jl_dp vs raw', query_id, raw, jl_dp FROM k UNION ALL SELECT 'index vs jl_dp', query_id, jl_dp, jl_dp FROM k UNION ALL SELECT 'index vs raw', query_id, raw, jl_dp FROM k),
+o AS (SELECT comparison, query_id, sum((a <= 1 AND b <= 1)::INT)::DOUBLE AS r1, sum((a <= 3 AND b <= 3)::INT) / 3.0::DOUBLE AS r3, sum((a <= 5 AND b <= 5)::INT) / 5.0::DOUBLE AS r5, sum((a <= 10 AND b <= 10)::INT) / 10.0::DOUBLE AS r10, max(CASE WHEN a = 1 AND b <= 5 THEN 1.0::DOUBLE / b ELSE 0 END) AS rr FROM s GROUP BY ALL)
+SELECT comparison, round(avg(r1), 6) AS recall_at_1, round(avg(r3), 6) AS recall_at_3, round(avg(r5), 6) AS recall_at_5, round(avg(r10), 6) AS recall_at_10, round(avg(rr), 6) AS mrr_at_5, round(1 - avg(r5), 6) AS loss FROM o GROUP BY comparison"""
 
 
-@_R.add("met13_decomposition")
+@_R.add("met13_decomposition", _STAGED)
 def met_decomposition(spark, sf):
-    """Recall of each stage against the one before it and against raw search."""
+    """Recall of each stage (raw, projected, noised, noised through an index file) against earlier ones."""
     queries, docs = _tables(spark, sf)
     projector = P.Projector(64, 32)
-    jl = [P.project(t, projector, "vec").drop("vec").withColumnRenamed("projected", "vec") for t in (queries, docs)]
-    dp = jl[1].withColumn("vec", V.normalize(V.added(F.col("vec"), N.noise_vector(F.col("doc_id"), F.size("vec"), F.lit(0.01), 42))))
-    stages = {"raw": R.top_k(queries, docs, 10), "jl": R.top_k(jl[0], jl[1], 10), "jl_dp": R.top_k(jl[0], dp, 10)}
+    jl = [materialize(P.project(t, projector, "vec").drop("vec").withColumnRenamed("projected", "vec"), "jl") for t in (queries, docs)]
+    dp = jl[1].withColumn("vec", V.added(F.col("vec"), N.noise_vector(F.col("doc_id"), F.size("vec"), F.lit(0.1), 42)))
+    dp = materialize(dp.withColumn("vec", V.normalize(F.col("vec"))), "dp")
+    R.write_index(dp, path := f"{shared_dir(spark)}/murmura-index-jl")
+    index = R.read_index(spark, path)[0]
+    stages = {n: materialize(R.top_k(*t, 10), n) for n, t in {"raw": (queries, docs), "jl": jl, "jl_dp": (jl[0], dp), "index": (jl[0], index)}.items()}
     out = None
-    for a, b in (("raw", "jl"), ("jl", "jl_dp"), ("raw", "jl_dp")):
+    for a, b in (("raw", "jl"), ("jl", "jl_dp"), ("raw", "jl_dp"), ("jl_dp", "index"), ("raw", "index")):
         part = M.stage_comparison(stages[a], stages[b]).withColumn("comparison", F.lit(f"{b} vs {a}")).withColumn("loss", 1 - F.col("recall_at_5"))
         out = part if out is None else out.unionByName(part)
-    return out
-
-
-@_R.add("grd1_scale_sweep")
-def grd_sweep(spark, sf):
-    """Agreement with raw search for each noise scale; all scales in one job."""
-    queries, docs = _tables(spark, sf)
-    raw, out = R.top_k(queries, docs, 10), None
-    for scale in (0.001, 0.01, 0.05, 0.1, 0.2, 0.5):
-        moved = docs.withColumn("vec", V.added(F.col("vec"), N.noise_vector(F.col("doc_id"), F.size("vec"), F.lit(scale / 8), 42)))
-        part = M.stage_comparison(raw, R.top_k(queries, moved, 10)).withColumn("utility_scale", F.lit(scale))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return out.select(*[F.round(c, 6).alias(c) if c != "comparison" else F.col(c) for c in out.columns])
 
 
-@_R.add("grd4_scale_slices", f"{_PAIRS}, b AS (SELECT unnest([100, 300, 500]) AS size), c AS (SELECT size, query_id, max(cosine) AS best FROM s, b WHERE doc_id < size AND query_id < size AND doc_id <> query_id GROUP BY ALL) SELECT size, round(avg(best), 6) AS mean_best FROM c GROUP BY size")
-def grd_slices(spark, sf, sizes=(100, 300, 500)):
+@_R.add("grd4_scale_slices", f"""WITH {S.VECTORS}, {S.DRAWS}, sig AS (SELECT size AS variant, vec_id, 0.5 / 8::DOUBLE AS sigma FROM n, (SELECT unnest([100, 300, 500, 1000]) AS size) WHERE vec_id < size), {S.NOISED}, {S.PAIRS.replace('q.vec_id % 20 = 0', 'q.vec_id % 20 = 0 AND q.vec_id < variant')},
+per AS (SELECT variant, query_id, sum((ra <= 5 AND rb <= 5)::INT) / 5.0::DOUBLE AS r5, max(CASE WHEN ra = 1 AND rb <= 5 THEN 1.0::DOUBLE / rb ELSE 0 END) AS rr FROM r GROUP BY ALL)
+SELECT variant::INTEGER AS size, round(avg(r5), 6) AS recall_at_5, round(avg(rr), 6) AS mrr_at_5 FROM per GROUP BY variant""")
+def grd_slices(spark, sf):
+    """Agreement of noised with raw search over the first rows, for each number of rows."""
     queries, docs = _tables(spark, sf)
+    noised = materialize(E.noised(docs, "", F.lit(0.5 / 8)), "noised")
     out = None
-    for n in sizes:
-        best = R.top_k(queries.where(F.col("query_id") < n), docs.where(F.col("doc_id") < n), 2).where("doc_id <> query_id").groupBy("query_id").agg(F.max("score").alias("best"))
-        part = best.agg(F.lit(n).alias("size"), F.round(F.avg("best"), 6).alias("mean_best"))
+    for n in (100, 300, 500, 1000):
+        few = queries.where(F.col("query_id") < n)
+        raw = R.top_k(few, docs.where(F.col("doc_id") < n), 5)
+        part = E.agreement(raw, R.top_k(few, noised.where(F.col("doc_id") < n), 5).withColumn("variant", F.lit("")), (5,))
+        part = part.select(F.lit(n).alias("size"), F.round("recall_at_5", 6).alias("recall_at_5"), F.round("mrr_at_5", 6).alias("mrr_at_5"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@_R.add("grd4_scale_slices_all")
-def grd_slices_all(spark, sf):
-    """With size 1000 too, which the SQL leaves out."""
-    return grd_slices(spark, sf, (100, 300, 500, 1000))
-
-
 @_R.add("pipeline_private_retrieval")
 def pipeline(spark, sf):
     """Documents to chunks, scores, noise and nearest chunks: hashed term vectors stand in for an embedding model.
@@ -191,7 +185,7 @@ def pipeline(spark, sf):
     Queries are all chunks of the documents whose id 20 divides.
     """
     ship(spark)
-    chunks = C.sliding(table(spark, sf, "documents"), 1000, 200).withColumn("p", S.profile(F.col("content")))
+    chunks = C.sliding(table(spark, sf, "documents"), 1000, 200).withColumn("p", sensitivity.profile(F.col("content")))
     embedded = chunks.withColumn("vec", embed_terms(C.distinct_terms(F.col("content"))))
     rows = materialize(embedded.select("doc_id", (F.col("doc_id") * 100000 + F.col("chunk_id")).alias("row_id"), F.col("p.raw_score").alias("raw"), "vec"), "chunks")
     safe = N.apply_noise(N.calibrate(rows, "raw"), "row_id", "vec", "sigma").select(F.col("row_id").alias("doc_id"), V.normalize(F.col("noised")).alias("vec"))

@@ -35,10 +35,10 @@ def sec_auc_lang(spark, sf):
     return X.auc(_scored(spark, sf), "lang").select("lang", F.round("auc", 6).alias("auc"))
 
 
-@_R.add("sec8_sec12_rates", f"{_ROC} SELECT round(max(CASE WHEN fp <= 0.1 * neg THEN tp / pos ELSE 0 END), 6) AS tpr, round(greatest(max(tp / pos - fp / neg), 0), 6) AS advantage, any_value(neg) < 100 AS low_resolution FROM o")
+@_R.add("sec8_sec12_rates", f"{_ROC} SELECT round(max(CASE WHEN fp <= 0.1 * neg THEN tp / pos ELSE 0 END), 6) AS tpr, round(greatest(max(tp / pos - fp / neg), 0), 6) AS advantage, any_value(neg) < 10 AS low_resolution FROM o")
 def sec_rates(spark, sf):
     rows = _scored(spark, sf)
-    low = rows.agg((F.sum(1 - F.col("label")) < 100).alias("low_resolution"))
+    low = rows.agg((F.sum(1 - F.col("label")) < round(1 / 0.1)).alias("low_resolution"))
     return X.tpr_at_fpr(rows, 0.1).select(F.round("tpr", 6).alias("tpr")).join(X.advantage(rows).select(F.round("advantage", 6).alias("advantage"))).join(low)  # single rows
 
 
@@ -94,7 +94,12 @@ def sec_density(spark, sf):
     return X.knn_density(again, 5).withColumn("score", F.round("score", 5))
 
 
-@_R.add("sec17_membership")
+@_R.add("sec17_membership", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS w FROM embeddings), n AS (SELECT vec_id, list_transform(w, lambda x: x / greatest(sqrt(list_sum(list_transform(w, lambda y: y * y))), 1e-12)) AS v, ntile(4) OVER (ORDER BY md5('2030|' || vec_id), vec_id) AS grp FROM e),
+p AS (SELECT q.vec_id, q.grp, d.vec_id AS other, greatest(round(list_sum(list_transform(list_zip(q.v, d.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), 9), 0) AS d FROM n q JOIN n d ON d.grp = 3 AND d.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS k FROM p), z AS (SELECT vec_id, grp, round(-avg(sqrt(d)), 5) AS score FROM k WHERE k <= 5 GROUP BY ALL),
+c AS (SELECT score, sum((grp = 3)::INT)::DOUBLE AS p, sum((grp = 4)::INT)::DOUBLE AS n FROM z WHERE grp >= 3 GROUP BY score), o AS (SELECT score, sum(p) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS fp, sum(p) OVER () AS pos, sum(n) OVER () AS neg FROM c),
+t AS (SELECT score AS threshold FROM o ORDER BY round((tp / pos + 1 - fp / neg) / 2, 12) DESC, score LIMIT 1)
+SELECT vec_id AS row_id, ['target_member', 'target_nonmember', 'shadow_member', 'shadow_nonmember'][grp] AS member_of, score, (score >= threshold)::INTEGER AS predicted FROM z, t""")
 def sec_membership(spark, sf):
     """Scores of rows whose id 20 divides, of all groups, by distance to the shadow members (group 3); the threshold comes from groups 3 and 4."""
     ship(spark)
@@ -113,9 +118,18 @@ def sec_threshold(spark, sf):
     return X.best_threshold(_scored(spark, sf)).withColumn("balanced_accuracy", F.round("balanced_accuracy", 6))
 
 
-@_R.add("sec19_bootstrap")
+_DRAWN = "(('0x' || substr(md5('2031|boot|' || doc_id || '|' || b), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE"
+_STEPS = " + ".join(f"(t >= {x!r}::DOUBLE)::INT" for x in X.POISSON)
+
+
+@_R.add("sec19_bootstrap", f"""{_ROWS}, d AS (SELECT b, label, score, {_DRAWN} AS t FROM r, (SELECT unnest(range(1000)) AS b)), w AS (SELECT b, label, score, {_STEPS} AS times FROM d),
+c AS (SELECT b, score, sum(label * times)::DOUBLE AS p, sum((1 - label) * times)::DOUBLE AS n FROM w WHERE times > 0 GROUP BY ALL),
+o AS (SELECT *, sum(p) OVER (PARTITION BY b ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY b ORDER BY score DESC) AS fp, sum(p) OVER (PARTITION BY b) AS pos, sum(n) OVER (PARTITION BY b) AS neg FROM c),
+e AS (SELECT b, sum(n * (tp - p / 2)) / max(pos * neg) AS roc_auc, max(CASE WHEN fp <= 0.01 * neg THEN tp / pos ELSE 0 END) AS tpr_at_fpr, greatest(max(tp / pos - fp / neg), 0) AS attack_advantage FROM o WHERE pos > 0 AND neg > 0 GROUP BY b)
+SELECT {', '.join(f"round(quantile_cont({m}, {q}), 6) AS {m}_ci_{side}" for m in ('roc_auc', 'tpr_at_fpr', 'attack_advantage') for side, q in (('low', 0.025), ('high', 0.975)))} FROM e""")
 def sec_bootstrap(spark, sf):
-    return X.bootstrap(_scored(spark, sf), "doc_id", 1000, 2031, 0.01)
+    out = X.bootstrap(_scored(spark, sf), "doc_id", 1000, 2031, 0.01)
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
 @_R.add("sec1_sec3_exposure", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from murmura.functions import sensitivity as S
 from murmura.operators import chunking as C
+from murmura.operators import noise as N
 from murmura.plans.builder import Registry
 from murmura.session import ship, table
 from murmura.sources import files
@@ -200,3 +201,35 @@ def prv_eligible(spark, sf, kinds=("email", "url")):
 @_R.add("prv19_eligible_all")
 def prv_eligible_all(spark, sf):
     return prv_eligible(spark, sf, tuple(S.ENTITIES))
+
+
+@_R.add("txt15_panel", """WITH l AS (SELECT doc_id, array_to_string(list_transform(string_split(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), chr(10)), lambda x: rtrim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), chr(10)) AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE rtrim(substring(t, 1, 117), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || '...' END AS panel FROM l""")
+def txt_panel(spark, sf):
+    return _docs(spark, sf).select("doc_id", C.panel(F.col("text"), 120).alias("panel"))
+
+
+_ECHOED = "'问题：' || doc_id || '  ' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '' ELSE ' the answer ' || (doc_id % 7) || '  ' END"
+
+
+@_R.add("txt18_answer_cleanup", f"""WITH a AS (SELECT doc_id, doc_id::VARCHAR AS q, trim({_ECHOED}) AS t FROM documents), b AS (SELECT doc_id, q, trim(substring(t, length('问题：' || q) + 1)) AS t FROM a), c AS (SELECT doc_id, CASE WHEN starts_with(t, q) THEN trim(substring(t, length(q) + 1)) ELSE t END AS t FROM b)
+SELECT doc_id, CASE WHEN t = '' THEN '{C.NO_ANSWER}' ELSE t END AS answer FROM c""")
+def txt_cleanup(spark, sf):
+    """Answers that repeat the question with a heading and then without it."""
+    i = F.col("doc_id").cast("string")
+    rest = F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(" the answer "), (F.col("doc_id") % 7).cast("string"), F.lit("  ")))
+    return _docs(spark, sf).select("doc_id", C.cleaned_answer(F.concat(F.lit("问题："), i, F.lit("  "), i, rest), i).alias("answer"))
+
+
+@_R.add("ret18_src12_prompt_parts", """SELECT doc_id, '📄【' || source || '#chunk-' || (doc_id % 9) || '】' || chr(10) || substring(text, 1, 1000) || '...' AS entry, '[系统角色提示]' || chr(10) || lang || chr(10) || chr(10) AS identity FROM documents""")
+def prompt_parts(spark, sf):
+    """What a prompt shows of a chunk, and the heading of the text that sets its role."""
+    return _docs(spark, sf).select("doc_id", C.prompt_entry(F.col("source"), F.col("doc_id") % 9, F.col("text")).alias("entry"), C.identity(F.col("lang")).alias("identity"))
+
+
+@_R.add("dp10_score_fallback", "SELECT doc_id, coalesce(CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 10)::DOUBLE END, 0.1)::DOUBLE AS score, 0.1::DOUBLE AS missing FROM documents")
+def score_fallback(spark, sf):
+    """The first score column that is there; 0.1 for what is no number, or without one."""
+    docs = _docs(spark, sf)
+    scored = docs.withColumn("raw_score", F.when(F.col("doc_id") % 4 != 0, (F.col("doc_id") % 10).cast("string")).otherwise(F.lit("none"))).withColumn("sensitivity_score", F.lit(9.0))
+    return scored.select("doc_id", N.score_column(scored).alias("score"), N.score_column(docs).alias("missing"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from murmura.functions import randomness, vector as V
 from murmura.operators import noise as N
 from murmura.operators import projection as P
+from murmura.plans import sql_parts as S
 from murmura.plans.builder import Registry
 from murmura.session import ship, table
 
@@ -72,12 +73,14 @@ SELECT vec_id AS row_id, round(sqrt(sum(pow(8.0 * x + z / zn * r * 8.0 * 0.1 / 4
 
 @_R.add("vec14_vec15_scale_perturb", _BALL)
 def vec_scale_perturb(spark, sf):
-    width, seed = F.size("vec"), 11
-    z = F.transform(F.sequence(F.lit(0), width - 1), lambda i: randomness.gaussian(seed, "sap", F.col("row_id"), i))
-    rows = _vectors(spark, sf).withColumn("z", z).withColumn("s", F.sqrt(F.size("vec").cast("double")))
-    radius = F.pow(randomness.uniform(seed, "sapr", F.col("row_id")), F.lit(1.0) / F.size("vec")) * F.col("s") * 0.1 / 4
-    moved = V.added(V.scaled(F.col("vec"), F.col("s")), V.scaled(F.col("z"), radius / V.norm(F.col("z"))))
-    return rows.select("row_id", F.round(V.norm(moved), 6).alias("norm"))
+    rows = N.scale_and_perturb(_vectors(spark, sf), "row_id", "vec", 0.1, 11)
+    return rows.select("row_id", F.round(V.norm(F.col("perturbed")), 6).alias("norm"))
+
+
+@_R.add("vec12_representation", f"{_N} SELECT vec_id AS row_id, 'no_jl' AS mode, 64 AS width, round(v[1] / greatest(n, 1e-12), 6) AS first FROM n")
+def vec_representation(spark, sf):
+    rows = P.represent(_vectors(spark, sf), "No-JL", "vec")
+    return rows.select("row_id", F.lit(P.mode_of("No-JL")).alias("mode"), F.size("represented").alias("width"), F.round(F.col("represented")[0], 6).alias("first"))
 
 
 @_R.add("vec16_vec18_stats", f"""{_N}, x AS (SELECT unnest(v) AS x FROM n), a AS (SELECT round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, count(*) AS numbers FROM x)
@@ -111,17 +114,20 @@ def noised(spark, sf):
     return N.apply_noise(N.calibrate(rows, "raw"), "row_id", "vec", "sigma")
 
 
-@_R.add("dp5_dp6_calibrate")
+@_R.add("dp5_dp6_calibrate", f"WITH RECURSIVE {S.CALIBRATION} SELECT vec_id AS row_id, round(eps, 9) AS epsilon, round(sens, 9) AS local_sensitivity, round(sigma, 9) AS sigma, true AS solved FROM cal")
 def dp_calibrate(spark, sf):
     ship(spark)
     rows = _vectors(spark, sf).withColumn("raw", F.lit(0.1) + (F.col("row_id") % 100) * F.lit(0.1))
-    return N.calibrate(rows, "raw").select("row_id", "epsilon", "local_sensitivity", "sigma", "solved")
+    return N.calibrate(rows, "raw").select("row_id", *[F.round(c, 9).alias(c) for c in ("epsilon", "local_sensitivity", "sigma")], "solved")
+
 
+_NOISE = f"WITH RECURSIVE {S.VECTORS}, {S.CALIBRATION}, {S.DRAWS}, q AS (SELECT g.vec_id, cal.sigma, cal.sigma * 0.01::DOUBLE / 8 AS step, x, z FROM g JOIN cal ON cal.vec_id = g.vec_id)"
 
-@_R.add("dp7_dp9_noise")
+
+@_R.add("dp7_dp9_noise", f"{_NOISE} SELECT vec_id AS row_id, round(any_value(step), 9) AS sigma_per_dim, round(sqrt(sum(step * z * step * z)), 8) AS noise_norm, 1.0::DOUBLE AS final_norm FROM q GROUP BY vec_id")
 def dp_noise(spark, sf):
     out = noised(spark, sf)
-    return out.select("row_id", F.round("sigma_per_dim", 9).alias("sigma_per_dim"), F.round(V.norm(F.col("noise")), 9).alias("noise_norm"), F.round(V.norm(V.normalize(F.col("noised"))), 9).alias("final_norm"))
+    return out.select("row_id", F.round("sigma_per_dim", 9).alias("sigma_per_dim"), F.round(V.norm(F.col("noise")), 8).alias("noise_norm"), F.round(V.norm(V.normalize(F.col("noised"))), 8).alias("final_norm"))
 
 
 @_R.add("dp8_fixed_noise", f"""{_N}, u AS (SELECT vec_id, n, unnest(v) AS x, unnest(range(len(v))) AS i FROM n),
@@ -132,13 +138,27 @@ def dp_fixed(spark, sf):
     return rows.select("row_id", F.round(V.norm(V.added(F.col("clipped"), F.col("z"))), 6).alias("noised_norm"), F.round(N.noise_to_signal(F.col("z"), F.col("clipped")), 6).alias("noise_to_signal"))
 
 
-@_R.add("dp11_noise_report")
+@_R.add("dp11_noise_report", f"""{_NOISE}, r AS (SELECT vec_id, any_value(sigma) AS sigma, sqrt(sum(step * z * step * z)) / greatest(sqrt(sum(x * x)), 1e-12) AS nsr FROM q GROUP BY vec_id)
+SELECT round(avg(nsr), 8) AS mean_nsr, round(min(sigma), 8) AS min_sigma, round(max(sigma), 8) AS max_sigma, count(*) AS solved FROM r""")
 def dp_report(spark, sf):
     out = noised(spark, sf)
-    return out.agg(F.avg(N.noise_to_signal(F.col("noise"), F.col("clipped"))).alias("mean_nsr"), F.min("sigma").alias("min_sigma"), F.max("sigma").alias("max_sigma"), F.sum(F.col("solved").cast("int")).alias("solved"))
+    return out.agg(F.round(F.avg(N.noise_to_signal(F.col("noise"), F.col("clipped"))), 8).alias("mean_nsr"), F.round(F.min("sigma"), 8).alias("min_sigma"), F.round(F.max("sigma"), 8).alias("max_sigma"), F.sum(F.col("solved").cast("long")).alias("solved"))
+
+
+_JL = f"""w AS (SELECT i, j, {randomness.gaussian_sql(42, 'jl', 'i', 'j')} / sqrt(32.0::DOUBLE) AS w FROM range(64) a(i), range(32) b(j)), u0 AS (SELECT vec_id, n, unnest(v) AS x, unnest(range(64)) AS i FROM n),
+y AS (SELECT vec_id, j, sum(x / greatest(n, 1e-12) * w) AS y FROM u0 JOIN w USING (i) GROUP BY ALL), jl AS (SELECT vec_id, j AS i, y / sqrt(sum(y * y) OVER (PARTITION BY vec_id)) AS x FROM y)"""
+_ABLATIONS = f"""WITH RECURSIVE {S.VECTORS}, {S.CALIBRATION}, {_JL}, base AS (SELECT 'jl' AS kind, vec_id, i, x FROM jl UNION ALL SELECT 'raw', vec_id, i, x / greatest(1.0, n) FROM u0),
+d AS (SELECT kind, vec_id, i, x, {randomness.gaussian_sql(42, 'dp', 'vec_id', 'i')} AS z FROM base),
+k(variant, kind, form) AS (VALUES ('full', 'jl', 1), ('no_dp', 'jl', 2), ('no_dimension_scaling', 'jl', 3), ('fixed_calibration', 'jl', 4), ('dp_before_jl', 'raw', 5), ('no_jl', 'raw', 5)),
+t AS (SELECT variant, d.vec_id, i, x, z * CASE form WHEN 1 THEN cal.sigma * 0.01 / sqrt(32.0) WHEN 2 THEN 0 WHEN 3 THEN cal.sigma * 0.01 WHEN 4 THEN f.u * 0.35 * 0.01 / sqrt(32.0) ELSE cal.sigma * 0.01 / 8 END AS e
+  FROM d JOIN k ON k.kind = d.kind JOIN cal ON cal.vec_id = d.vec_id, (SELECT {N.multiplier(4.0, 1e-5)[0]!r}::DOUBLE AS u) f),
+c AS (SELECT variant, vec_id, sqrt(sum(e * e)) / greatest(sqrt(sum(x * x)), 1e-12) AS nsr, sum(x * (x + e)) / (sqrt(sum(x * x)) * sqrt(sum((x + e) * (x + e)))) AS cosine FROM t GROUP BY ALL),
+o AS (SELECT vec_id, j, sum((x + e) * w) AS y FROM t JOIN w USING (i) WHERE variant = 'dp_before_jl' GROUP BY ALL),
+b AS (SELECT o.vec_id, sum(jl.x * o.y) / sqrt(sum(o.y * o.y)) AS cosine FROM o JOIN jl ON jl.vec_id = o.vec_id AND jl.i = o.j GROUP BY ALL)
+SELECT variant, round(avg(nsr), 8) AS mean_nsr, round(CASE WHEN variant = 'dp_before_jl' THEN (SELECT avg(cosine) FROM b) ELSE avg(cosine) END, 8) AS mean_cosine FROM c GROUP BY variant"""
 
 
-@_R.add("dp12_dp17_ablations")
+@_R.add("dp12_dp16_ablations", _ABLATIONS)
 def dp_ablations(spark, sf):
     """Mean noise-to-signal and direction cosine of each variant, in one pass."""
     ship(spark)
@@ -158,6 +178,6 @@ def dp_ablations(spark, sf):
         nsr = N.noise_to_signal(F.col("noise"), F.col("clipped"))
         if name == "dp_before_jl":
             rows = P.project(rows, projector, "noised", "noised").withColumn("signal", F.col("projected"))
-        part = rows.agg(F.lit(name).alias("variant"), F.avg(nsr).alias("mean_nsr"), F.avg(V.cosine(F.col("signal"), F.col("noised"))).alias("mean_cosine"))
+        part = rows.agg(F.lit(name).alias("variant"), F.round(F.avg(nsr), 8).alias("mean_nsr"), F.round(F.avg(V.cosine(F.col("signal"), F.col("noised"))), 8).alias("mean_cosine"))
         out = part if out is None else out.unionByName(part)
     return out
