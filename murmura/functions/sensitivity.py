@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,8 +36,22 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once however often the body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _ideographs(text: Column) -> Column:
+    """Whether any keyword or heuristic rule can match: all of them hold such a character."""
+    return text.rlike("[一-鿿]")
+
+
 def identifier_score(text: Column) -> Column:
-    return clip(sum((F.lit(w) * F.regexp_count(text, F.lit(IDENTIFIERS[k])) for k, w in IDENTIFIER_WEIGHTS.items()), F.lit(0.0)), 0.0, 1.0)
+    """Each pattern is tried only on texts that hold what all its matches hold."""
+    needs = {"Email": F.contains(text, F.lit("@")), "Money": text.rlike("[0-9]")}
+    long_number = text.rlike("[0-9]{11}")
+    found = (F.when(needs.get(k, long_number), F.lit(w) * F.regexp_count(text, F.lit(IDENTIFIERS[k]))).otherwise(F.lit(0.0)) for k, w in IDENTIFIER_WEIGHTS.items())
+    return clip(sum(found, F.lit(0.0)), 0.0, 1.0)
 
 
 def _present(text: Column, pattern: str, weight: float) -> Column:
@@ -58,10 +74,15 @@ def heuristic_score(text: Column) -> Column:
 def fused_score(text: Column, nlp: Column | None = None) -> Column:
     """Rules and a classifier's score (0 without one), in [0, 1]."""
     nlp = F.lit(0.0) if nlp is None else nlp
-    identifiers = identifier_score(text)
-    rule = clip(identifiers + keyword_score(text) + heuristic_score(text), 0.0, 1.0)
-    capped = F.when(is_public(text) & (rule < 0.2), F.least(nlp, F.lit(0.12))).otherwise(nlp)
-    return F.when(identifiers > 0.8, rule).otherwise(clip(F.lit(0.65) * rule + F.lit(0.35) * capped, 0.0, 1.0))
+
+    def whole(identifiers: Column, words: Column) -> Column:
+        rule = clip(identifiers + words.score, 0.0, 1.0)
+        capped = F.when(words.public & (rule < 0.2), F.least(nlp, F.lit(0.12))).otherwise(nlp)
+        return F.when(identifiers > 0.8, rule).otherwise(clip(F.lit(0.65) * rule + F.lit(0.35) * capped, 0.0, 1.0))
+
+    known = F.struct((keyword_score(text) + heuristic_score(text)).alias("score"), is_public(text).alias("public"))
+    words = F.when(_ideographs(text), known).otherwise(F.struct(F.lit(0.0).alias("score"), F.lit(False).alias("public")))
+    return _let(F.struct(identifier_score(text).alias("i"), words.alias("w")), lambda x: whole(x.i, x.w))
 
 
 def raw_score(score: Column) -> Column:
@@ -78,8 +99,7 @@ def legacy_delta(score: Column) -> Column:
 
 def profile(text: Column) -> Column:
     """Struct of score, raw_score, epsilon and delta."""
-    s = fused_score(text)
-    return F.struct(s.alias("score"), raw_score(s).alias("raw_score"), legacy_epsilon(s).alias("epsilon"), legacy_delta(s).alias("delta"))
+    return _let(fused_score(text), lambda s: F.struct(s.alias("score"), raw_score(s).alias("raw_score"), legacy_epsilon(s).alias("epsilon"), legacy_delta(s).alias("delta")))
 
 
 def entity_count(text: Column, kind: str) -> Column:

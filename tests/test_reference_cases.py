@@ -171,7 +171,61 @@ def test_bootstrap_covers_all_three_metrics(spark):
 def test_slices_of_all_sizes(spark):
     from murmura.plans import registry
 
-    sf, q = "/root/testdata/sf0.1", registry.queries()
-    rows = {r["size"]: r.mean_best for r in q["grd4_scale_slices_all"](spark, sf).collect()}
-    assert set(rows) == {100, 300, 500, 1000} and all(rows[r["size"]] == r.mean_best for r in q["grd4_scale_slices"](spark, sf).collect())
-    assert "grd1_scale_sweep" in q
+    assert {r["size"] for r in registry.queries()["grd4_scale_slices"](spark, "/root/testdata/sf0.1").collect()} == {100, 300, 500, 1000}
+
+
+def test_running_sums_over_many_ranges(spark):
+    from murmura.operators import ordered
+
+    rows = [(i, i % 3, float(i % 7)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, grp int, x double").repartition(7)
+    out = {r.id: r for r in ordered.running_sums(df, [F.col("id").desc()], {"upto": F.col("x"), "no": F.lit(1).cast("long")}, ("grp",)).collect()}
+    for i, g, _ in rows:
+        before = [r for r in rows if r[1] == g and r[0] >= i]
+        assert out[i].no == len(before) and out[i].upto == sum(r[2] for r in before)
+    assert ordered.numbered(df.limit(0), [F.col("id")], "no").count() == 0
+
+
+def test_splits(spark):
+    docs = spark.createDataFrame([(f"d{i}", 2) for i in range(12)], "name string, chunks int")
+    assert sorted(r["count"] for r in security.disjoint_split(docs, "name", 7).groupBy("grp").count().collect()) == [3, 3, 3, 3]
+    with pytest.raises(ValueError, match="source documents"):
+        security.disjoint_split(docs.limit(3), "name", 7)
+    out = security.cyclic_split(docs, "name", "chunks", 7, 5)
+    assert [r.n for r in out.groupBy("grp").agg(F.sum("taken").alias("n")).orderBy("grp").collect()] == [5, 5, 5, 5] and security.overlapping(out, "name").count() == 0
+    with pytest.raises(ValueError, match="chunks"):
+        security.cyclic_split(docs, "name", "chunks", 7, 7)
+
+
+def test_shadow_attack_tells_clusters_apart(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, i % 2, (rng.normal(size=4) + (2 if i % 2 else -2)).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, label int, vec array<double>")
+    out = security.shadow_attack(df.where("id < 60"), df.where("id >= 60"))
+    assert out.count() == 60 and security.auc(out).first().auc > 0.95 and out.where("prediction <> label").count() <= 3
+
+
+def test_linkage_needs_one_width(spark):
+    a = spark.createDataFrame([(0, [1.0, 0.0, 0.0])], "query_id long, vec array<double>")
+    b = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0])], "doc_id long, vec array<double>")
+    with pytest.raises(Exception, match="numbers"):
+        retrieval.linkage(a, b, 1).collect()
+    with pytest.raises(ValueError):
+        retrieval.top_k(a, b, 0)
+
+
+def test_no_jl_ablations_keep_their_width(spark):
+    from murmura.operators import noise
+    from murmura.plans import experiment_queries
+
+    rows = spark.createDataFrame([(i, [float(i + j % 5) for j in range(1024)], float(i + 1)) for i in range(6)], "doc_id long, vec array<double>, raw double")
+    variants, names = experiment_queries.no_jl_variants(noise.calibrate(rows, "raw"), (0.01,))
+    assert [n.split()[0] for n in names] == ["full", "no_dp", "no_dimension_scaling", "fixed_calibration"]
+    assert {(r["variant"], r["size(vec)"]) for r in variants.select("variant", F.size("vec")).collect()} == {(n, 1024) for n in names} and variants.count() == 24
+
+
+def test_answers_and_panels(spark):
+    rows = spark.createDataFrame([("  问题：why  why 请直接给出简洁且专业的回答： so  ", "why"), ("why", "why"), ("plain", "why"), (None, "why")], "a string, q string")
+    assert [r[0] for r in rows.select(C.cleaned_answer(F.col("a"), F.col("q"))).collect()] == ["so", C.NO_ANSWER, "plain", C.NO_ANSWER]
+    lines = spark.createDataFrame([("a  \nb\t\n" + "c" * 30,), ("short",)], "t string")
+    assert [r[0] for r in lines.select(C.panel(F.col("t"), 10)).collect()] == ["a\nb\nccc...", "short"]
