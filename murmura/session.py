@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 #: Tables of materialize() that are still there.
 _TABLES: dict[str, SparkSession] = {}
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def ship(spark: SparkSession) -> None:
@@ -75,10 +79,25 @@ def materialize_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     if not _TABLES:
         atexit.register(_forget_all)
     _TABLES[path] = spark
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that materialize() makes inside go at its end, but those whose paths are taken out of the list."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+    for path in made:
+        forget(spark, path)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a table made by materialize_at() that no later plan reads."""
     sc = spark.sparkContext
