@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm.chars import distinct
-from murmura.session import forget, materialize, materialize_at
+from murmura.session import forget, materialize, materialize_at, scratch
 
 BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
@@ -298,6 +298,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """(doc_id, n_shingles, component_id, kept) for each document."""
     docs = docs.select("doc_id", "text")
     rows = materialize(sketch_rows(docs, words), "sketches")
+    with scratch(docs.sparkSession) as made:
+        named, path = materialize_at(_components_of_classes(docs, rows, words, percent), "named")
+        made.remove(path)
+    out = rows.join(named, "node", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _components_of_classes(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, component_id) of the classes that aren't alone."""
     some = rows.where("node IS NOT NULL")
     # a class is stood for by the text of its row with the smallest id; null ids are last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("f")
@@ -316,9 +325,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     comp = classes.select("node", F.col("doc_id").alias("first_id"), "copies").join(known.select("node", F.col("known").alias("root")), "node", "left")
     comp = comp.where("root IS NOT NULL OR copies > 1").withColumn("root", F.coalesce("root", "node"))
     least = comp.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialize(comp.join(least, "root").select("node", "component_id"), "named")
-    out = rows.join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return comp.join(least, "root").select("node", "component_id")
 
 
 def _key(*columns: str) -> Column:
