@@ -2,9 +2,10 @@
 
 Inputs. A word's vector is the sum of a row for the word and rows for its characters: its beginnings
 and ends of 3 to 5 characters and its runs of 3, as far as MIN_TEXTS training texts have them. So
-unknown forms of known stems are near them, and what is rare carries no weight. Runs of over 40 characters, as in texts without blanks, are cut into
-pieces of up to 40, each beginning 20 after the last one. A text's words are scored in windows of WINDOW words, each STRIDE words on from
-the last one; all windows count, and the highest is the text's score.
+unknown forms of known stems are near them, and what is rare carries no weight. Runs of over 40
+characters, as in texts without blanks, are cut into pieces of up to 40, each beginning 20 after the last
+one. A text's words are scored in windows of WINDOW words, each STRIDE words on from the last one; all
+windows count, and the highest is the text's score.
 
 Network. Two gated recurrent units read a window in both directions; a learned attention weighs their
 states into one vector, from which a logistic unit gives the window's score. Training (Adam, written
@@ -12,7 +13,8 @@ out below) starts with every window carrying its text's label and goes on with e
 windows and the clean texts' worst ones, as a text is toxic by some window of its own.
 
 Training reads at most `max_toxic` and `max_clean` labelled texts, those first in the order of a hash
-of their ids, and at most `max_windows` windows of each (chosen over the whole text). These are the
+of their ids (of an id's several texts the least), and at most `max_windows` windows of each (chosen over
+the whole text). These are the
 documented bounds of the sample; texts to be scored are read whole.
 
 Defined results: a null text is an empty one, scored as a window without words; without labelled rows
@@ -451,7 +453,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean: in
     chosen = marked.where("y = 0").orderBy("o", "labelled_id").limit(2 * max_clean).unionByName(marked.where("y = 1").orderBy("o", "labelled_id").limit(2 * max_toxic))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
     joined = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))
-    rows = joined.select("o", "doc_id", "text", "y").collect()
+    rows = joined.groupBy("o", "doc_id", "y").agg(F.min("text").alias("text")).collect()  # one text an id, however often it is repeated
     rows.sort(key=lambda r: (r.o, r.doc_id, r.text))
     pairs = []
     for y, most in ((0, max_clean), (1, max_toxic)):
