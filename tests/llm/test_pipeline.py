@@ -59,7 +59,11 @@ def test_op7_scores_whole_tables(spark, folder, network):
     out = queries.op7_toxicity(spark, folder).collect()
     rows = ROWS
     want = toxicity.Scorer(network).scores([r[1] or "" for r in rows])
-    assert sorted((str(r.doc_id), round(r.score, 6), r.held_out, r.predicted) for r in out) == sorted((str(r[0]), round(float(s), 6), held_out(r[0]), int(s >= 0.7)) for r, s in zip(rows, want))
+    got = sorted(((str(r.doc_id), r.score, r.held_out, r.predicted) for r in out))
+    mine = sorted((str(r[0]), float(s), held_out(r[0]), int(s >= 0.7)) for r, s in zip(rows, want))
+    # sums of 32-bit numbers may differ in their last digits with the batch that a text is in
+    assert [(g[0], g[2]) for g in got] == [(m[0], m[2]) for m in mine] and np.allclose([g[1] for g in got], [m[1] for m in mine], atol=1e-5)
+    assert all(g[3] == (g[1] >= 0.7) for g in got)
     tested = [(r.predicted, r.doc_id % 2 == 0) for r in out if r.held_out and r.doc_id < 240]
     assert np.mean([a == b for a, b in tested]) > 0.9
 
