@@ -78,3 +78,11 @@ def largest_slice(rows: DataFrame, size: str) -> DataFrame:
 def first_valid(*columns: Column) -> Column:
     """The first value that is there, is a number and is positive."""
     return F.coalesce(*[F.when(~F.isnan(c) & (c > 0), c) for c in columns])
+
+
+def numbers(listed: str, kind: type = float, default: float | None = None) -> list:
+    """The positive numbers of a comma-separated list, sorted and once each, with a default among them."""
+    found = [kind(x) for x in listed.split(",") if x.strip()]
+    if not found or min(found) <= 0:
+        raise ValueError("a list of positive numbers is needed")
+    return sorted({*found, *([] if default is None else [kind(default)])})

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from murmura.operators.chunking import identity
+
 TEXT, LENIENT_TEXT = ("txt", "md"), ("", "txt", "md", "csv", "log")
 OFFICE = ("pdf", "docx", "xlsx", "xls", "pptx")
 
@@ -74,15 +76,19 @@ def read_xlsx(data: bytes) -> str:
     return "\n".join(lines)
 
 
-def read_pdf(data: bytes) -> str:
+def read_pdf(data: bytes, between: str = "") -> str:
     try:
         import pypdf
     except ImportError:  # an optional library: without it such files are empty
         return ""
-    return "".join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(data)).pages)
+    return between.join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(data)).pages)
+
+
+def read_lenient_pdf(data: bytes) -> str:
+    return read_pdf(data, "\n")
 
 
-READERS: dict[str, Callable[[bytes], str]] = {"pdf": read_pdf, "docx": read_docx, "pptx": read_pptx, "xlsx": read_xlsx}
+READERS: dict[str, Callable[[bytes], str]] = {"pdf": read_pdf, "lenient pdf": read_lenient_pdf, "docx": read_docx, "pptx": read_pptx, "xlsx": read_xlsx}
 
 
 @F.pandas_udf(T.StringType())
@@ -104,17 +110,20 @@ def load_documents(spark: SparkSession, folder: str, recursive: bool = False, le
     name = file_name(F.col("path"))
     if recursive:
         rows = rows.where(~F.startswith(name, F.lit(".")))
-    text = F.when(F.col("kind") == "text", decode(F.col("content"), lenient)).otherwise(office_text("content", "kind"))
+    text = F.when(F.col("kind") == "text", decode(F.col("content"), lenient)).otherwise(office_text("content", F.when(F.lit(lenient) & (F.col("kind") == "pdf"), F.lit("lenient pdf")).otherwise(F.col("kind"))))
     root = folder.rstrip("/").split("://")[-1] + "/"
     shown = F.substring_index(F.col("path"), root, -1) if recursive else name
     return rows.select(shown.alias("filename"), text.alias("content")).where(F.regexp_replace("content", r"(?U)\s", "") != "").orderBy("filename")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_params(spark: SparkSession, path: str) -> dict:
     """A JSON object; {} where there is no file."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not exists(spark, path):
         return {}
     return json.loads("\n".join(r.value for r in spark.read.text(path).collect()))
 
@@ -129,4 +138,15 @@ def write_metrics(rows: DataFrame, path: str) -> None:
 
 
 def read_chat(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("role string, content string").option("multiLine", True).json(path)
+    """(role, content) of a JSON list of turns; no rows where there is no file."""
+    schema = "role string, content string"
+    return spark.read.schema(schema).option("multiLine", True).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def load_document(spark: SparkSession, folder: str, name: str, identity_name: str = "identity.md") -> DataFrame:
+    """(filename, content) of one document, the text that sets the answering role with its heading; no row for a name that isn't there or isn't read."""
+    path = f"{folder.rstrip('/')}/{name}"
+    if "/" in name or not exists(spark, path):
+        return spark.createDataFrame([], "filename string, content string")
+    rows = load_documents(spark, path, lenient=True)
+    return rows.withColumn("content", identity(F.col("content"))) if name == identity_name else rows

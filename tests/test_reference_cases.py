@@ -229,3 +229,20 @@ def test_answers_and_panels(spark):
     assert [r[0] for r in rows.select(C.cleaned_answer(F.col("a"), F.col("q"))).collect()] == ["so", C.NO_ANSWER, "plain", C.NO_ANSWER]
     lines = spark.createDataFrame([("a  \nb\t\n" + "c" * 30,), ("short",)], "t string")
     assert [r[0] for r in lines.select(C.panel(F.col("t"), 10)).collect()] == ["a\nb\nccc...", "short"]
+
+
+def test_lists_of_numbers():
+    assert grids.numbers(" 64, 16,64", int, 32) == [16, 32, 64] and grids.numbers("0.5") == [0.5]
+    for bad in ("", "0,1", "-1"):
+        with pytest.raises(ValueError):
+            grids.numbers(bad)
+
+
+def test_single_documents_and_chats(spark, tmp_path):
+    (tmp_path / "identity.md").write_text("be brief", encoding="utf-8")
+    (tmp_path / "a.csv").write_text("x,y", encoding="utf-8")
+    (tmp_path / "c.json").write_text('[{"role": "user", "content": "hi"}]', encoding="utf-8")
+    read = lambda n: [tuple(r) for r in files.load_document(spark, f"file://{tmp_path}", n).collect()]
+    assert read("identity.md") == [("identity.md", "[系统角色提示]\nbe brief\n\n")] and read("a.csv") == [("a.csv", "x,y")] and read("no.txt") == []
+    assert [tuple(r) for r in files.read_chat(spark, f"file://{tmp_path}/c.json").collect()] == [("user", "hi")]
+    assert files.read_chat(spark, f"file://{tmp_path}/none.json").count() == 0
