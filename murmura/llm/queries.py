@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole table, and the SQL that checks them."""
+"""The queries of the operators, each over its whole table, and the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import bpe, chat, jpeg, line_dedup, near_dup, packing, toxicity, url_filter, vectors, warc
+from murmura.llm import bpe, chat, filter_audit, jpeg, line_dedup, near_dup, packing, toxicity, url_filter, vectors, warc
 from murmura.session import materialize, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,8 +87,15 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_warc, op2_url_filters, op3_bpe, op4_nearest, op5_media, op6_chat, op7_toxicity, op8_packing, op9_line_dedup, op10_near_dup)
+    found = (
+        op1_warc, op2_url_filters, op3_bpe, op4_nearest, op5_media, op6_chat, op7_toxicity, op8_packing, op9_line_dedup, op10_near_dup, op12_filter_audit,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -171,4 +178,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat": chat.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
         "op10_near_dup": _NEAR_DUP,
+        "op12_filter_audit": filter_audit.ORACLE,
     }
