@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import bpe, chat, filter_audit, jpeg, line_dedup, near_dup, packing, toxicity, url_filter, vectors, warc
+from murmura.llm import bpe, chat, filter_audit, jpeg, line_dedup, merkle, near_dup, packing, toxicity, url_filter, vectors, warc
 from murmura.session import materialize, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,9 +92,14 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (
-        op1_warc, op2_url_filters, op3_bpe, op4_nearest, op5_media, op6_chat, op7_toxicity, op8_packing, op9_line_dedup, op10_near_dup, op12_filter_audit,
+        op1_warc, op2_url_filters, op3_bpe, op4_nearest, op5_media, op6_chat, op7_toxicity, op8_packing, op9_line_dedup, op10_near_dup, op12_filter_audit, op13_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
@@ -179,4 +184,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_line_dedup": line_dedup.ORACLE,
         "op10_near_dup": _NEAR_DUP,
         "op12_filter_audit": filter_audit.ORACLE,
+        "op13_merkle_manifest": merkle.ORACLE,
     }
