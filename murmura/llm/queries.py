@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import bpe, chat, filter_audit, jpeg, line_dedup, merkle, near_dup, packing, toxicity, url_filter, vectors, warc
+from murmura.llm import bpe, chat, filter_audit, jpeg, language, line_dedup, merkle, near_dup, packing, toxicity, url_filter, vectors, warc
 from murmura.session import materialize, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,13 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -99,7 +106,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (
-        op1_warc, op2_url_filters, op3_bpe, op4_nearest, op5_media, op6_chat, op7_toxicity, op8_packing, op9_line_dedup, op10_near_dup, op12_filter_audit, op13_merkle_manifest,
+        op1_warc, op2_url_filters, op3_bpe, op4_nearest, op5_media, op6_chat, op7_toxicity, op8_packing, op9_line_dedup, op10_near_dup, op11_language_id, op12_filter_audit, op13_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 

@@ -6,9 +6,10 @@ import zlib
 from collections import defaultdict
 from itertools import permutations
 
+import numpy as np
 import pytest
 
-from murmura.llm import filter_audit, merkle
+from murmura.llm import filter_audit, language, merkle
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, digest string, part string, n long, tree string, no long"
 
@@ -26,6 +27,93 @@ ROWS = [
 ]
 
 
+# -- 11
+
+
+def brute_subwords(text):
+    """Runs of 1 to 4 places with letters only, but for a boundary at either end and not alone."""
+    mark = "\0"
+    t = mark + "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else mark for c in text) + mark
+    runs = [t[i : i + n] for n in (1, 2, 3, 4) for i in range(len(t) - n + 1)]
+    return sorted(r for r in runs if mark not in r[1:-1] and (r.strip(mark) if len(r) < 3 else True) and r != mark)
+
+
+@pytest.mark.parametrize("text", ["", "a", "1", "Ab c", "don't É ẞİ", "日本語 x", "ab" * 9 + "  \n" + "abc " * 5])
+def test_subwords_are_those_of_plain_loops(monkeypatch, text):
+    want = brute_subwords(text)
+    ids = {r: i for i, r in enumerate(dict.fromkeys(want))}
+    for size in (1, 2, 3, 5, 1 << 18):  # pieces of any length give the same subwords
+        monkeypatch.setattr(language, "_CHARS", size)
+        found = []
+        for letters, n in language.pieces(text):
+            rows, there = language.subwords(letters, n)
+            found += [(k, int(r)) for k, (row, t) in enumerate(zip(rows, there)) for r in row[t]]
+        assert len(found) == len(want)
+        hashes = sorted(found)
+        again = sorted((len(r) - 1, hash_of(r)) for r in ids for _ in range(want.count(r)))
+        assert hashes == again
+
+
+def hash_of(run):
+    cps = np.array([ord(c) if c != "\0" else 0 for c in run] + [0, 0, 0], np.uint32)
+    return int(language.subwords(cps, 1)[0][len(run) - 1, 0])
+
+
+def toy(n=60):
+    import random
+
+    r = random.Random(3)
+    say = {"aa": "ba be bi".split(), "bb": "ку ки ко".split(), "cc": "xoz xuz xyz".split()}
+    return [(" ".join(r.choice(w) for _ in range(r.randint(3, 30))), y) for _ in range(n) for y, w in say.items()]
+
+
+def test_scores_do_not_depend_on_batches_or_pieces(monkeypatch):
+    model = language.train(toy())
+    texts = [t for t, _ in toy(9)] + ["", "12", "ba" * 40, "ku xoz", "ba be"]
+    whole, alone = model.sums(texts), [model.sums([t]) for t in texts]
+    assert np.array_equal(whole[0], np.concatenate([x for x, _ in alone])) and np.array_equal(whole[1], np.concatenate([x for _, x in alone]))
+    monkeypatch.setattr(language, "_CHARS", 7)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, model.sums(texts)))
+    found = model.predict(texts)
+    assert found["lang_pred"][:27].tolist() == [y for _, y in toy(9)] and found["lang_pred"][27:29].tolist() == ["und", "und"]
+    assert found["score"][27] == 0 and found["rejected"][27] and (found["score"].between(0, 1)).all()
+
+
+def test_a_model_of_many_languages_keeps_its_rows():
+    r = np.random.default_rng(2)
+    texts = [("".join(chr(97 + k) if r.random() < 0.8 else chr(97 + r.integers(26)) for _ in range(60)), f"l{k:02}") for _ in range(30) for k in range(20)]
+    model = language.train(texts)
+    assert model.table.shape[1] == language.WIDTH and (model.predict([t for t, _ in texts])["lang_pred"] == [y for _, y in texts]).mean() > 0.95
+
+
+def test_what_cannot_be_learned():
+    assert language.train([]) is None and language.train([("12 !", "en")]) is None
+    one = language.train([("some words", "en")] * 3).predict(["anything", "77"])
+    assert one["lang_pred"].tolist() == ["en", "und"] and one["score"].tolist() == [1.0, 0.0]
+
+
+def test_languages_of_tables(spark):
+    rows = [(i, t, y, "s", 1) for i, (t, y) in enumerate(toy())] + [(500, None, "aa", "s", 1), (501, "", None, "s", 1), (502, "ba be " * 90_000, None, "s", 1), (None, "ba bi", "aa", "s", 1), (0, toy()[0][0], "aa", "s", 1)]
+    docs = documents(spark, rows)
+    found = language.identify(docs, language.fit(docs)).collect()
+    got = {r.doc_id: (r.lang_pred, r.score) for r in found}
+    assert len(found) == len(rows) and got[500] == got[501] == ("und", 0.0) and got[502][0] == got[None][0] == "aa"
+    assert all(got[i][0] == y for i, (_, y) in enumerate(toy()))
+    unknown = documents(spark, [(1, "text", None, "s", 1)])
+    assert [tuple(r) for r in language.identify(unknown, language.fit(unknown)).collect()] == [(1, "und", 0.0, True)]
+    assert language.identify(docs.limit(0), language.fit(docs.limit(0))).count() == 0
+
+
+def test_op11_on_rows_held_out(spark):
+    from murmura.llm.queries import op11_language_id
+
+    found = op11_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    assert len(found) == 1000 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in found)
+    held = [r for r in found if r.held_out]
+    kept = [r for r in held if not r.rejected]
+    assert np.mean([r.lang_pred == r.lang for r in held]) > 0.97 and len(kept) > 0.9 * len(held) and np.mean([r.lang_pred == r.lang for r in kept]) > 0.98
+
+
 # -- 12
 
 
