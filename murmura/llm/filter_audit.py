@@ -21,6 +21,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmura.session import materialize
+
 FILTERS = "ABCDE"
 _SETS = range(1 << len(FILTERS))
 _SALTS = 16
@@ -75,6 +77,7 @@ def failure_sets(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = ["digest", "part", "failed", "good", "toxic"]
     at_least = F.coalesce(F.min_by("n", "doc_id"), F.lit(0)).alias("at_least")  # rows of the smallest id; an id has one row here
     groups = flagged(docs, labels).groupBy(*held).agg(F.sum("n").alias("n"), F.min("doc_id").alias("least"), at_least, F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))), F.lit(0)).alias("no_id"))
+    groups = materialize(groups, "groups")
     # a text's smallest id: sought among its groups, which meet through salts as a text may be in many parts
     first = groups.groupBy("digest").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     salted = first.select(F.col("digest").alias("f_digest"), "first", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("f_salt"))
