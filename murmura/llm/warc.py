@@ -2,7 +2,7 @@
 
 Reader. Each position must hold a gzip member or a plain record that passes every check: the
 member's CRC and end, the version line, the header's fields, a whole block, the closing blank lines
-and, where given, the block digest. After a failed check the reader searches for the next gzip magic
+and, where given, the block digest. Numbers are read up to 64 bits and members one level deep. After a failed check the reader searches for the next gzip magic
 or version line from which a record passes all of these, goes on there, and logs the bytes between
 as a gap. A member that unpacks but holds damaged records is searched in the same way inside.
 
@@ -17,6 +17,7 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
@@ -92,11 +93,11 @@ def _parse(buf: bytes, at: int) -> tuple[dict, int]:
         if name == "warc-type" and name in head:
             raise Damaged("header runs into another")
         head[name] = value.decode("utf-8", "replace").strip()
-    size = head.get("content-length", "")
-    if not (size.isascii() and size.isdigit()):
+    size = _number(head.get("content-length", ""))
+    if size is None or size < 0:
         raise Damaged("no content length")
     start = end + 4
-    stop = start + int(size)
+    stop = start + size
     if buf[stop : stop + 4] != b"\r\n\r\n":
         raise Damaged("block without closing lines")
     block = buf[start:stop]
@@ -120,14 +121,16 @@ def _unpack(buf: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(parts), fed - len(z.unused_data)
 
 
-def _entry(buf: bytes, view: memoryview, at: int) -> tuple[list[dict], list[tuple[int, int, str]], int]:
+def _entry(buf: bytes, view: memoryview, at: int, inside: bool) -> tuple[list[dict], list[tuple[int, int, str]], int]:
     """Records (and gaps inside a member) of what stands at a position, and its end."""
     if buf[at : at + 3] != _MAGIC:
         found, end = _parse(buf, at)
         return [found], [], end
+    if inside:
+        raise Damaged("member inside a member")
     plain, end = _unpack(view, at)
     records, gaps = [], []
-    for kind, start, stop, what in _walk(plain):
+    for kind, start, stop, what in _walk(plain, True):
         if kind == "gap":
             gaps.append((start, stop, what))
         else:
@@ -143,12 +146,15 @@ def _next(buf: bytes, at: int) -> int:
     return min(found, default=len(buf))
 
 
-def _walk(buf: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """('record', start, end, record) and ('gap', start, end, reason) in order, covering the buffer."""
+def _walk(buf: bytes, inside: bool = False) -> Iterator[tuple[str, int, int, object]]:
+    """('record', start, end, record) and ('gap', start, end, reason) in order, covering the buffer.
+
+    inside: the buffer is what a member held; members in it are gaps.
+    """
     at, view, bad, why = 0, memoryview(buf), None, ""
     while at < len(buf):
         try:
-            records, inner, end = _entry(buf, view, at)
+            records, inner, end = _entry(buf, view, at, inside)
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
@@ -166,9 +172,16 @@ def _walk(buf: bytes) -> Iterator[tuple[str, int, int, object]]:
         yield "gap", bad, len(buf), why
 
 
+def _number(text: str | bytes) -> int | None:
+    """A whole number of 64 bits in ASCII digits; null for anything else."""
+    text = text.decode("latin-1") if isinstance(text, bytes) else text
+    parts = re.fullmatch(r"[ \t]*(-?)0*([0-9]{1,19})[ \t]*", text)
+    found = int(parts[1] + parts[2]) if parts else None
+    return found if found is not None and -(1 << 63) <= found < 1 << 63 else None
+
+
 def _page(uri: str | None) -> int | None:
-    found = (uri or "").removeprefix("<urn:x-page:").removesuffix(">")
-    return int(found) if found.removeprefix("-").isdigit() else None
+    return _number((uri or "").removeprefix("<urn:x-page:").removesuffix(">"))
 
 
 def _row(name: str, start: int, end: int, found: dict, with_payload: bool) -> tuple:
@@ -176,7 +189,7 @@ def _row(name: str, start: int, end: int, found: dict, with_payload: bool) -> tu
     http, _, payload = bytes(block).partition(b"\r\n\r\n")
     kind = head.get("warc-type")
     if kind == "revisit":
-        size = next((int(x[15:]) for x in http.lower().split(b"\r\n") if x.startswith(b"content-length:") and x[15:].strip().isdigit()), None)
+        size = next((n for x in http.lower().split(b"\r\n") if x.startswith(b"content-length:") and (n := _number(x[15:])) is not None), None)
         digest, payload = head.get("warc-payload-digest", "").removeprefix("sha256:") or None, None
     else:
         size, digest = len(payload), hashlib.sha256(payload).hexdigest()
