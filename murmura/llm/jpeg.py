@@ -312,6 +312,8 @@ class _Lanes:
         keep = ~((before == 0xFF) & (body == 0))
         keep[marks] = False
         keep[marks + 1] = False
+        if 2 * n_blocks > 8 * int(keep.sum()):  # a block has two codes at least; checked before anything of its size is made
+            raise BadImage("scan too short for the size")
         edges = np.cumsum(np.concatenate([[0], keep]))
         bounds = edges[np.concatenate([[0], marks, [len(body)]])]
         per = scan.restart * len(pattern) if scan.restart else n_blocks
