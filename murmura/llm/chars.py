@@ -22,6 +22,12 @@ def classes() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> np.ndarray:
+    """Which code points Python's Unicode data doesn't know; newer data may."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
+
+
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), "<u4")
 

@@ -55,8 +55,8 @@ class WordEncoder:
 
     The pieces of many texts (letters, single numbers, other characters, contractions) are found in
     numpy; a zero after each stands for the suffix, so that tiktoken's core can merge them by the same
-    ranks. Texts with a zero character or a special token, and vocabularies of another make, are left to
-    the tokenizers library.
+    ranks. Texts with a zero character, a special token or a code point that Python's Unicode data doesn't
+    know, and vocabularies of another make, are left to the tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -93,8 +93,10 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, the length of each sentence that has any, and each text's number of those."""
         out, run = [], []
+        new = lambda text: chars.unassigned()[chars.points(text)].any()
+        some_new = new("".join(texts))
         for t in texts:
-            if self.core is None or "\0" in t or any(a in t for a in self.added):
+            if self.core is None or "\0" in t or any(a in t for a in self.added) or some_new and new(t):
                 out += [self._together(run)] if run else []
                 out.append(self._alone(t))
                 run = []
