@@ -77,6 +77,42 @@ def test_records_with_long_urls_are_read_back(spark):
     assert found(plain[0][:500_000] + plain[1]) == ([1], [(0, 500_000)])
 
 
+def test_hostile_fields_are_gaps_or_nulls():
+    good = warc.record(1, "http://x", b"p", hashlib.sha256(b"p").hexdigest(), 1, None)
+    endless = good.replace(b"Content-Length: ", b"Content-Length: " + b"9" * 5000)
+    assert found(endless + good) == ([1], [(0, len(endless))])
+    for odd in ("²", "9" * 30, "1" * 5000, "-", "0x1"):
+        raw = good.replace(b"<urn:x-page:1>", f"<urn:x-page:{odd}>".encode())
+        assert found(raw + good) == ([None, 1], [])
+    assert found(good.replace(b"<urn:x-page:1>", b"<urn:x-page:-%d>" % (1 << 63)))[0] == [-(1 << 63)]
+    revisit = warc.record(2, "http://x", b"p" * 200, hashlib.sha256(b"p" * 200).hexdigest(), 200, 1)
+    rows = list(warc.salvage("a", revisit.replace(b"Content-Length: 200", b"Content-Length: " + b"8" * 5000)))
+    assert all(r[1] in ("record", "gap") for r in rows)
+    nested = warc.member(good)
+    for _ in range(1200):
+        nested = warc.member(nested)
+    assert found(nested + warc.member(good)) == ([1], [(0, len(nested))])
+
+
+def test_salvage_of_flipped_cut_and_inserted_bytes():
+    r, parts = random.Random(8), archive(5)
+    plain = [warc.record(i, f"http://a/{i}", b"q%d" % i * 40, hashlib.sha256(b"q%d" % i * 40).hexdigest(), 80, None) for i in range(5)]
+    for n in range(2000):
+        data = bytearray(b"".join(r.sample(parts + plain, 6)))
+        for _ in range(r.randint(1, 4)):
+            at, kind = r.randrange(len(data)), r.randrange(3)
+            if kind == 0:
+                data[at] ^= 1 << r.randrange(8)
+            elif kind == 1:
+                del data[at : at + r.randint(1, 60)]
+            else:
+                data[at:at] = r.choice([b"WARC/1.1\r\n", b"\x1f\x8b\x08", b"Content-Length: 99999999999999999999\r\n", bytes(r.randrange(256) for _ in range(5))])
+        rows = list(warc.salvage("a", bytes(data)))
+        ranges = sorted({(x[2], x[2] + x[3]) for x in rows})
+        assert not data or ranges[0][0] == 0 and ranges[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:])), n
+        warc._frame(rows, [x.split()[0] for x in warc.RECORD_SCHEMA.split(", ")])
+
+
 # -- 2
 
 
@@ -227,6 +263,19 @@ def test_colour_thumbnail():
     assert (d.width, d.height, d.thumbnail.tolist()) == (16, 16, [[138, 148], [158, 168]])
 
 
+def test_a_size_that_the_scan_cannot_hold_is_an_error():
+    good = jpeg.store([bytes(range(64))])[0]
+    at = good.index(b"\xff\xc0") + 5  # height and width in the frame's header
+    false = good[:at] + b"\xff\xff\xff\xff" + good[at + 4 :]
+    assert jpeg.decode([false, good])[0].error == "scan too short for the size"
+    r = random.Random(4)
+    for _ in range(300):
+        data = bytearray(good)
+        for _ in range(r.randint(1, 3)):
+            data[r.randrange(2, len(data))] = r.randrange(256)
+        jpeg.decode([bytes(data)])
+
+
 # -- 6
 
 
@@ -336,6 +385,20 @@ def test_pieces_hold_all_ids(spark):
         assert [p.offset for p in mine] == [0, *np.cumsum([p.length for p in mine])[:-1].tolist()] and sum(p.length for p in mine) <= 2048
 
 
+def test_ids_of_all_code_points_are_the_librarys():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, library = packing.WordEncoder(path), Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    for begin in range(0, 0x40000, 1 << 14):  # beyond, one unassigned or private plane is like the next
+        some = [c for c in range(begin, begin + (1 << 14)) if not 0xD800 <= c < 0xE000]
+        texts = ["".join(f"a{chr(c)}b{chr(c)}{chr(c)} " for c in some[i : i + 64]) for i in range(0, len(some), 64)]
+        ids, sentences, per = encoder.encode(texts)
+        want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+        ends = np.cumsum(sentences)[np.cumsum(per) - 1]
+        assert [list(x) for x in np.split(ids, ends[:-1])] == want, hex(begin)
+
+
 # -- 9
 
 
