@@ -1,9 +1,11 @@
-"""Exact top-k search, filter-refine search, linkage, and what an index keeps.
+"""Exact top-k search, filter-refine search and linkage.
 
 Queries are dealt to blocks and candidates to tiles by hashes of their ids; a cell of the grid scores one
 block against one tile, some _SCORES at a time, and gives its k best for each query. Nothing is gathered
 on the driver, and a cell holds two bounded tables however many queries and candidates there are. Scores
 are rounded to 9 digits before ranking, ties go to the smaller id.
+
+Queries and candidates whose vector is null, or holds a null or a number that isn't finite, take no part.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.functions import vector
@@ -33,6 +35,12 @@ def _scores(q: np.ndarray, c: np.ndarray, measure: str) -> np.ndarray:
     return q @ c.T
 
 
+def usable(rows: DataFrame, vec: str = "vec") -> DataFrame:
+    """rows whose vector holds finite numbers only."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return rows.where(F.col(vec).isNotNull() & F.forall(F.col(vec).cast("array<double>"), finite))
+
+
 def top_k(
     queries: DataFrame, docs: DataFrame, k: int, measure: str = "cosine", q_id: str = "query_id", d_id: str = "doc_id", vec: str = "vec", by: str | None = None, variants: list[str] | None = None
 ) -> DataFrame:
@@ -43,6 +51,7 @@ def top_k(
     right = docs.select(F.col(d_id).alias("id"), F.col(vec).cast("array<double>").alias("v"), *([] if by is None else [F.col(by).alias("variant")]))
     if by is None:
         left, right = (t.withColumn("variant", F.lit("")) for t in (left, right))
+    left, right = usable(left, "v"), usable(right, "v")
     schema = "variant string, query_id long, doc_id long, score double"
     found = ranked(_cells(left, right).applyInPandas(_search(k, measure), schema), k, MEASURES[measure], "query_id", "variant")
     return found.drop("variant") if by is None else found.withColumnRenamed("variant", by)
@@ -72,6 +81,7 @@ def pair_sums(queries: DataFrame, variants: DataFrame, names: list[str]) -> Data
     """(variant, query_id, n, sum_a ... most_drift): over all documents, of cosines with ref (a) and vec (b), added up where they are found."""
     left = queries.select(F.col("query_id").alias("id"), F.col("vec").alias("v"), *_variant(queries, "variant", names))
     right = variants.select("variant", F.col("doc_id").alias("id"), F.col("vec").alias("v"), "ref")
+    left, right = usable(left, "v"), usable(usable(right, "v"), "ref")
 
     def add(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -145,17 +155,3 @@ def filter_refine(queries: DataFrame, docs: DataFrame, k: int, ratio: int, refer
 def linkage(protected: DataFrame, public: DataFrame, k: int, measure: str = "cosine") -> DataFrame:
     """For each protected vector the k nearest public ones."""
     return top_k(protected, public, k, measure)
-
-
-def write_index(rows: DataFrame, path: str, space: str = "cosine", id_col: str = "doc_id", vec: str = "vec") -> None:
-    """What search needs: (doc_id, vec) with the measure, as parquet; chunk records may be written beside it."""
-    if space not in MEASURES:
-        raise ValueError("space must be one of " + ", ".join(MEASURES))
-    rows.select(F.col(id_col).alias("doc_id"), F.col(vec).cast("array<double>").alias("vec"), F.lit(space).alias("space")).write.mode("overwrite").parquet(path)
-
-
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """The (doc_id, vec) table of an index and its measure ('cosine' for an empty one)."""
-    rows = spark.read.parquet(path)
-    first = rows.select("space").first()
-    return rows.select("doc_id", "vec"), first.space if first else "cosine"

@@ -15,7 +15,7 @@ from murmura.plans import sql_parts as S
 from murmura.plans.builder import Registry
 from murmura.plans.retrieval_queries import _tables
 from murmura.plans.security_queries import _GRID, _ROWS, _grid, _scored
-from murmura.session import materialize, shared_dir, ship, table
+from murmura.session import materialize, scratch_folder, ship, table
 
 _R = Registry()
 QUERIES, ORACLES = _R.queries, _R.oracles
@@ -268,18 +268,7 @@ def chart_rows(spark, sf):
     return G.largest_slice(g.withColumn("shown", G.first_valid(recall, F.col("mrr"))), "size").select("scheme", "variant", "shown")
 
 
-# -- index, encrypted distances as plain numbers, weights
-
-
-@_R.add("snk1_snk2_snk7_index", f"""WITH {S.VECTORS}, s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round({S.dot('q.v', 'd.v')} / (q.n * d.n), 9) AS c FROM n q, n d WHERE q.vec_id % 20 = 0)
-SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, doc_id) AS INTEGER) AS rank, round(c, 6) AS score FROM s QUALIFY rank <= 5""")
-def index_round_trip(spark, sf):
-    """Search on an index that was written and read again."""
-    queries, docs = _tables(spark, sf)
-    path = f"{shared_dir(spark)}/murmura-index"
-    R.write_index(docs, path)
-    rows, space = R.read_index(spark, path)
-    return R.top_k(queries, rows, 5, space).withColumn("score", F.round("score", 6))
+# -- encrypted distances as plain numbers, weights
 
 
 _PAIRED = f"WITH {S.VECTORS}, p AS (SELECT a.vec_id AS row_id, a.v AS a, b.v AS b FROM n a JOIN n b ON b.vec_id = a.vec_id + 1), d AS (SELECT row_id, list_transform(list_zip(a, b), lambda x: (x[1] - x[2]) * (x[1] - x[2])) AS s FROM p), x AS (SELECT row_id, list_sum(s) AS plain, round(list_sum(s[1:24]), 4) + round(list_sum(s[25:48]), 4) + round(list_sum(s[49:64]), 4) AS measured FROM d)"
@@ -316,7 +305,7 @@ def weight_prefix(spark, sf):
 @_R.add("rwd7_timing_table", "SELECT (event_id % 4)::INTEGER AS degree, event_type AS dimension, count(*) AS iterations, round(avg(value), 6) AS mean_time, round(max(value), 6) AS max_time FROM events GROUP BY ALL")
 def timing_table(spark, sf):
     """Means of measurements by two parameters, read from CSV with a header."""
-    path = f"{shared_dir(spark)}/murmura-timings"
-    table(spark, sf, "events").select((F.col("event_id") % 4).cast("int").alias("degree"), F.col("event_type").alias("dimension"), F.col("value").alias("time")).write.mode("overwrite").option("header", True).csv(path)
+    path = scratch_folder(spark, "timings")
+    table(spark, sf, "events").select((F.col("event_id") % 4).cast("int").alias("degree"), F.col("event_type").alias("dimension"), F.col("value").alias("time")).write.option("header", True).csv(path)
     rows = spark.read.option("header", True).schema("degree int, dimension string, time double").csv(path)
     return rows.groupBy("degree", "dimension").agg(F.count(F.lit(1)).alias("iterations"), F.round(F.avg("time"), 6).alias("mean_time"), F.round(F.max("time"), 6).alias("max_time"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from murmura.plans import experiment_queries, retrieval_queries, security_queries, text_queries, vector_queries
+from murmura.plans import experiment_queries, index_queries, retrieval_queries, security_queries, text_queries, vector_queries
 
-_MODULES = (text_queries, vector_queries, retrieval_queries, security_queries, experiment_queries)
+_MODULES = (text_queries, vector_queries, retrieval_queries, security_queries, experiment_queries, index_queries)
 
 
 def queries() -> dict:

@@ -16,9 +16,10 @@ from murmura.operators import metrics as M
 from murmura.operators import noise as N
 from murmura.operators import projection as P
 from murmura.operators import retrieval as R
+from murmura.operators.cells import CellConfig, CellIndex
 from murmura.plans import sql_parts as S
 from murmura.plans.builder import Registry
-from murmura.session import materialize, shared_dir, ship, table
+from murmura.session import materialize, ship, table
 
 _R = Registry()
 QUERIES, ORACLES = _R.queries, _R.oracles
@@ -137,23 +138,24 @@ y AS (SELECT vec_id, j, sum(x / greatest(n, 1e-12) * w) AS y FROM u JOIN w USING
 m AS (SELECT vec_id, list(x ORDER BY i) AS z, list(x + 0.1 * {randomness.gaussian_sql(42, 'dp', 'vec_id', 'i')} ORDER BY i) AS w FROM z GROUP BY vec_id),
 p AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round({S.dot('nq.v', 'nd.v')} / (nq.n * nd.n), 9) AS raw, round({S.dot('q.z', 'd.z')}, 9) AS jl, round({S.dot('q.z', 'd.w')} / sqrt({S.dot('d.w', 'd.w')}), 9) AS jl_dp
   FROM m q JOIN m d ON q.vec_id % 20 = 0 JOIN n nq ON nq.vec_id = q.vec_id JOIN n nd ON nd.vec_id = d.vec_id),
-k AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS raw, row_number() OVER (PARTITION BY query_id ORDER BY jl DESC, doc_id) AS jl, row_number() OVER (PARTITION BY query_id ORDER BY jl_dp DESC, doc_id) AS jl_dp FROM p),
-s AS (SELECT 'jl vs raw' AS comparison, query_id, raw AS a, jl AS b FROM k UNION ALL SELECT 'jl_dp vs jl', query_id, jl, jl_dp FROM k UNION ALL SELECT 'jl_dp vs raw', query_id, raw, jl_dp FROM k UNION ALL SELECT 'index vs jl_dp', query_id, jl_dp, jl_dp FROM k UNION ALL SELECT 'index vs raw', query_id, raw, jl_dp FROM k),
+ku AS (SELECT vec_id, list_transform(w, lambda x: x / sqrt(list_sum(list_transform(w, lambda t: t * t)))) AS v FROM m), kq AS (SELECT vec_id AS query_id, z AS v FROM m WHERE vec_id % 20 = 0), {S.cells('ku')}, {S.probes('kq')},
+k AS (SELECT p.query_id, doc_id, row_number() OVER (PARTITION BY p.query_id ORDER BY raw DESC, doc_id) AS raw, row_number() OVER (PARTITION BY p.query_id ORDER BY jl DESC, doc_id) AS jl, row_number() OVER (PARTITION BY p.query_id ORDER BY jl_dp DESC, doc_id) AS jl_dp,
+  CASE WHEN place <= 64 THEN row_number() OVER (PARTITION BY p.query_id ORDER BY place <= 64 DESC, jl_dp DESC, doc_id) END AS ix FROM p JOIN kown o ON o.vec_id = doc_id JOIN kprobe b ON b.query_id = p.query_id AND b.cell = o.cell),
+s AS (SELECT 'jl vs raw' AS comparison, query_id, raw AS a, jl AS b FROM k UNION ALL SELECT 'jl_dp vs jl', query_id, jl, jl_dp FROM k UNION ALL SELECT 'jl_dp vs raw', query_id, raw, jl_dp FROM k UNION ALL SELECT 'index vs jl_dp', query_id, jl_dp, ix FROM k UNION ALL SELECT 'index vs raw', query_id, raw, ix FROM k),
 o AS (SELECT comparison, query_id, sum((a <= 1 AND b <= 1)::INT)::DOUBLE AS r1, sum((a <= 3 AND b <= 3)::INT) / 3.0::DOUBLE AS r3, sum((a <= 5 AND b <= 5)::INT) / 5.0::DOUBLE AS r5, sum((a <= 10 AND b <= 10)::INT) / 10.0::DOUBLE AS r10, max(CASE WHEN a = 1 AND b <= 5 THEN 1.0::DOUBLE / b ELSE 0 END) AS rr FROM s GROUP BY ALL)
 SELECT comparison, round(avg(r1), 6) AS recall_at_1, round(avg(r3), 6) AS recall_at_3, round(avg(r5), 6) AS recall_at_5, round(avg(r10), 6) AS recall_at_10, round(avg(rr), 6) AS mrr_at_5, round(1 - avg(r5), 6) AS loss FROM o GROUP BY comparison"""
 
 
 @_R.add("met13_decomposition", _STAGED)
 def met_decomposition(spark, sf):
-    """Recall of each stage (raw, projected, noised, noised through an index file) against earlier ones."""
+    """Recall of each stage (raw, projected, noised, noised in an approximate index) against earlier ones."""
     queries, docs = _tables(spark, sf)
     projector = P.Projector(64, 32)
     jl = [materialize(P.project(t, projector, "vec").drop("vec").withColumnRenamed("projected", "vec"), "jl") for t in (queries, docs)]
     dp = jl[1].withColumn("vec", V.added(F.col("vec"), N.noise_vector(F.col("doc_id"), F.size("vec"), F.lit(0.1), 42)))
     dp = materialize(dp.withColumn("vec", V.normalize(F.col("vec"))), "dp")
-    R.write_index(dp, path := f"{shared_dir(spark)}/murmura-index-jl")
-    index = R.read_index(spark, path)[0]
-    stages = {n: materialize(R.top_k(*t, 10), n) for n, t in {"raw": (queries, docs), "jl": jl, "jl_dp": (jl[0], dp), "index": (jl[0], index)}.items()}
+    stages = {n: materialize(R.top_k(*t, 10), n) for n, t in {"raw": (queries, docs), "jl": jl, "jl_dp": (jl[0], dp)}.items()}
+    stages["index"] = materialize(CellIndex.build(dp, CellConfig(dim=32), "doc_id").search(jl[0], 10), "index")
     out = None
     for a, b in (("raw", "jl"), ("jl", "jl_dp"), ("raw", "jl_dp"), ("jl_dp", "index"), ("raw", "index")):
         part = M.stage_comparison(stages[a], stages[b]).withColumn("comparison", F.lit(f"{b} vs {a}")).withColumn("loss", 1 - F.col("recall_at_5"))

@@ -52,3 +52,23 @@ sh AS (SELECT variant, nsr, {dot('n.v', 'm.w')} / (n.n * m.wn) AS c FROM m JOIN
 t AS (SELECT variant, round(avg(nsr), 6) AS mean_nsr, round(min(c), 6) AS min_direction_cosine, round(avg(c), 6) AS mean_direction_cosine, round(max(c), 6) AS max_direction_cosine FROM sh GROUP BY variant)
 SELECT variant, round(avg(r1), 6)::DOUBLE AS recall_at_1, round(avg(r3), 6) AS recall_at_3, round(avg(r5), 6) AS recall_at_5, round(avg(r10), 6) AS recall_at_10, round(avg(rr), 6) AS mrr_at_5, round(avg(pearson), 6) AS mean_pearson, round(avg(drift), 6) AS mean_drift,
   round(max(most), 6) AS max_drift, any_value(mean_nsr) AS mean_nsr, any_value(min_direction_cosine) AS min_direction_cosine, any_value(mean_direction_cosine) AS mean_direction_cosine, any_value(max_direction_cosine) AS max_direction_cosine FROM per JOIN t USING (variant) GROUP BY variant"""
+
+
+def _gap(a: str, b: str) -> str:
+    return f"greatest(round({dot(a, a)} + {dot(b, b)} - 2 * {dot(a, b)}, 9), 0)"
+
+
+def cells(units: str, rounds: int = 3, n: int = 128, seed: int = 42, p: str = "k") -> str:
+    """CTEs for units (vec_id, v): {p}own (vec_id, cell) and {p}means (cell, m), as operators.cells trains them on up to 16,384 rows."""
+    out = [f"{p}s AS (SELECT *, row_number() OVER (ORDER BY md5('{seed}|' || vec_id), vec_id) AS o FROM {units})", f"{p}m0 AS (SELECT o - 1 AS cell, v AS m FROM {p}s WHERE o <= {n})"]
+    near = lambda rows, means: f"(SELECT vec_id, v, cell FROM (SELECT s.vec_id, s.v, cell, row_number() OVER (PARTITION BY s.vec_id ORDER BY {_gap('s.v', 'm')}, cell) AS place FROM {rows} s, {means}) WHERE place = 1)"
+    for i in range(rounds):
+        out.append(f"{p}a{i} AS (SELECT cell, i, avg(x) AS x FROM (SELECT cell, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM {near(f'(SELECT * FROM {p}s WHERE o <= 16384)', f'{p}m{i}')}) GROUP BY cell, i)")
+        out.append(f"{p}m{i + 1} AS (SELECT o.cell, coalesce(a.m, o.m) AS m FROM {p}m{i} o LEFT JOIN (SELECT cell, list(x ORDER BY i) AS m FROM {p}a{i} GROUP BY cell) a ON a.cell = o.cell)")
+    out += [f"{p}means AS (SELECT * FROM {p}m{rounds})", f"{p}own AS (SELECT vec_id, cell FROM {near(units, f'{p}means')})"]
+    return ", ".join(out)
+
+
+def probes(queries: str, p: str = "k") -> str:
+    """CTE {p}probe (query_id, cell, place) for queries (query_id, v)."""
+    return f"{p}probe AS (SELECT q.query_id, cell, row_number() OVER (PARTITION BY q.query_id ORDER BY {_gap('q.v', 'm')}, cell) AS place FROM {queries} q, {p}means)"

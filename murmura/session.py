@@ -75,14 +75,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def materialize_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """materialize(), and the table's path for forget(); tables that are left go when the driver ends."""
     spark = df.sparkSession
+    path = scratch_folder(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes as tables of materialize() do."""
     path = f"{shared_dir(spark)}/murmura-{name}-{uuid.uuid4().hex}"
     if not _TABLES:
         atexit.register(_forget_all)
     _TABLES[path] = spark
     if (made := _MADE.get()) is not None:
         made.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    return path
 
 
 @contextlib.contextmanager
