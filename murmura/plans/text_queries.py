@@ -8,8 +8,9 @@ from murmura.functions import sensitivity as S
 from murmura.operators import chunking as C
 from murmura.operators import noise as N
 from murmura.plans.builder import Registry
-from murmura.session import ship, table
+from murmura.session import scratch_folder, ship, table
 from murmura.sources import files
+from murmura.sources.tables import register
 
 _R = Registry()
 QUERIES, ORACLES = _R.queries, _R.oracles
@@ -34,7 +35,10 @@ def src_dispatch(spark, sf):
 
 @_R.add("src17_count", "SELECT count(*) AS documents, count(text) AS texts FROM documents")
 def src_count(spark, sf):
-    return _docs(spark, sf).agg(F.count(F.lit(1)).alias("documents"), F.count("text").alias("texts"))
+    """Documents and texts counted as they pass on their way to a file."""
+    path = scratch_folder(spark, "counted")
+    seen = files.write_counted(_docs(spark, sf).select("doc_id", "text"), lambda rows: rows.write.parquet(path), texts=F.count("text"))
+    return spark.createDataFrame([(seen["rows"], seen["texts"])], "documents long, texts long")
 
 
 @_R.add("txt2_paragraphs", r"""
@@ -65,6 +69,17 @@ def txt_sliding(spark, sf):
     return C.sliding(_docs(spark, sf), 1000, 200)
 
 
+@_R.add("txt4_txt9_chunk_function", """
+WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 100, 1), 400)) AS start FROM documents WHERE length(text) > 0)
+SELECT doc_id, CAST(start // 400 AS INTEGER) AS chunk_id, substring(text, CAST(start + 1 AS BIGINT), 500) AS content FROM s""")
+def txt_chunk_function(spark, sf):
+    """Chunks by the table function, called in SQL with a document's rows together."""
+    register(spark)
+    return spark.sql(
+        "SELECT CAST(filename AS BIGINT) AS doc_id, chunk_id, content FROM chunks(TABLE(SELECT CAST(doc_id AS STRING) AS filename, text AS content FROM {docs}) PARTITION BY (filename), 500, 100, 'sliding')", docs=_docs(spark, sf)
+    )
+
+
 @_R.add("txt10_prefix_sample", "SELECT doc_id, n_chars FROM documents ORDER BY source, doc_id LIMIT 100")
 def txt_prefix(spark, sf):
     return _docs(spark, sf).orderBy("source", "doc_id").limit(100).select("doc_id", "n_chars")

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,10 +77,8 @@ def read_xlsx(data: bytes) -> str:
 
 
 def read_pdf(data: bytes, between: str = "") -> str:
-    try:
-        import pypdf
-    except ImportError:  # an optional library: without it such files are empty
-        return ""
+    import pypdf  # an optional library: without it such files fail
+
     return between.join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(data)).pages)
 
 
@@ -91,29 +89,73 @@ def read_lenient_pdf(data: bytes) -> str:
 READERS: dict[str, Callable[[bytes], str]] = {"pdf": read_pdf, "lenient pdf": read_lenient_pdf, "docx": read_docx, "pptx": read_pptx, "xlsx": read_xlsx}
 
 
-@F.pandas_udf(T.StringType())
-def office_text(content: pd.Series, kinds: pd.Series) -> pd.Series:
-    def one(data: bytes, k: str) -> str:
-        try:
-            return READERS[k](data) if k in READERS else ""
-        except Exception:  # damaged files read as empty
-            return ""
+def _read_office(data: bytes, k: str) -> tuple[str | None, str | None]:
+    if k not in READERS:
+        return None, f"{k} files aren't read"
+    try:
+        return READERS[k](data), None
+    except Exception as e:  # damaged in one of many ways
+        return None, f"{type(e).__name__}: {e}"[:200]
 
-    return pd.Series([one(d, k) for d, k in zip(content, kinds)], dtype=object)
 
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
+def office_text(content: pd.Series, kinds: pd.Series) -> pd.DataFrame:
+    """The text of office files, or why there is none; null for files of other kinds."""
+    rows = [(None, None) if d is None else _read_office(d, k) for d, k in zip(content, kinds)]
+    return pd.DataFrame(rows, columns=["text", "error"], dtype=object)
 
-def load_documents(spark: SparkSession, folder: str, recursive: bool = False, lenient: bool = False) -> DataFrame:
-    """(filename, content) of the files that aren't empty, by name; names are relative when recursive."""
+
+NOT_READ, NOT_UTF8 = "files of this kind aren't read", "not UTF-8"
+
+
+def read_bytes(name: str, data: bytes, lenient: bool = False) -> tuple[str | None, str | None]:
+    """The text of one file, or why there is none: what parsed() gives, for a reader that isn't a plan."""
+    stem = name.rsplit("/", 1)[-1]
+    ending = stem.rpartition(".")[2].lower() if "." in stem else ""
+    if ending in (LENIENT_TEXT if lenient else TEXT) or lenient and stem.isascii() and stem.isdigit():
+        try:
+            return data.decode(), None
+        except UnicodeDecodeError:
+            return (data.decode("latin-1"), None) if lenient else (None, NOT_UTF8)
+    if ending not in OFFICE:
+        return None, NOT_READ
+    return _read_office(data, "lenient pdf" if lenient and ending == "pdf" else ending)
+
+
+def parsed(files: DataFrame, lenient: bool = False) -> DataFrame:
+    """files (path, content, ...) with content as text, null where error says why; files of kinds that aren't read fail, too."""
+    k = F.col("kind")
+    raw, path = F.col("content"), F.col("path")
+    pdf = F.when(F.lit(lenient) & (k == "pdf"), F.lit("lenient pdf")).otherwise(k)
+    rows = files.withColumn("kind", kind(path, lenient)).withColumn("office", office_text(F.when(~k.isin("text", ""), raw), pdf))
+    fine = F.is_valid_utf8(raw.cast("string")) | F.lit(lenient)
+    text = F.when(k == "text", F.when(fine, decode(raw, lenient))).otherwise(F.col("office.text"))
+    error = F.when(k == "", F.lit(NOT_READ)).when(k == "text", F.when(~fine, F.lit(NOT_UTF8))).otherwise(F.col("office.error"))
+    return rows.withColumn("error", error).withColumn("content", text).drop("office", "kind")
+
+
+def read_files(spark: SparkSession, folder: str, recursive: bool = False, lenient: bool = False) -> DataFrame:
+    """(filename, content, error) of all files of a folder; names are relative when recursive, and those that begin with a dot are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    k = kind(F.col("path"), lenient)
-    rows = files.select("path", "content", k.alias("kind")).where("kind <> ''")
     name = file_name(F.col("path"))
     if recursive:
-        rows = rows.where(~F.startswith(name, F.lit(".")))
-    text = F.when(F.col("kind") == "text", decode(F.col("content"), lenient)).otherwise(office_text("content", F.when(F.lit(lenient) & (F.col("kind") == "pdf"), F.lit("lenient pdf")).otherwise(F.col("kind"))))
+        files = files.where(~F.startswith(name, F.lit(".")))
     root = folder.rstrip("/").split("://")[-1] + "/"
     shown = F.substring_index(F.col("path"), root, -1) if recursive else name
-    return rows.select(shown.alias("filename"), text.alias("content")).where(F.regexp_replace("content", r"(?U)\s", "") != "").orderBy("filename")
+    return parsed(files.select("path", "content"), lenient).select(shown.alias("filename"), "content", "error")
+
+
+def load_documents(spark: SparkSession, folder: str, recursive: bool = False, lenient: bool = False) -> DataFrame:
+    """(filename, content) of the files that could be read and aren't empty, by name."""
+    rows = read_files(spark, folder, recursive, lenient).where("error IS NULL")
+    return rows.select("filename", "content").where(F.regexp_replace("content", r"(?U)\s", "") != "").orderBy("filename")
+
+
+def write_counted(rows: DataFrame, write: Callable[[DataFrame], None], **counts: Column) -> dict[str, int]:
+    """Write rows, and return counts taken as they pass, in the same job; `rows` is how many there were."""
+    seen = Observation()
+    write(rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in counts.items()]))
+    return seen.get
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -99,15 +99,6 @@ def test_folder_of_documents(spark, tmp_path):
     assert files.read_params(spark, f"file://{tmp_path}/p") == {"a": 2, "b": 1} and files.read_params(spark, f"file://{tmp_path}/no") == {}
 
 
-def test_streaming_ingest(spark, tmp_path):
-    from murmura.streaming import ingest
-
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text("One sentence. Another one!", encoding="utf-8")
-    ingest.start(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
-    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 1
-
-
 def test_all_chunks_of_every_twentieth_document_are_queries(spark):
     from murmura.plans import registry
 
