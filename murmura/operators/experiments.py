@@ -36,11 +36,17 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 
 def agreement(reference: DataFrame, found: DataFrame, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
-    """(variant, recall_at_*, mrr_at_5): means over the reference's queries of the overlap at each depth, and of the rank of its first."""
-    sizes = reference.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
-    asked = found.select("variant").distinct().join(F.broadcast(sizes.agg(F.count(F.lit(1)).alias("asked"))))
-    ref = reference.join(sizes, "query_id").select("query_id", "doc_id", F.col("rank").alias("ref_rank"), "size")
-    both = found.join(ref, ["query_id", "doc_id"])
+    """(variant, recall_at_*, mrr_at_5): means over the reference's queries of the overlap at each depth, and of the rank of its first.
+
+    With a column `scheme` in both tables each variant is held against its own scheme's reference.
+    """
+    by = ["scheme"] if "scheme" in reference.columns else []
+    sizes = reference.groupBy(*by, "query_id").agg(F.count(F.lit(1)).alias("size"))
+    asked = sizes.groupBy(*by).agg(F.count(F.lit(1)).alias("asked"))
+    variants = found.select(*by, "variant").distinct()
+    asked = variants.join(asked, by) if by else variants.join(F.broadcast(asked))  # without schemes a single row
+    ref = reference.join(sizes, [*by, "query_id"]).select(*by, "query_id", "doc_id", F.col("rank").alias("ref_rank"), "size")
+    both = found.join(ref, [*by, "query_id", "doc_id"])
     part = lambda k: F.sum(F.when((F.col("rank") <= k) & (F.col("ref_rank") <= k), 1.0 / F.greatest(F.lit(1), F.least(F.lit(k), F.col("size")))))
     mrr = F.sum(F.when((F.col("ref_rank") == 1) & (F.col("rank") <= 5), 1.0 / F.col("rank")))
     sums = both.groupBy("variant").agg(*[part(k).alias(f"recall_at_{k}") for k in depths], mrr.alias("mrr_at_5"))
