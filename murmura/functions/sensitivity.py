@@ -97,9 +97,9 @@ def legacy_delta(score: Column) -> Column:
     return F.lit(2.0) * (F.lit(1.0) + F.lit(0.5) * score)
 
 
-def profile(text: Column) -> Column:
-    """Struct of score, raw_score, epsilon and delta."""
-    return _let(fused_score(text), lambda s: F.struct(s.alias("score"), raw_score(s).alias("raw_score"), legacy_epsilon(s).alias("epsilon"), legacy_delta(s).alias("delta")))
+def profile(text: Column, nlp: Column | None = None) -> Column:
+    """Struct of score, raw_score, epsilon and delta; nlp: a classifier's score, if there is one."""
+    return _let(fused_score(text, nlp), lambda s: F.struct(s.alias("score"), raw_score(s).alias("raw_score"), legacy_epsilon(s).alias("epsilon"), legacy_delta(s).alias("delta")))
 
 
 def entity_count(text: Column, kind: str) -> Column:

@@ -101,8 +101,6 @@ def pair_sums(queries: DataFrame, variants: DataFrame, names: list[str]) -> Data
 
 
 def _search(k: int, measure: str):
-    sign = -1 if MEASURES[measure] else 1
-
     def run(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(docs):
@@ -111,28 +109,63 @@ def _search(k: int, measure: str):
             q_ids, q = queries["id"].to_numpy(np.int64), np.stack(queries["v"].to_list())
             if q.shape[1] != c.shape[1]:
                 raise ValueError(f"queries of {q.shape[1]} numbers and candidates of {c.shape[1]}")
+            if measure == "cosine":
+                q, c = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), vector.TINY) for x in (q, c))
             step = max(1, _SCORES // len(ids))
             for i in range(0, len(q), step):
-                out.append(_best(q_ids[i : i + step], np.round(sign * _scores(q[i : i + step], c, measure), 9), ids, k))
+                row, column, costs = _nearest(q[i : i + step], c, k, measure)
+                out.append((q_ids[i : i + step][row], ids[column], costs))
         found = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        sign = -1 if MEASURES[measure] else 1
         return pd.DataFrame({"variant": queries["variant"].iloc[0] if out else "", "query_id": found[0], "doc_id": found[1], "score": sign * found[2] + 0.0})
 
     return run
 
 
-def _best(q_ids: np.ndarray, s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k smallest scores; ids are in order, so that the first of equal scores have the smaller ids."""
-    if s.shape[1] > 4 * k:  # only what is as good as the k-th best is sorted
-        kth = np.partition(s, k - 1, axis=1)[:, k - 1]
-        row, column = np.nonzero(s <= kth[:, None])
+def _costs(q: np.ndarray, c: np.ndarray, measure: str) -> np.ndarray:
+    """What is smallest for the nearest: squared distances, or negative products, for each query and candidate."""
+    if measure == "l2":
+        return np.maximum((q * q).sum(1)[:, None] + (c * c).sum(1) - 2 * q @ c.T, 0)
+    return -(q @ c.T)
+
+
+def _nearest(q: np.ndarray, c: np.ndarray, k: int, measure: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, cost) of each query's k nearest candidates, of equal ones the first.
+
+    Single precision only discards: what lies beyond the k-th best cost by more than twice its error is
+    out, and the rest is worked out in double precision. Numbers too large for that are all worked out.
+    """
+    far = max(float(np.abs(q).max(initial=0)), float(np.abs(c).max(initial=0)))
+    if c.shape[0] <= 4 * k or far > 1e12:
+        costs = np.round(_costs(q, c, measure), 9)
+        row, column = (x.reshape(-1) for x in np.indices(costs.shape))
+        return _first(row, column, costs[row, column], k)
+    q32, c32 = q.astype(np.float32), c.astype(np.float32)
+    rough = q32 @ c32.T
+    norms = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
+    size = norms[0] * norms[1].max()
+    if measure == "l2":  # half of what depends on the candidate
+        half = (norms[1] ** 2 / 2).astype(np.float32)
+        np.subtract(half, rough, out=rough)
+        size = size + norms[1].max() ** 2
     else:
-        row, column = (x.reshape(-1) for x in np.indices(s.shape))
-    values = s[row, column]
+        np.negative(rough, out=rough)
+    error = 1e-9 + 6e-8 * (q.shape[1] + 8) * size
+    kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+    row, column = np.nonzero(rough <= (kth + 2 * error).astype(np.float32)[:, None])
+    costs = np.empty(len(row))
+    for i in range(0, len(row), 1 << 16):
+        a, b = q[row[i : i + (1 << 16)]], c[column[i : i + (1 << 16)]]
+        costs[i : i + (1 << 16)] = ((a - b) ** 2).sum(1) if measure == "l2" else -np.einsum("ij,ij->i", a, b)
+    return _first(row, column, np.round(costs, 9), k)
+
+
+def _first(row: np.ndarray, column: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k entries of each row with the smallest values; row ascends, and of equal values the smaller column is first."""
     order = np.lexsort((column, values, row))
     row, column, values = row[order], column[order], values[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = place < k
-    return q_ids[row[keep]], ids[column[keep]], values[keep]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], column[keep], values[keep]
 
 
 def ranked(scores: DataFrame, k: int, higher: bool, *by: str) -> DataFrame:

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from murmura.functions import randomness, sensitivity, vector as V
 from murmura.operators import chunking as C
+from murmura.operators import embedding
 from murmura.operators import experiments as E
 from murmura.operators import metrics as M
 from murmura.operators import noise as N
@@ -19,6 +15,7 @@ from murmura.operators import retrieval as R
 from murmura.operators.cells import CellConfig, CellIndex
 from murmura.plans import sql_parts as S
 from murmura.plans.builder import Registry
+from murmura.plans.text_queries import profile_sql
 from murmura.session import materialize, ship, table
 
 _R = Registry()
@@ -26,13 +23,6 @@ QUERIES, ORACLES = _R.queries, _R.oracles
 
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def embed_terms(terms: pd.Series) -> pd.Series:
-    """Unit vectors of 64 term counts by hash: a stand-in for an embedding model, to be replaced by one."""
-    rows = [np.bincount([zlib.crc32(t.encode()) % 64 for t in x], minlength=64) if len(x) else np.zeros(64) for x in terms]
-    return pd.Series([v / max(float(np.linalg.norm(v)), 1e-12) for v in rows], dtype=object)
-
-
 _PAIRS = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e),
 p AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, q.v AS a, d.v AS b, q.n AS an, d.n AS bn FROM n q, n d WHERE q.vec_id % 20 = 0),
 s AS (SELECT query_id, doc_id, round(list_sum(list_transform(list_zip(a, b), lambda x: x[1] * x[2])) / (an * bn), 9) AS cosine,
@@ -180,16 +170,30 @@ def grd_slices(spark, sf):
     return out
 
 
-@_R.add("pipeline_private_retrieval")
+_PIPELINE = f"""WITH RECURSIVE s AS (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 200, 1), 800)) AS start FROM documents WHERE length(text) > 0),
+c AS (SELECT doc_id * 16777216 + start // 800 AS row_id, doc_id, substring(text, CAST(start + 1 AS BIGINT), 1000) AS text FROM s), {profile_sql('c', 'row_id')},
+tt AS (SELECT row_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_''-]{{2,}}|[一-鿿]{{2,}}'), lambda x: lower(x)), lambda x: length(x) >= 3)) AS terms FROM c), {embedding.sql('tt')},
+e AS (SELECT row_id, list_transform(v, lambda x: x / greatest(n, 1e-12)) AS v FROM tvec), {S.calibration('(SELECT row_id, raw_score AS raw FROM fscore)', 'row_id')},
+u AS (SELECT row_id, unnest(v) AS x, unnest(range(64)) AS i FROM e), z AS (SELECT u.row_id, i, x + sigma * 0.01::DOUBLE / 8 * {randomness.gaussian_sql(42, 'dp', 'u.row_id', 'i')} AS x FROM u JOIN cal ON cal.row_id = u.row_id),
+m AS (SELECT row_id, list(x ORDER BY i) AS w, greatest(sqrt(sum(x * x)), 1e-12) AS n FROM z GROUP BY row_id), q AS (SELECT c.row_id, v, greatest(sqrt({S.dot('v', 'v')}), 1e-12) AS n FROM c JOIN e ON e.row_id = c.row_id WHERE doc_id % 20 = 0),
+p AS (SELECT q.row_id AS query_id, m.row_id AS doc_id, round({S.dot('q.v', 'm.w')} / (q.n * m.n), 9) AS score FROM q, m)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM p QUALIFY rank <= 3"""
+
+
+@_R.add("pipeline_private_retrieval", _PIPELINE)
 def pipeline(spark, sf):
-    """Documents to chunks, scores, noise and nearest chunks: hashed term vectors stand in for an embedding model.
+    """Documents to chunks, scores, embeddings, noise and nearest chunks.
 
-    Queries are all chunks of the documents whose id 20 divides.
+    Queries are all chunks of the documents whose id 20 divides. A chunk's number is its document's times 2^24, plus its place.
     """
     ship(spark)
-    chunks = C.sliding(table(spark, sf, "documents"), 1000, 200).withColumn("p", sensitivity.profile(F.col("content")))
-    embedded = chunks.withColumn("vec", embed_terms(C.distinct_terms(F.col("content"))))
-    rows = materialize(embedded.select("doc_id", (F.col("doc_id") * 100000 + F.col("chunk_id")).alias("row_id"), F.col("p.raw_score").alias("raw"), "vec"), "chunks")
-    safe = N.apply_noise(N.calibrate(rows, "raw"), "row_id", "vec", "sigma").select(F.col("row_id").alias("doc_id"), V.normalize(F.col("noised")).alias("vec"))
-    queries = rows.where("doc_id % 20 = 0").select(F.col("row_id").alias("query_id"), "vec")
-    return R.top_k(queries, materialize(safe, "noised"), 3)
+    chunks = C.sliding(table(spark, sf, "documents"), 1000, 200)
+    terms = C.distinct_terms(F.col("content"))
+    number = F.shiftleft("doc_id", 24) + F.col("chunk_id")
+    rows = chunks.select("doc_id", number.alias("row_id"), sensitivity.profile(F.col("content"))["raw_score"].alias("raw"), terms.alias("terms"))
+    rows = materialize(rows, "terms")
+    model = embedding.TermEmbedding.fit(rows, F.col("terms"))
+    embedded = materialize(rows.select("doc_id", "row_id", "raw", model.column(rows, F.col("terms")).alias("vec")), "chunks")
+    safe = N.apply_noise(N.calibrate(embedded, "raw"), "row_id", "vec", "sigma").select(F.col("row_id").alias("doc_id"), V.normalize(F.col("noised")).alias("vec"))
+    queries = embedded.where("doc_id % 20 = 0").select(F.col("row_id").alias("query_id"), "vec")
+    return _shown(R.top_k(queries, materialize(safe, "noised"), 3))

@@ -20,13 +20,20 @@ def phi(x: str) -> str:
 VECTORS = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e)"
 
 _EXCESS = f"{phi('1 / (2 * u) - eps * u')} - exp(eps) * {phi('-1 / (2 * u) - eps * u')} - 1e-5::DOUBLE"
-#: (vec_id, eps, sens, sigma): the calibration of scores 0.1 + (vec_id % 100) / 10; needs WITH RECURSIVE.
-CALIBRATION = f"""
-sc AS (SELECT vec_id, (least(greatest(0.1 + (vec_id % 100) * 0.1, 0.1), 10)::DOUBLE - 0.1) / 9.9 AS s FROM embeddings),
-ca AS (SELECT vec_id, least(greatest(1.25 + 8.75 * pow(1 - s, 1.5), 0.5), 10)::DOUBLE AS eps, 0.25 + 0.25 * s AS sens FROM sc),
+
+
+def calibration(scores: str, key: str = "vec_id") -> str:
+    """CTEs up to cal (key, eps, sens, sigma), the calibration of scores (key, raw); needs WITH RECURSIVE."""
+    return f"""
+sc AS (SELECT {key}, (least(greatest(raw, 0.1), 10)::DOUBLE - 0.1) / 9.9 AS s FROM {scores}),
+ca AS (SELECT {key}, least(greatest(1.25 + 8.75 * pow(1 - s, 1.5), 0.5), 10)::DOUBLE AS eps, 0.25 + 0.25 * s AS sens FROM sc),
 ro AS (SELECT DISTINCT eps, 1e-4::DOUBLE AS lo, 100.0::DOUBLE AS hi, 0 AS it FROM (SELECT eps FROM ca UNION SELECT avg(eps) FROM ca)
   UNION ALL SELECT eps, CASE WHEN f > 0 THEN u ELSE lo END, CASE WHEN f > 0 THEN hi ELSE u END, it + 1 FROM (SELECT *, {_EXCESS} AS f FROM (SELECT eps, lo, hi, it, (lo + hi) / 2 AS u FROM ro WHERE it < 60))),
-cal AS (SELECT ca.vec_id, ca.eps, ca.sens, (lo + hi) / 2 * ca.sens AS sigma FROM ca JOIN ro ON ro.eps = ca.eps AND it = 60),
+cal AS (SELECT ca.{key}, ca.eps, ca.sens, (lo + hi) / 2 * ca.sens AS sigma FROM ca JOIN ro ON ro.eps = ca.eps AND it = 60)"""
+
+
+#: (vec_id, eps, sens, sigma): the calibration of scores 0.1 + (vec_id % 100) / 10; needs WITH RECURSIVE.
+CALIBRATION = f"""{calibration("(SELECT vec_id, 0.1 + (vec_id % 100) * 0.1 AS raw FROM embeddings)")},
 matched AS (SELECT any_value((lo + hi) / 2) * (SELECT avg(sens) FROM ca) AS sigma FROM ro WHERE it = 60 AND eps = (SELECT avg(eps) FROM ca))"""
 
 #: (vec_id, i, x, z): clipped vectors' numbers and normal draws.

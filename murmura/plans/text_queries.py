@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from murmura.functions import sensitivity as S
 from murmura.operators import chunking as C
+from murmura.operators import classifier as K
 from murmura.operators import noise as N
 from murmura.plans.builder import Registry
 from murmura.session import scratch_folder, ship, table
@@ -15,8 +16,9 @@ from murmura.sources.tables import register
 _R = Registry()
 QUERIES, ORACLES = _R.queries, _R.oracles
 
-_EMAIL = r"\b[\w.%+-]+@[\w.-]+\.[A-Za-z]{2,}\b"
-_URL = r"(?i)\b(?:https?://|www\.)[^\s<>()\[\]{}\"']+".replace("'", "''")
+# DuckDB's patterns know no Unicode flag
+_EMAIL = S.ENTITIES["email"].removeprefix("(?U)")
+_URL = S.ENTITIES["url"].replace("(?iU)", "(?i)").replace("'", "''")
 _ASCII_EMAIL = _EMAIL.replace(r"\w", "0-9A-Za-z_")
 _LIKE = {k: v.replace("'", "''") for k, v in S.KEYWORDS.items()}
 
@@ -130,18 +132,47 @@ def prv_keywords(spark, sf):
     return _docs(spark, sf).select("doc_id", F.round(S.keyword_score(t), 9).alias("keyword_score"), F.round(S.heuristic_score(t), 9).alias("heuristic_score"), S.is_public(t).alias("is_public"))
 
 
-@_R.add("prv1_identifiers", f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_ASCII_EMAIL}')) AS INTEGER) AS emails, CAST(len(regexp_extract_all(text, '(?i){S.IDENTIFIERS['Money'][4:]}')) AS INTEGER) AS amounts FROM documents")
+_ALONE = lambda body: f"len(regexp_extract_all(wide, '(?:^|[^0-9])(?:{body})(?:$|[^0-9])'))"  # noqa: E731  # numbers that stand alone: without look-behind, each other character is doubled before
+_COUNTS = {
+    "ID": _ALONE("[0-9]{17}[0-9Xx]|[0-9]{15}"), "Phone": _ALONE("1[3-9][0-9]{9}"), "Bank": _ALONE("4[0-9]{15}|5[1-5][0-9]{14}|62[0-9]{14,17}"),
+    "Money": f"len(regexp_extract_all(text, '(?i){S.IDENTIFIERS['Money'][4:]}'))", "Email": f"len(regexp_extract_all(text, '{_ASCII_EMAIL}'))",
+}
+_IDENTIFIER_SQL = "least(1.0::DOUBLE, " + " + ".join(f"{w}::DOUBLE * {_COUNTS[k]}" for k, w in S.IDENTIFIER_WEIGHTS.items()) + ")"
+
+
+def profile_sql(rows: str, key: str, p: str = "f") -> str:
+    """CTE {p}score (key, score, raw_score, epsilon, delta) for rows (key, text), as sensitivity.profile() gives it."""
+    return f"""{p}w AS (SELECT {key}, text, regexp_replace(text, '([^0-9])', '\\1\\1', 'g') AS wide FROM {rows}),
+{p}p AS (SELECT {key}, {_IDENTIFIER_SQL} AS identifiers, {_KEYWORD_SQL} + {_HEURISTIC_SQL} AS words FROM {p}w),
+{p}f AS (SELECT {key}, least(1.0::DOUBLE, identifiers + words) * CASE WHEN identifiers > 0.8 THEN 1.0::DOUBLE ELSE 0.65::DOUBLE END AS score FROM {p}p),
+{p}score AS (SELECT {key}, score, least(greatest(0.1::DOUBLE + 9.9::DOUBLE * score, 0.1), 10) AS raw_score, least(greatest(0.1::DOUBLE + 9.9::DOUBLE * pow(1 - score, 2.2), 0.1), 10) AS epsilon, 2 * (1 + 0.5::DOUBLE * score) AS delta FROM {p}f)"""
+
+
+@_R.add("prv1_identifiers", f"""WITH w AS (SELECT doc_id, text, regexp_replace(text, '([^0-9])', '\\1\\1', 'g') AS wide FROM documents)
+SELECT doc_id, {', '.join(f'CAST({sql} AS INTEGER) AS {k.lower()}' for k, sql in _COUNTS.items())}, round({_IDENTIFIER_SQL}, 9) AS identifier_score FROM w""")
 def prv_identifiers(spark, sf):
     t = F.col("text")
-    return _docs(spark, sf).select("doc_id", F.regexp_count(t, F.lit(S.IDENTIFIERS["Email"])).alias("emails"), F.regexp_count(t, F.lit(S.IDENTIFIERS["Money"])).alias("amounts"))
+    counts = [F.regexp_count(t, F.lit(S.IDENTIFIERS[k])).alias(k.lower()) for k in _COUNTS]
+    return _docs(spark, sf).select("doc_id", *counts, F.round(S.identifier_score(t), 9).alias("identifier_score"))
 
 
-@_R.add("prv6_prv10_profile")
+@_R.add("prv6_prv10_profile", f"WITH {profile_sql('documents', 'doc_id')} SELECT doc_id, round(score, 9) AS score, round(raw_score, 9) AS raw_score, round(epsilon, 9) AS epsilon, round(delta, 9) AS delta FROM fscore")
 def prv_profile(spark, sf):
     rows = _docs(spark, sf).select("doc_id", S.profile(F.col("text")).alias("p"))
     return rows.select("doc_id", *[F.round(F.col(f"p.{c}"), 9).alias(c) for c in ("score", "raw_score", "epsilon", "delta")])
 
 
+@_R.add("prv5_classifier_profile")
+def prv_classified(spark, sf):
+    """Profiles with a classifier's share, which is learned from the labelled documents of good quality."""
+    ship(spark)
+    docs = _docs(spark, sf).select("doc_id", "text")
+    good = table(spark, sf, "labels").where("quality = 1").select("doc_id").distinct()
+    model = K.TermClassifier.fit(docs.join(good, "doc_id", "left_semi"))
+    rows = model.scored(docs).withColumn("p", S.profile(F.col("text"), F.col("nlp")))
+    return rows.select("doc_id", F.round("nlp", 6).alias("nlp"), *[F.round(F.col(f"p.{c}"), 6).alias(c) for c in ("score", "raw_score", "epsilon", "delta")])
+
+
 @_R.add("prv7_prv9_scores", """
 WITH s AS (SELECT doc_id, (doc_id % 101) / 100.0::DOUBLE AS s FROM documents)
 SELECT doc_id, round(least(greatest(0.1 + 9.9 * s, 0.1), 10), 9) AS raw_score, round(least(greatest(0.1 + 9.9 * pow(1 - s, 2.2), 0.1), 10), 9) AS epsilon, round(2 * (1 + 0.5 * s), 9) AS delta FROM s""")

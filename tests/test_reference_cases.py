@@ -104,9 +104,9 @@ def test_all_chunks_of_every_twentieth_document_are_queries(spark):
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 20 = 0")
-    want = {r.doc_id * 100000 + r.chunk_id for r in C.sliding(docs, 1000, 200).collect()}
+    want = {(r.doc_id << 24) + r.chunk_id for r in C.sliding(docs, 1000, 200).collect()}
     found = registry.queries()["pipeline_private_retrieval"](spark, sf).collect()
-    assert {r.query_id for r in found} == want and len(found) == 3 * len(want) and any(i % 100000 for i in want)
+    assert {r.query_id for r in found} == want and len(found) == 3 * len(want) and any(i % (1 << 24) for i in want)
 
 
 def test_all_kinds_of_entities_against_brute_force(spark):
