@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmura.operators.ordered import numbered
+
 # Where texts may be cut, and what a word is.
 PARAGRAPH = r"\n\s*\n+"
 SENTENCE = r"(?<=[。！？；!?;])\s*|(?<=[A-Za-z0-9][.])\s+"
@@ -42,6 +44,28 @@ def distinct_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(words(text), F.lower), lambda w: F.length(w) >= 3))
 
 
+def query_text(content: Column, *key: Column, most: int = 8, least: int = 4, snippet: int = 16) -> Column:
+    """What one would ask for a text: up to `most` of its terms in an order drawn by key; under `least` terms its first words, and without any a fixed topic."""
+    drawn = lambda terms: F.slice(F.array_sort(F.transform(terms, lambda x: F.struct(F.md5(F.concat_ws("|", *key, x)).alias("h"), x.alias("x")))), 1, most)
+    terms, first = distinct_terms(content), F.array_join(F.slice(F.split(strip(content), r"(?U)\s+"), 1, snippet), " ")
+    return F.when(F.size(terms) >= least, F.array_join(F.transform(drawn(terms), lambda s: s.x), " ")).otherwise(F.coalesce(F.nullif(first, F.lit("")), F.lit(TOPIC)))
+
+
+def generated_queries(chunks: DataFrame, n: int, seed: int, id_cols: tuple[str, ...] = ("doc_id", "chunk_id"), text_col: str = "content") -> DataFrame:
+    """(query_no, *id_cols, query): n queries, from 1, of chunks in an order drawn by the seed; should there be fewer chunks, numbered topics fill the rest."""
+    ids = [F.col(c).cast("string") for c in id_cols]
+    keyed = chunks.withColumn("__key", F.md5(F.concat_ws("|", F.lit(str(seed)), *ids)))
+    there = chunks.count()
+    if n < there:
+        keyed = keyed.orderBy("__key", *id_cols).limit(n)
+    asked = numbered(keyed.select("__key", *id_cols, query_text(F.col(text_col), F.lit(str(seed)), *ids).alias("query")), [F.col("__key"), *map(F.col, id_cols)], "query_no")
+    asked = asked.select("query_no", *id_cols, "query")
+    if n <= there or not there:
+        return asked
+    rest = chunks.sparkSession.range(there + 1, n + 1).select(F.col("id").alias("query_no"), F.concat(F.lit(f"{TOPIC} "), F.col("id").cast("string")).alias("query"))
+    return asked.unionByName(rest, allowMissingColumns=True)
+
+
 def preview(text: Column, width: int) -> Column:
     one_line = strip(F.regexp_replace(text, r"(?U)\s+", " "))
     return F.when(F.length(one_line) > width, F.concat(F.substring(one_line, 1, width - 1), F.lit("…"))).otherwise(one_line)
@@ -127,6 +151,36 @@ def panel(text: Column, width: int) -> Column:
     return F.when(F.length(lines) <= width, lines).otherwise(F.concat(cut, F.lit("...")))
 
 
+# Fixed value: what is asked of a text without words.
+TOPIC = "general document topic"
+
+# The parts of a prompt, with {identity}, {found} and {question} to be put in.
+CONTEXT = "AI Identity/Persona\n{identity}\n\n【知识库检索结果】\n{found}"
+PROMPT = """你是一名智能问答助手(扮演DeepSeek知识管家 Theodore 西奥-多尔)，以下是你的身份描述和检索到的文档内容:
+{context}
+
+请遵守identity.md中的所有“沟通风格准则”和“特殊行为准则”，并根据文档做出回答。
+如果在知识库中找不到答案，请回答“对不起，我在知识库中没有找到相关信息”。
+请使用简洁且专业的口吻。
+用户的问题：{question}
+
+请直接给出简洁且专业的回答："""
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with columns put in."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def prompts(found: DataFrame, records: DataFrame, questions: DataFrame, identity_text: Column) -> DataFrame:
+    """(query_id, prompt): found (query_id, rank, doc_id), records (doc_id, filename, chunk_id, content), questions (query_id, question); without any entry the prompt says nothing was found by an empty list."""
+    entries = found.join(records, "doc_id").select("query_id", F.struct("rank", prompt_entry(F.col("filename"), F.col("chunk_id"), F.col("content")).alias("entry")).alias("e"))
+    listed = entries.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x.entry), "\n\n").alias("found"))
+    whole = filled(PROMPT, context=filled(CONTEXT, identity=identity_text, found=F.coalesce("found", F.lit(""))), question=F.col("question"))
+    return questions.join(listed, "query_id", "left").select("query_id", strip(whole).alias("prompt"))
+
+
 # What an answer may repeat of its prompt, and what stands for an empty answer.
 ECHOES = ("用户的问题：{q}", "用户的问题:{q}", "问题：{q}", "问题:{q}", "{q}", "请直接给出简洁且专业的回答：", "请直接给出简洁且专业的回答:")
 NO_ANSWER = "对不起，我没有生成有效回答，请重试或调整提示词。"

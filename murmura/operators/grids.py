@@ -32,6 +32,12 @@ def union_rows(*tables: DataFrame) -> DataFrame:
     return out.select(*sorted(out.columns))
 
 
+def subtotals(rows: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
+    """rows by all keys, by each set of them, and over all; level has a bit for each key that is summed up, the last key's the lowest."""
+    sets = [[F.col(k) for i, k in enumerate(keys) if not gone >> (len(keys) - 1 - i) & 1] for gone in range(1 << len(keys))]
+    return rows.groupingSets(sets, *map(F.col, keys)).agg(F.grouping_id().cast("long").alias("level"), *aggregates)
+
+
 def payouts(rows: DataFrame, bounty: float = 100.0, margin: float = 0.015) -> DataFrame:
     """rows (round, node, sim) with threshold, payout and balance; payouts share the bounty by what exceeds the threshold."""
     limit = rows.groupBy("round").agg((F.percentile("sim", 0.5) - margin).alias("threshold"))

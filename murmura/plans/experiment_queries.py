@@ -11,6 +11,8 @@ from murmura.operators import noise as N
 from murmura.operators import projection as P
 from murmura.operators import retrieval as R
 from murmura.operators import security as X
+from murmura.operators import summaries as Y
+from murmura.operators.asof import as_of
 from murmura.plans import sql_parts as S
 from murmura.plans.builder import Registry
 from murmura.plans.retrieval_queries import _tables
@@ -76,12 +78,43 @@ def ablation_grid(spark, sf):
     return _rounded(E.utility_rows(queries, docs, *no_jl_variants(_calibrated(spark, sf), (0.01, 0.1, 0.5))), ("variant",))
 
 
-@_R.add("met15_calibration_report", f"""WITH RECURSIVE {S.VECTORS}, {S.CALIBRATION} SELECT round(min(eps), 6) AS min_epsilon, round(avg(eps), 6) AS mean_epsilon, round(max(eps), 6) AS max_epsilon, round(min(sens), 6) AS min_sensitivity, round(avg(sens), 6) AS mean_sensitivity,
-round(max(sens), 6) AS max_sensitivity, round(min(sigma), 6) AS min_sigma, round(avg(sigma), 6) AS mean_sigma, round(max(sigma), 6) AS max_sigma, count(*) AS solved FROM cal""")
+_FOUR = (("eps", "epsilon"), ("sens", "sensitivity"), ("sigma", "sigma"), ("raw", "raw_score"))
+_RAW = "cal0 AS (SELECT *, 0.1::DOUBLE + (vec_id % 100) * 0.1::DOUBLE AS raw FROM cal)"
+
+
+@_R.add("met15_calibration_report", f"WITH RECURSIVE {S.VECTORS}, {S.CALIBRATION}, {_RAW} SELECT " + ", ".join(f"round({f}({c}), 6) AS {n}_{name}" for c, name in _FOUR for n, f in (("min", "min"), ("mean", "avg"), ("max", "max"))) + ", count(*) AS solved, count(*) AS pairs FROM cal0")
 def calibration_report(spark, sf):
     rows = _calibrated(spark, sf)
-    out = [f(c).alias(f"{n}_{name}") for c, name in (("epsilon", "epsilon"), ("local_sensitivity", "sensitivity"), ("sigma", "sigma")) for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))]
-    return _rounded(rows.agg(*out, F.sum(F.col("solved").cast("long")).alias("solved")), ("solved",))
+    out = [f(c).alias(f"{n}_{name}") for c, name in (("epsilon", "epsilon"), ("local_sensitivity", "sensitivity"), ("sigma", "sigma"), ("raw", "raw_score")) for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))]
+    return _rounded(rows.agg(*out, F.sum(F.col("solved").cast("long")).alias("solved"), F.count(F.lit(1)).alias("pairs")), ("solved", "pairs"))
+
+
+@_R.add("met15_first_pairs", f"WITH RECURSIVE {S.VECTORS}, {S.CALIBRATION}, {_RAW} SELECT vec_id AS row_id, round(raw, 6) AS raw_score, round(eps, 6) AS epsilon, round(sigma, 6) AS sigma, round(sigma * 0.01::DOUBLE / 8, 8) AS sigma_per_dim FROM cal0 ORDER BY vec_id LIMIT 10")
+def first_pairs(spark, sf):
+    """What the first ten rows' scores became."""
+    rows = _calibrated(spark, sf).orderBy("doc_id").limit(10)
+    return rows.select(F.col("doc_id").alias("row_id"), F.round("raw", 6).alias("raw_score"), F.round("epsilon", 6).alias("epsilon"), F.round("sigma", 6).alias("sigma"), F.round(N.sigma_per_dim(F.col("sigma"), F.size("vec"), 0.01), 8).alias("sigma_per_dim"))
+
+
+@_R.add("met15_dp11_summaries", f"""WITH RECURSIVE {S.VECTORS}, {S.CALIBRATION}, {_RAW}, g AS (SELECT c.*, label % 3 AS grp FROM cal0 c JOIN embeddings USING (vec_id))
+SELECT grp::INTEGER AS grp, count(*) AS pairs, round(min(sigma), 6) AS min_sigma, round(avg(sigma), 6) AS mean_sigma, round(max(sigma), 6) AS max_sigma, true AS quantiles_within, true AS distinct_within FROM g GROUP BY grp
+UNION ALL SELECT NULL, count(*), round(min(sigma), 6), round(avg(sigma), 6), round(max(sigma), 6), true, true FROM g""")
+def summaries(spark, sf):
+    """Sketches by label, merged to groups and to all rows (null), and whether their quantiles and counts are as near as they promise."""
+    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    rows = materialize(_calibrated(spark, sf).join(labels, "doc_id").withColumn("grp", (F.col("label") % 3).cast("int")), "labelled")
+    fine = materialize(Y.summarize(rows, ["label", "grp"], ["sigma"], "doc_id"), "summaries")
+    by_group = Y.merged(fine, ["grp"])
+    both = by_group.unionByName(Y.merged(by_group.withColumn("all", F.lit(None).cast("int")), ["all"]).withColumnRenamed("all", "grp"))
+    shares = (0.1, 0.5, 0.9)
+    told = materialize(both.select("grp", F.col("rows").alias("pairs"), F.col("sigma_min").alias("min_sigma"), Y.mean("sigma").alias("mean_sigma"), F.col("sigma_max").alias("max_sigma"), *[Y.quantile("sigma", s).alias(f"q{i}") for i, s in enumerate(shares)], Y.distinct().alias("ids")), "told")
+    # how many rows lie below each quantile, and how many not above it
+    ranks = rows.select("sigma", F.explode(F.array(F.col("grp"), F.lit(None).cast("int"))).alias("in_grp")).join(F.broadcast(told), F.col("in_grp").eqNullSafe(F.col("grp")))  # one row a group
+    off = lambda i, s: (F.avg((F.col("sigma") < F.col(f"q{i}")).cast("int")) <= s + Y.RANK_ERROR) & (F.avg((F.col("sigma") <= F.col(f"q{i}")).cast("int")) >= s - Y.RANK_ERROR)
+    fits = off(0, shares[0]) & off(1, shares[1]) & off(2, shares[2])
+    out = ranks.groupBy("grp", "pairs", "min_sigma", "mean_sigma", "max_sigma", "ids").agg(fits.alias("quantiles_within"))
+    near = F.abs(F.col("ids") - F.col("pairs")) <= Y.DISTINCT_ERROR * F.col("pairs") + 1
+    return out.select("grp", "pairs", *[F.round(c, 6).alias(c) for c in ("min_sigma", "mean_sigma", "max_sigma")], "quantiles_within", near.alias("distinct_within"))
 
 
 # -- attacks
@@ -309,3 +342,21 @@ def timing_table(spark, sf):
     table(spark, sf, "events").select((F.col("event_id") % 4).cast("int").alias("degree"), F.col("event_type").alias("dimension"), F.col("value").alias("time")).write.option("header", True).csv(path)
     rows = spark.read.option("header", True).schema("degree int, dimension string, time double").csv(path)
     return rows.groupBy("degree", "dimension").agg(F.count(F.lit(1)).alias("iterations"), F.round(F.avg("time"), 6).alias("mean_time"), F.round(F.max("time"), 6).alias("max_time"))
+
+
+@_R.add("rwd4_event_settlement", """WITH p AS (SELECT user_id, ts, event_id AS paid_by, value AS payout FROM events WHERE event_type = 'purchase'), e AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'purchase')
+SELECT event_id, e.user_id, paid_by, payout FROM e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.ts""")
+def event_settlement(spark, sf):
+    """Each event with its user's last payout at or before it."""
+    events = table(spark, sf, "events")
+    paid = events.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("paid_by"), F.col("value").alias("payout"))
+    found = as_of(events.where("event_type <> 'purchase'").select("event_id", "user_id", "ts"), paid, "ts", "user_id", ["paid_by", "payout"])
+    return found.select("event_id", "user_id", "paid_by", "payout")
+
+
+@_R.add("grd12_grd15_subtotals", f"""{_GRID}, s AS (SELECT scheme, substr(variant, 1, 4) AS variant, recall, mrr FROM g)
+SELECT scheme, variant, (CASE WHEN scheme IS NULL THEN 2 ELSE 0 END + CASE WHEN variant IS NULL THEN 1 ELSE 0 END)::BIGINT AS level, count(*) AS rows, round(avg(recall), 9) AS mean_recall, round(max(mrr), 6) AS max_mrr FROM s GROUP BY GROUPING SETS ((scheme, variant), (scheme), (variant), ())""")
+def subtotals(spark, sf):
+    """Report rows by scheme and variant, by either, and over all; level says which of the two are summed up."""
+    rows = _grid(spark, sf).select("scheme", F.substring("variant", 1, 4).alias("variant"), "recall", "mrr")
+    return G.subtotals(rows, ["scheme", "variant"], F.count(F.lit(1)).alias("rows"), F.round(F.avg("recall"), 9).alias("mean_recall"), F.round(F.max("mrr"), 6).alias("max_mrr"))

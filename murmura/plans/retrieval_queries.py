@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from murmura.functions import randomness, sensitivity, vector as V
@@ -90,13 +92,18 @@ def ret_linkage(spark, sf):
     return R.linkage(docs.withColumnRenamed("doc_id", "query_id"), docs, 5).select("query_id", "rank", "doc_id")
 
 
-@_R.add("ret18_prompt", f"""{_PAIRS}, t AS ({_top('cosine', 'DESC', 3)})
-SELECT query_id, string_agg('[' || t.doc_id || '] ' || substring(d.text, 1, 1000) || '...', chr(10) || chr(10) ORDER BY rank) AS context FROM t JOIN documents d ON d.doc_id = t.doc_id GROUP BY query_id""")
+_PROMPT_SQL = " || ".join("'" + x.replace("'", "''") + "'" if i % 2 == 0 else {"identity": "'The text of de' || chr(10)", "found": "coalesce(string_agg('📄【' || source || '/' || d.doc_id || '#chunk-0】' || chr(10) || substring(d.text, 1, 1000) || '...', chr(10) || chr(10) ORDER BY rank), '')", "question": "'What is like ' || query_id || '?'"}[x] for i, x in enumerate(re.split(r"\{(\w+)\}", C.PROMPT.replace("{context}", C.CONTEXT))))
+
+
+@_R.add("ret18_prompt", f"""{_PAIRS}, t AS ({_top('cosine', 'DESC', 3)}), d AS (SELECT doc_id, source, text FROM documents WHERE length(text) > 0) SELECT query_id, {_PROMPT_SQL} AS prompt FROM t LEFT JOIN d ON d.doc_id = t.doc_id GROUP BY query_id""")
 def ret_prompt(spark, sf):
-    top = R.top_k(*_tables(spark, sf), 3, "cosine")
-    docs = table(spark, sf, "documents").select("doc_id", C.prompt_cut(F.col("text")).alias("cut"))
-    part = top.join(docs, "doc_id").select("query_id", F.struct("rank", F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("] "), "cut").alias("s")).alias("p"))
-    return part.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x.s), "\n\n").alias("context"))
+    """The whole prompt of each query: who answers, the chunks that were found, and the question."""
+    queries, docs = _tables(spark, sf)
+    top = R.top_k(queries, docs, 3, "cosine")
+    texts = table(spark, sf, "documents")
+    records = C.sliding(texts, 1000, 200).where("chunk_id = 0").join(texts.select("doc_id", F.concat_ws("/", "source", "doc_id").alias("filename")), "doc_id")
+    questions = queries.select("query_id", F.concat(F.lit("What is like "), F.col("query_id").cast("string"), F.lit("?")).alias("question"))
+    return C.prompts(top, records, questions, F.lit("The text of de\n"))
 
 
 _TWO = f"""{_PAIRS}, a AS ({_top('cosine', 'DESC', 10)}), b AS ({_top('l2', 'ASC', 10)}),

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from murmura.functions import vector as V
+from murmura.functions import sensitivity, vector as V
+from murmura.operators import attributes as A
+from murmura.operators import experiments as E
 from murmura.operators import grids as G
 from murmura.operators import retrieval as R
 from murmura.operators import security as X
@@ -56,26 +58,18 @@ def sec_folds(spark, sf):
     return X.stratified_folds(_scored(spark, sf), "doc_id", "label", 5, 2028).select("doc_id", "fold")
 
 
-@_R.add("sec6_attribute_inference")
+@_R.add("sec6_sec21_attribute_rows")
 def sec_attribute(spark, sf):
-    """Out-of-fold AUC of a logistic fit of label > median from vectors."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
-    rows = X.stratified_folds(rows, "id", "label", 3, 2029).withColumn("weight", F.lit(1.0))
+    """Whether vectors tell that a document holds an identifier: a row for raw and for noised vectors."""
+    ship(spark)
+    marked = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), (F.size(sensitivity.entity_types(F.col("text"))) > 0).cast("int").alias("label"))
+    docs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vec"))
     out = None
-    for fold in range(3):
-        train = rows.where(F.col("fold") != fold)
-        scaler = StandardScaler(withMean=True, inputCol="raw", outputCol="features").fit(train)
-        n = train.groupBy("label").count().collect()
-        total = sum(r["count"] for r in n)
-        weight = F.coalesce(*[F.when(F.col("label") == r["label"], F.lit(total / (len(n) * r["count"]))) for r in n], F.lit(1.0))
-        model = LogisticRegression(weightCol="weight", regParam=1 / max(1, total), maxIter=100).fit(scaler.transform(train).withColumn("weight", weight))
-        part = model.transform(scaler.transform(rows.where(F.col("fold") == fold))).select("id", "fold", "label", vector_to_array("probability")[1].alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return X.auc(out, "fold")
+    for name, sigma in (("raw", 0.0), ("noised", 0.1 / 8)):
+        rows = E.noised(docs, name, F.lit(sigma)).select(F.col("doc_id").alias("row_id"), "vec").join(marked, "row_id")
+        row = A.report(A.attack(rows)).select(F.lit(name).alias("scheme"), F.lit("has_any_sensitive").alias("target_attribute"), F.lit(64).alias("vector_dim"), F.lit(2028).alias("attack_seed"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 @_R.add("sec13_sec15_disjoint_split", "WITH s AS (SELECT doc_id, CAST(ntile(4) OVER (ORDER BY md5('2030|' || doc_id), doc_id) AS INTEGER) AS grp FROM documents) SELECT grp, count(*) AS documents FROM s GROUP BY grp")

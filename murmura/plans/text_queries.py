@@ -82,9 +82,14 @@ def txt_chunk_function(spark, sf):
     )
 
 
-@_R.add("txt10_prefix_sample", "SELECT doc_id, n_chars FROM documents ORDER BY source, doc_id LIMIT 100")
+_CHUNKED = "s AS (SELECT doc_id, source, text, unnest(range(0, greatest(length(text) - 200, 1), 800)) AS start FROM documents WHERE length(text) > 0), c AS (SELECT doc_id, source, CAST(start // 800 AS INTEGER) AS chunk_id, substring(text, CAST(start + 1 AS BIGINT), 1000) AS content FROM s)"
+
+
+@_R.add("txt10_prefix_sample", f"WITH {_CHUNKED} SELECT source || '/' || doc_id AS filename, chunk_id, content FROM c ORDER BY filename, chunk_id LIMIT 100")
 def txt_prefix(spark, sf):
-    return _docs(spark, sf).orderBy("source", "doc_id").limit(100).select("doc_id", "n_chars")
+    """The first 100 chunks in the order of their files."""
+    docs = _docs(spark, sf).select("doc_id", F.concat_ws("/", "source", "doc_id").alias("filename"), "text")
+    return C.sliding(docs, 1000, 200, "filename").select("filename", "chunk_id", "content").orderBy("filename", "chunk_id").limit(100)
 
 
 @_R.add("txt11_txt12_terms", """
@@ -96,16 +101,24 @@ def txt_terms(spark, sf):
     return rows.select("doc_id", F.size("w").alias("words"), F.size("t").alias("terms"), F.coalesce(F.get("t", F.lit(0)), F.lit("")).alias("first_term"))
 
 
-@_R.add("txt13_queries", """
-WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_''-]{2,}|[一-鿿]{2,}') AS w FROM documents),
-t AS (SELECT doc_id, list_distinct(list_filter(list_transform(w, lambda x: lower(x)), lambda x: length(x) >= 3)) AS l FROM w),
-p AS (SELECT doc_id, l FROM t ORDER BY md5('2026|' || doc_id), doc_id LIMIT 30)
-SELECT doc_id, CASE WHEN len(l) >= 4 THEN array_to_string(list_transform(list_sort(list_transform(l, lambda x: {'h': md5('2026|' || doc_id || '|' || x), 'x': x}))[1:8], lambda s: s.x), ' ')
-  ELSE 'general document topic' END AS query FROM p""")
+_ASKED = r"""CASE WHEN len(l) >= 4 THEN array_to_string(list_transform(list_sort(list_transform(l, lambda x: {'h': md5('2026|' || doc_id || '|' || chunk_id || '|' || x), 'x': x}))[1:8], lambda s: s.x), ' ')
+  WHEN len(b) > 0 THEN array_to_string(b[1:16], ' ') ELSE 'general document topic' END"""
+_TERMED = r"""t AS (SELECT doc_id, chunk_id, list_distinct(list_filter(list_transform(regexp_extract_all(content, '[A-Za-z][A-Za-z0-9_''-]{2,}|[一-鿿]{2,}'), lambda x: lower(x)), lambda x: length(x) >= 3)) AS l, list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '') AS b FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY md5('2026|' || doc_id || '|' || chunk_id), doc_id, chunk_id) AS query_no FROM t)"""
+
+
+@_R.add("txt13_queries", f"WITH {_CHUNKED}, {_TERMED} SELECT query_no, doc_id, chunk_id, {_ASKED} AS query FROM p WHERE query_no <= 30")
 def txt_queries(spark, sf):
-    picked = _docs(spark, sf).select("doc_id", C.distinct_terms(F.col("text")).alias("l")).orderBy(F.md5(F.concat_ws("|", F.lit("2026"), F.col("doc_id").cast("string"))), "doc_id").limit(30)
-    drawn = F.slice(F.array_sort(F.transform("l", lambda x: F.struct(F.md5(F.concat_ws("|", F.lit("2026"), F.col("doc_id").cast("string"), x)).alias("h"), x.alias("x")))), 1, 8)
-    return picked.select("doc_id", F.when(F.size("l") >= 4, F.array_join(F.transform(drawn, lambda s: s.x), " ")).otherwise(F.lit("general document topic")).alias("query"))
+    """30 queries made from chunks."""
+    return C.generated_queries(C.sliding(_docs(spark, sf), 1000, 200), 30, 2026)
+
+
+@_R.add("txt13_queries_all", f"""WITH {_CHUNKED}, {_TERMED} SELECT query_no, doc_id, chunk_id, {_ASKED} AS query FROM p
+UNION ALL SELECT i + n, NULL, NULL, 'general document topic ' || (i + n) FROM (SELECT count(*) AS n FROM c), (SELECT unnest(range(1, 8)) AS i)""")
+def txt_queries_all(spark, sf):
+    """A query of every chunk, and seven more than there are chunks."""
+    chunks = C.sliding(_docs(spark, sf), 1000, 200)
+    return C.generated_queries(chunks, chunks.count() + 7, 2026)
 
 
 @_R.add("txt14_txt17_display", r"""
