@@ -195,12 +195,11 @@ def pipeline(spark, sf):
     """
     ship(spark)
     chunks = C.sliding(table(spark, sf, "documents"), 1000, 200)
-    terms = C.distinct_terms(F.col("content"))
+    buckets = embedding.buckets_of(C.distinct_terms(F.col("content")))
     number = F.shiftleft("doc_id", 24) + F.col("chunk_id")
-    rows = chunks.select("doc_id", number.alias("row_id"), sensitivity.profile(F.col("content"))["raw_score"].alias("raw"), terms.alias("terms"))
-    rows = materialize(rows, "terms")
-    model = embedding.TermEmbedding.fit(rows, F.col("terms"))
-    embedded = materialize(rows.select("doc_id", "row_id", "raw", model.column(rows, F.col("terms")).alias("vec")), "chunks")
+    rows = materialize(chunks.select("doc_id", number.alias("row_id"), sensitivity.profile(F.col("content"))["raw_score"].alias("raw"), buckets.alias("buckets")), "buckets")
+    model = embedding.TermEmbedding.fit(rows, F.col("buckets"))
+    embedded = rows.select("doc_id", "row_id", "raw", model.column(rows, F.col("buckets")).alias("vec"))
     safe = N.apply_noise(N.calibrate(embedded, "raw"), "row_id", "vec", "sigma").select(F.col("row_id").alias("doc_id"), V.normalize(F.col("noised")).alias("vec"))
     queries = embedded.where("doc_id % 20 = 0").select(F.col("row_id").alias("query_id"), "vec")
-    return _shown(R.top_k(queries, materialize(safe, "noised"), 3))
+    return _shown(R.top_k(materialize(queries, "queries"), materialize(safe, "noised"), 3))

@@ -93,10 +93,10 @@ def test_attack_queries_against_plain_loops(spark):
 
 def test_embedding_weighs_rare_terms_more(spark):
     rows = spark.createDataFrame([(i, ["every", f"own{i}"] if i else ["every"]) for i in range(50)] + [(50, []), (51, None)], "i int, terms array<string>")
-    model = embedding.TermEmbedding.fit(rows, F.col("terms"))
+    model = embedding.TermEmbedding.fit(rows, embedding.buckets_of(F.col("terms")))
     bucket = dict(spark.createDataFrame([(["every", "own7"],)], "t array<string>").select(F.explode(F.arrays_zip("t", embedding.buckets_of(F.col("t")).alias("b"))).alias("x")).select("x.t", "x.b").collect())
     assert model.weights[bucket["every"]] == pytest.approx(math.log(53 / 51) + 1) and model.weights[bucket["own7"]] > 4
-    found = {r.i: np.array(r.v) for r in rows.select("i", model.column(rows, F.col("terms")).alias("v")).collect()}
+    found = {r.i: np.array(r.v) for r in rows.select("i", model.column(rows, embedding.buckets_of(F.col("terms"))).alias("v")).collect()}
     assert all(abs(np.linalg.norm(found[i]) - 1) < 1e-9 for i in range(50)) and not found[50].any() and not found[51].any()
     assert abs(found[1] @ found[2]) < 0.7 and len(found[0]) == embedding.WIDTH
 
