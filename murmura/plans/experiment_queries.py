@@ -71,11 +71,31 @@ def no_jl_variants(docs, scales):
     return materialize(E.union([E.noised(docs, f"{k} {s:g}", sigma * s) for k, sigma in kinds.items() for s in scales]), "variants"), names
 
 
-@_R.add("dp17_grd2_grd17_ablation_grid", _ABLATION)
+def noise_parameters(docs, scales):
+    """(variant, utility_scale, mean_sigma, max_sigma, mean_sigma_per_dim, mean_epsilon, min_epsilon) of no_jl_variants(); no epsilon where there is no noise."""
+    mean = docs.agg(F.avg("epsilon").alias("e"), F.avg("local_sensitivity").alias("s")).first()
+    fixed = N.multiplier(mean.e, N.NoiseConfig().delta)[0] * mean.s if mean.e is not None else 0.0
+    width, none = F.sqrt(F.size("vec").cast("double")), F.lit(None).cast("double")
+    kinds = {"full": (F.col("sigma"), width, F.col("epsilon")), "no_dp": (F.lit(0.0), width, none), "no_dimension_scaling": (F.col("sigma"), F.lit(1.0), F.col("epsilon")), "fixed_calibration": (F.lit(fixed), width, F.lit(mean.e))}
+    parts = [
+        docs.agg(F.avg(sigma).alias("mean_sigma"), F.max(sigma).alias("max_sigma"), F.avg(sigma * s / by).alias("mean_sigma_per_dim"), F.avg(eps).alias("mean_epsilon"), F.min(eps).alias("min_epsilon")).select(F.lit(f"{k} {s:g}").alias("variant"), F.lit(s).alias("utility_scale"), "*")
+        for k, (sigma, by, eps) in kinds.items() for s in scales
+    ]
+    return E.union(parts)
+
+
+_NOISE_SHOWN = """np AS (SELECT k.name || ' ' || c.s AS variant, c.s::DOUBLE AS utility_scale, CASE k.name WHEN 'no_dp' THEN 0 WHEN 'fixed_calibration' THEN (SELECT sigma FROM matched) ELSE cal.sigma END AS total, CASE k.name WHEN 'no_dimension_scaling' THEN 1 ELSE 8 END AS width,
+  CASE k.name WHEN 'no_dp' THEN NULL WHEN 'fixed_calibration' THEN (SELECT avg(eps) FROM cal) ELSE cal.eps END AS eps FROM cal, (SELECT unnest(['full', 'no_dp', 'no_dimension_scaling', 'fixed_calibration']) AS name) k, (SELECT unnest(['0.01', '0.1', '0.5']) AS s) c),
+ns AS (SELECT variant, any_value(utility_scale) AS utility_scale, round(avg(total), 6) AS mean_sigma, round(max(total), 6) AS max_sigma, round(avg(total * utility_scale / width), 6) AS mean_sigma_per_dim, round(avg(eps), 6) AS mean_epsilon, round(min(eps), 6) AS min_epsilon FROM np GROUP BY variant)"""
+
+
+@_R.add("dp17_grd2_grd17_ablation_grid", f"WITH RECURSIVE {_ABLATION.removeprefix('WITH RECURSIVE ').replace(S.UTILITY, S.UTILITY_PARTS)}, ut AS ({S.UTILITY_ROW}), {_NOISE_SHOWN} SELECT ut.*, ns.* EXCLUDE (variant) FROM ut JOIN ns ON ns.variant = ut.variant")
 def ablation_grid(spark, sf):
-    """The utility row of each ablation and scale on raw vectors."""
+    """The utility row of each ablation and scale on raw vectors, with what its noise was."""
     queries, docs = _tables(spark, sf)
-    return _rounded(E.utility_rows(queries, docs, *no_jl_variants(_calibrated(spark, sf), (0.01, 0.1, 0.5))), ("variant",))
+    calibrated, scales = _calibrated(spark, sf), (0.01, 0.1, 0.5)
+    rows = E.utility_rows(queries, docs, *no_jl_variants(calibrated, scales)).join(noise_parameters(calibrated, scales), "variant")
+    return _rounded(rows, ("variant", "utility_scale"))
 
 
 _FOUR = (("eps", "epsilon"), ("sens", "sensitivity"), ("sigma", "sigma"), ("raw", "raw_score"))
@@ -241,28 +261,47 @@ def projection_dimensions(spark, sf):
 _JOINT = f"""WITH {S.VECTORS}, w AS (SELECT i, j, {randomness.gaussian_sql(42, 'jl', 'i', 'j')} AS w FROM range(64) a(i), range(32) b(j)), u AS (SELECT vec_id, n, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM n),
 y AS (SELECT vec_id, j, sum(x / greatest(n, 1e-12) * w) AS y FROM u JOIN w USING (i) GROUP BY ALL), zz AS (SELECT dim, vec_id, list(y ORDER BY j) AS z FROM y JOIN (SELECT unnest([16, 32]) AS dim) ON j < dim GROUP BY ALL UNION ALL SELECT 64, vec_id, v FROM n),
 z AS (SELECT dim, vec_id, list_transform(z, lambda x: x / sqrt(list_sum(list_transform(z, lambda t: t * t)))) AS z FROM zz), q AS (SELECT dim, vec_id, unnest(z) AS x, unnest(range(dim)) AS i FROM z), h AS (SELECT *, {randomness.gaussian_sql(42, 'dp', 'vec_id', 'i')} AS g FROM q),
-m AS (SELECT dim, s AS scale, vec_id, list(x + s / sqrt(dim) * g ORDER BY i) AS m FROM h, (SELECT unnest([0.01::DOUBLE, 0.1, 0.5]) AS s) GROUP BY ALL),
-p AS (SELECT a.dim, scale, a.vec_id AS query_id, b.vec_id AS doc_id, round({S.dot('q.v', 'd.v')} / (q.n * d.n), 9) AS a, round({S.dot('a.z', 'b.m')} / sqrt(list_sum(list_transform(b.m, lambda x: x * x))), 9) AS b
-  FROM z a JOIN m b ON a.dim = b.dim AND a.vec_id % 20 = 0 JOIN n q ON q.vec_id = a.vec_id JOIN n d ON d.vec_id = b.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY dim, scale, query_id ORDER BY a DESC, doc_id) AS ra, row_number() OVER (PARTITION BY dim, scale, query_id ORDER BY b DESC, doc_id) AS rb FROM p),
-per AS (SELECT dim, scale, query_id, sum((ra <= 5 AND rb <= 5)::INT) / 5.0::DOUBLE AS r5, max(CASE WHEN ra = 1 AND rb <= 5 THEN 1.0::DOUBLE / rb ELSE 0 END) AS rr FROM r GROUP BY ALL)
-SELECT dim::INTEGER AS dim, scale, round(avg(r5), 6) AS recall_at_5, round(avg(rr), 6) AS mrr_at_5, round(1 - avg(r5), 6) AS dp_loss FROM per GROUP BY dim, scale"""
+m AS (SELECT dim, s AS scale, vec_id, list(x + s / sqrt(dim) * g ORDER BY i) AS m, sqrt(sum(s / sqrt(dim) * g * s / sqrt(dim) * g)) / greatest(sqrt(sum(x * x)), 1e-12) AS nsr FROM h, (SELECT unnest([0.01::DOUBLE, 0.1, 0.5]) AS s) GROUP BY ALL),
+p AS (SELECT a.dim, scale, a.vec_id AS query_id, b.vec_id AS doc_id, round({S.dot('q.v', 'd.v')} / (q.n * d.n), 9) AS a, round({S.dot('a.z', 'c.z')}, 9) AS c, round({S.dot('a.z', 'b.m')} / sqrt(list_sum(list_transform(b.m, lambda x: x * x))), 9) AS b
+  FROM z a JOIN m b ON a.dim = b.dim AND a.vec_id % 20 = 0 JOIN z c ON c.dim = b.dim AND c.vec_id = b.vec_id JOIN n q ON q.vec_id = a.vec_id JOIN n d ON d.vec_id = b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY dim, scale, query_id ORDER BY a DESC, doc_id) AS ra, row_number() OVER (PARTITION BY dim, scale, query_id ORDER BY b DESC, doc_id) AS rb, row_number() OVER (PARTITION BY dim, scale, query_id ORDER BY c DESC, doc_id) AS rc FROM p),
+per AS (SELECT dim, scale, query_id, sum((ra <= 5 AND rb <= 5)::INT) / 5.0::DOUBLE AS ab, sum((ra <= 5 AND rc <= 5)::INT) / 5.0::DOUBLE AS ac, sum((rc <= 5 AND rb <= 5)::INT) / 5.0::DOUBLE AS cb, max(CASE WHEN ra = 1 AND rb <= 5 THEN 1.0::DOUBLE / rb ELSE 0 END) AS mab,
+  max(CASE WHEN ra = 1 AND rc <= 5 THEN 1.0::DOUBLE / rc ELSE 0 END) AS mac, max(CASE WHEN rc = 1 AND rb <= 5 THEN 1.0::DOUBLE / rb ELSE 0 END) AS mcb FROM r GROUP BY ALL),
+g AS (SELECT m.dim, scale, round(avg(nsr), 6) AS nsr, round(avg({S.dot('z', 'm')} / sqrt(list_sum(list_transform(m, lambda x: x * x)))), 6) AS dc FROM m JOIN z ON z.dim = m.dim AND z.vec_id = m.vec_id GROUP BY ALL)
+SELECT per.dim::INTEGER AS vector_dim, CASE per.dim WHEN 64 THEN 'No-JL' ELSE 'JL' END AS representation_type, CASE per.dim WHEN 64 THEN 'No-JL 64d' ELSE per.dim || 'd JL' END AS representation_label, per.dim = 64 AS is_no_jl, per.scale AS utility_scale, (SELECT count(*) FROM n) AS sampled_rows, count(*) AS num_queries,
+  round(avg(ac), 6) AS jl_recall_at_5, round(avg(mac), 6) AS jl_mrr_at_5, round(avg(ab), 6) AS final_exact_recall_at_5, round(avg(mab), 6) AS final_exact_mrr_at_5, round(avg(cb), 6) AS dp_recall_at_5, round(avg(mcb), 6) AS dp_mrr_at_5, round(1 - avg(cb), 6) AS dp_loss_at_5,
+  any_value(nsr) AS mean_noise_signal_ratio, any_value(dc) AS mean_direction_cosine, round((SELECT count(*) FROM n) * per.dim * 4 / 1048576.0, 6)::DOUBLE AS estimated_storage_mb FROM per JOIN g ON g.dim = per.dim AND g.scale = per.scale GROUP BY per.dim, per.scale"""
 
 
 @_R.add("grd6_joint_grid", _JOINT)
 def joint_grid(spark, sf):
-    """Projection width (64: none) by noise scale: agreement with raw search, and what is lost."""
+    """Projection width (64: none) by noise scale: what projection, noise and both lose against search before them."""
     queries, docs = _tables(spark, sf)
-    raw, parts, asked, scales = R.top_k(queries, docs, 5), [], [], (0.01, 0.1, 0.5)
+    raw, lows, parts, asked, plain, scales = materialize(R.top_k(queries, docs, 5), "raw"), {}, [], [], [], (0.01, 0.1, 0.5)
     for dim in (16, 32, 64):
         low = docs.select("doc_id", V.normalize(F.col("vec")).alias("vec")) if dim == 64 else P.project(docs, P.Projector(64, dim), "vec").select("doc_id", F.col("projected").alias("vec"))
-        low = materialize(low, "projected")
+        lows[dim] = low = materialize(low, "projected")
+        plain.append(low.select(F.lit(str(dim)).alias("variant"), "doc_id", "vec"))
         for s in scales:
             parts.append(E.noised(low, f"{dim}|{s:g}", F.lit(s) / F.sqrt(F.lit(float(dim))), clip=1e9))
             asked.append(low.where("doc_id % 20 = 0").select(F.lit(f"{dim}|{s:g}").alias("variant"), F.col("doc_id").alias("query_id"), "vec"))
-    found = E.agreement(raw, R.top_k(E.union(asked), materialize(E.union(parts), "variants"), 5, by="variant"), (5,))
-    cells = F.split("variant", r"\|")
-    return found.select(cells[0].cast("int").alias("dim"), cells[1].cast("double").alias("scale"), F.round("recall_at_5", 6).alias("recall_at_5"), F.round("mrr_at_5", 6).alias("mrr_at_5"), F.round(1 - F.col("recall_at_5"), 6).alias("dp_loss"))
+    noised = materialize(E.union(parts), "variants")
+    by_dim = lambda t: t.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    jl = materialize(R.top_k(by_dim(E.union(plain)), E.union(plain), 5, by="variant"), "jl")
+    found = materialize(R.top_k(E.union(asked), noised, 5, by="variant"), "found")
+    dim_of = F.split("variant", r"\|")[0]
+    ends = E.agreement(raw, found, (5,)).select("variant", F.col("recall_at_5").alias("final_exact_recall_at_5"), F.col("mrr_at_5").alias("final_exact_mrr_at_5"))
+    first = E.agreement(raw, jl, (5,)).select(F.col("variant").alias("dim"), F.col("recall_at_5").alias("jl_recall_at_5"), F.col("mrr_at_5").alias("jl_mrr_at_5"))
+    own = E.agreement(jl.withColumnRenamed("variant", "scheme"), found.withColumn("scheme", dim_of), (5,)).select("variant", F.col("recall_at_5").alias("dp_recall_at_5"), F.col("mrr_at_5").alias("dp_mrr_at_5"), (1 - F.col("recall_at_5")).alias("dp_loss_at_5"))
+    shape = noised.groupBy("variant").agg(F.avg("nsr").alias("mean_noise_signal_ratio"), F.avg(V.cosine(F.col("ref"), F.col("vec"))).alias("mean_direction_cosine"), F.count(F.lit(1)).alias("sampled_rows"))
+    rows = ends.join(own, "variant").join(shape, "variant").withColumn("dim", dim_of).join(first, "dim")
+    dim, whole = F.col("dim").cast("int"), F.col("dim") == "64"
+    out = rows.select(
+        dim.alias("vector_dim"), F.when(whole, "No-JL").otherwise("JL").alias("representation_type"), F.when(whole, "No-JL 64d").otherwise(F.concat("dim", F.lit("d JL"))).alias("representation_label"), whole.alias("is_no_jl"),
+        F.split("variant", r"\|")[1].cast("double").alias("utility_scale"), "sampled_rows", F.lit(queries.count()).cast("long").alias("num_queries"),
+        *[c for c in rows.columns if c.endswith("_at_5")], "mean_noise_signal_ratio", "mean_direction_cosine", (F.col("sampled_rows") * dim * 4 / F.lit(1048576.0)).alias("estimated_storage_mb"),
+    )
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" and c != "utility_scale" else F.col(c) for c, t in out.dtypes])
 
 
 @_R.add("grd8_recommendation", f"""{_GRID}, r AS (SELECT *, CASE scheme WHEN 'en' THEN 0.45 ELSE 0.9 END::DOUBLE AS threshold FROM g WHERE scheme IN ('en', 'de')),

@@ -53,12 +53,13 @@ PAIRS = f"""p AS (SELECT variant, q.vec_id AS query_id, d.vec_id AS doc_id, roun
 r AS (SELECT *, row_number() OVER (PARTITION BY variant, query_id ORDER BY a DESC, doc_id) AS ra, row_number() OVER (PARTITION BY variant, query_id ORDER BY b DESC, doc_id) AS rb FROM p)"""
 
 #: A row for each variant, as utility_rows() gives it.
-UTILITY = f"""per AS (SELECT variant, query_id, sum((ra <= 1 AND rb <= 1)::INT) / 1.0 AS r1, sum((ra <= 3 AND rb <= 3)::INT) / 3.0::DOUBLE AS r3, sum((ra <= 5 AND rb <= 5)::INT) / 5.0::DOUBLE AS r5, sum((ra <= 10 AND rb <= 10)::INT) / 10.0::DOUBLE AS r10,
+UTILITY_PARTS = f"""per AS (SELECT variant, query_id, sum((ra <= 1 AND rb <= 1)::INT) / 1.0 AS r1, sum((ra <= 3 AND rb <= 3)::INT) / 3.0::DOUBLE AS r3, sum((ra <= 5 AND rb <= 5)::INT) / 5.0::DOUBLE AS r5, sum((ra <= 10 AND rb <= 10)::INT) / 10.0::DOUBLE AS r10,
   max(CASE WHEN ra = 1 AND rb <= 5 THEN 1.0::DOUBLE / rb ELSE 0 END) AS rr, corr(a, b) AS pearson, avg(abs(a - b)) AS drift, max(abs(a - b)) AS most FROM r GROUP BY variant, query_id),
 sh AS (SELECT variant, nsr, {dot('n.v', 'm.w')} / (n.n * m.wn) AS c FROM m JOIN n ON n.vec_id = m.vec_id),
-t AS (SELECT variant, round(avg(nsr), 6) AS mean_nsr, round(min(c), 6) AS min_direction_cosine, round(avg(c), 6) AS mean_direction_cosine, round(max(c), 6) AS max_direction_cosine FROM sh GROUP BY variant)
-SELECT variant, round(avg(r1), 6)::DOUBLE AS recall_at_1, round(avg(r3), 6) AS recall_at_3, round(avg(r5), 6) AS recall_at_5, round(avg(r10), 6) AS recall_at_10, round(avg(rr), 6) AS mrr_at_5, round(avg(pearson), 6) AS mean_pearson, round(avg(drift), 6) AS mean_drift,
+t AS (SELECT variant, round(avg(nsr), 6) AS mean_nsr, round(min(c), 6) AS min_direction_cosine, round(avg(c), 6) AS mean_direction_cosine, round(max(c), 6) AS max_direction_cosine FROM sh GROUP BY variant)"""
+UTILITY_ROW = """SELECT variant, round(avg(r1), 6)::DOUBLE AS recall_at_1, round(avg(r3), 6) AS recall_at_3, round(avg(r5), 6) AS recall_at_5, round(avg(r10), 6) AS recall_at_10, round(avg(rr), 6) AS mrr_at_5, round(avg(pearson), 6) AS mean_pearson, round(avg(drift), 6) AS mean_drift,
   round(max(most), 6) AS max_drift, any_value(mean_nsr) AS mean_nsr, any_value(min_direction_cosine) AS min_direction_cosine, any_value(mean_direction_cosine) AS mean_direction_cosine, any_value(max_direction_cosine) AS max_direction_cosine FROM per JOIN t USING (variant) GROUP BY variant"""
+UTILITY = f"{UTILITY_PARTS}\n{UTILITY_ROW}"
 
 
 def _gap(a: str, b: str) -> str:
