@@ -49,6 +49,15 @@ def advantage(rows: DataFrame, *by: str) -> DataFrame:
     return roc(rows, *by).where("pos > 0 AND neg > 0").groupBy(*by).agg(F.greatest(gap, F.lit(0.0)).alias("advantage"))
 
 
+def targets(rows: DataFrame, order: list[str], least: int = 1, most: int = 0) -> DataFrame:
+    """The rows to be attacked: the first `most` in an order, or all for 0; an error if there are fewer than `least`."""
+    if least < 1 or most < 0:
+        raise ValueError("least must be positive and most not negative")
+    if (n := rows.limit(least).count()) < least:
+        raise ValueError(f"{n} sensitive rows; at least {least} are needed")
+    return rows.orderBy(*order).limit(most) if most else rows
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from murmura.functions import randomness, vector as V
+from murmura.functions import randomness, sensitivity, vector as V
+from murmura.operators import chunking as C
+from murmura.operators import embedding
 from murmura.operators import experiments as E
 from murmura.operators import grids as G
 from murmura.operators import noise as N
@@ -14,6 +16,7 @@ from murmura.operators import security as X
 from murmura.operators import summaries as Y
 from murmura.operators.asof import as_of
 from murmura.plans import sql_parts as S
+from murmura.plans import text_queries as T
 from murmura.plans.builder import Registry
 from murmura.plans.retrieval_queries import _tables
 from murmura.plans.security_queries import _GRID, _ROWS, _grid, _scored
@@ -179,6 +182,52 @@ def exposure(spark, sf):
     return _rounded(E.union(out), ("variant", "kind", "distinct_targets"))
 
 
+def _terms_sql(text):
+    return f"list_distinct(list_filter(list_transform(regexp_extract_all({text}, '[A-Za-z][A-Za-z0-9_''-]{{2,}}|[一-鿿]{{2,}}'), lambda x: lower(x)), lambda x: length(x) >= 3))"
+
+
+def _drawn_sql(seed):
+    return f"list_transform(list_sort(list_transform(l, lambda x: {{'h': md5('{seed}|' || doc_id || '|' || x), 'x': x}}))[1:8], lambda s: s.x)"
+
+
+_TEXT_ATTACKS = f"""WITH d AS (SELECT doc_id, doc_id AS row_id, text, {_terms_sql('text')} AS terms, regexp_matches(text, '{T._ASCII_EMAIL}') OR regexp_matches(text, '{T._URL}') AS hot FROM documents), tt AS (SELECT row_id, terms FROM d), {embedding.sql('tt')},
+a AS (SELECT doc_id, {_terms_sql(f"regexp_replace(regexp_replace(text, '{T._ASCII_EMAIL}', ' ', 'g'), '{T._URL}', ' ', 'g')")} AS l FROM d WHERE hot),
+asked AS (SELECT 'attack' AS kind, doc_id, doc_id * 2 AS row_id, {_drawn_sql(2027)} AS terms FROM a WHERE len(l) >= 4 UNION ALL SELECT 'normal', doc_id, doc_id * 2 + 1, {_drawn_sql(2026)} FROM (SELECT doc_id, terms AS l FROM d WHERE doc_id % 20 = 0 AND NOT hot AND len(terms) >= 4)),
+qt AS (SELECT row_id, terms FROM asked), {embedding.sql('qt', 'q', 'tt')},
+n AS (SELECT row_id AS vec_id, list_transform(v, lambda x: x / greatest(n, 1e-12)) AS v, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0 END AS n FROM tvec), {S.DRAWS}, sig AS (SELECT s AS variant, vec_id, CASE s WHEN 'raw' THEN 0 ELSE 0.1 / 8 END::DOUBLE AS sigma FROM n, (SELECT unnest(['raw', 'noised']) AS s)), {S.NOISED},
+s AS (SELECT variant, q.row_id AS query_id, m.vec_id AS doc_id, row_number() OVER (PARTITION BY variant, q.row_id ORDER BY round({S.dot('q.v', 'm.w')} / (greatest(q.n, 1e-12) * greatest(m.wn, 1e-12)), 9) DESC, m.vec_id) AS k FROM qvec q, m),
+f AS (SELECT * FROM s WHERE k <= 5), k AS (SELECT f.variant, kind, f.query_id, max(CASE WHEN f.doc_id = asked.doc_id THEN k END) AS k, max(CASE WHEN f.doc_id = asked.doc_id THEN f.doc_id END) AS hit, sum(hot::INT) AS n FROM f JOIN asked ON asked.row_id = f.query_id JOIN d ON d.doc_id = f.doc_id GROUP BY ALL)
+SELECT variant, kind, round(avg((coalesce(k, 99) = 1)::INT), 6) AS recall_at_1, round(avg((k IS NOT NULL)::INT), 6) AS recall_at_5, round(avg(k), 6) AS mean_rank, count(DISTINCT hit) AS distinct_targets, round(avg(n), 6) AS mean_sensitive FROM k GROUP BY ALL"""
+
+
+@_R.add("sec2_text_attacks", _TEXT_ATTACKS)
+def text_attacks(spark, sf):
+    """Queries made from the texts of documents that hold addresses, without these (attack), and from others (normal): what they find in raw and in noised embeddings."""
+    ship(spark)
+    kinds = ("email", "url")
+    docs = table(spark, sf, "documents").select("doc_id", "text", (F.size(sensitivity.entity_types(F.col("text"), kinds)) > 0).alias("hot"))
+    rows = docs.select("doc_id", "hot", embedding.buckets_of(C.distinct_terms(F.col("text"))).alias("buckets"))
+    model = embedding.TermEmbedding.fit(rows, F.col("buckets"))
+    vectors = materialize(rows.select("doc_id", model.column(rows, F.col("buckets")).alias("vec")), "embedded")
+    attacked = X.targets(docs.where("hot"), ["doc_id"])
+    drawn = lambda seed: F.slice(F.array_sort(F.transform("l", lambda x: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), x)).alias("h"), x.alias("x")))), 1, 8)
+    parts = []
+    for i, (kind, seed, texts) in enumerate((("attack", 2027, attacked.select("doc_id", C.distinct_terms(sensitivity.redact(F.col("text"), kinds)).alias("l"))), ("normal", 2026, docs.where("NOT hot AND doc_id % 20 = 0").select("doc_id", C.distinct_terms(F.col("text")).alias("l"))))):
+        terms = F.transform(drawn(seed), lambda s: s.x)
+        parts.append(texts.where("size(l) >= 4").select(F.lit(kind).alias("kind"), "doc_id", (F.col("doc_id") * 2 + i).alias("query_id"), embedding.buckets_of(terms).alias("buckets")))
+    asked = E.union(parts)
+    asked = materialize(asked.select("kind", "doc_id", "query_id", model.column(asked, F.col("buckets")).alias("vec")), "asked")
+    variants, names = _protected(vectors)
+    found = materialize(R.top_k(asked.select("query_id", "vec"), variants, 5, by="variant", variants=names), "found")
+    out = []
+    for name in names:
+        for kind in ("attack", "normal"):
+            own = asked.where(F.col("kind") == kind)
+            mine = found.where(F.col("variant") == name).join(own.select("query_id"), "query_id", "left_semi")
+            out.append(X.exposure(mine, own.select("query_id", "doc_id"), docs.where("hot").select("doc_id")).select(F.lit(name).alias("variant"), F.lit(kind).alias("kind"), "*"))
+    return _rounded(E.union(out), ("variant", "kind", "distinct_targets"))
+
+
 @_R.add("sec10_fold_summary", f"""{_ROWS}, f AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5('2028|' || doc_id), doc_id) - 1) % 5 AS fold FROM r),
 c AS (SELECT fold, sum((label = 1 AND prediction = 1)::INT)::DOUBLE AS tp, sum((label = 0 AND prediction = 1)::INT)::DOUBLE AS fp, sum((label = 1 AND prediction = 0)::INT)::DOUBLE AS fn, sum((label = 0 AND prediction = 0)::INT)::DOUBLE AS tn FROM f GROUP BY fold),
 s AS (SELECT (tp / (tp + fn) + tn / (tn + fp)) / 2 AS b, 2 * tp / (2 * tp + fp + fn) AS f1 FROM c)
