@@ -46,8 +46,9 @@ def report(scored: DataFrame, limit: float = 0.01) -> DataFrame:
     low_resolution: fewer negatives than a false alarm rate of `limit` can tell apart.
     """
     counts = scored.agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives"), F.sum(1 - F.col("label")).alias("negatives"), F.countDistinct("fold").alias("folds"))
-    pooled = X.auc(scored).withColumnRenamed("auc", "roc_auc").join(X.tpr_at_fpr(scored, limit).withColumnRenamed("tpr", "tpr_at_fpr_1pct")).join(X.classification(scored).select(*MACRO))  # single rows
-    folds = X.auc(scored, "fold").withColumnRenamed("auc", "roc_auc").join(X.tpr_at_fpr(scored, limit, "fold").withColumnRenamed("tpr", "tpr_at_fpr_1pct"), "fold").join(X.classification(scored, "fold").select("fold", *MACRO), "fold")
+    named = [F.col("auc").alias("roc_auc"), F.col("tpr").alias("tpr_at_fpr_1pct")]
+    pooled = X.rates(scored, limit).select(*named).join(X.classification(scored).select(*MACRO))  # single rows
+    folds = X.rates(scored, limit, "fold").select("fold", *named).join(X.classification(scored, "fold").select("fold", *MACRO), "fold")
     names = ["roc_auc", "tpr_at_fpr_1pct", *MACRO]
     over = folds.agg(*[f(n).alias(f"{n}_fold_{kind}") for n in names for kind, f in (("mean", F.avg), ("std", F.stddev_pop))])
     return pooled.join(over).join(counts).withColumn("low_resolution", F.col("negatives") < round(1 / limit))

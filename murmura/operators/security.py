@@ -28,25 +28,41 @@ def _beside(rows: DataFrame, totals: DataFrame, by: tuple[str, ...]) -> DataFram
     if not by:
         return rows.join(F.broadcast(totals))
     totals = totals.withColumnsRenamed({c: f"t_{c}" for c in by})
-    on = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in by]
-    return rows.join(F.broadcast(totals), ordered._all(on)).drop(*[f"t_{c}" for c in by])
+    on = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in by]  # of any number of groups
+    return rows.join(totals, ordered._all(on)).drop(*[f"t_{c}" for c in by])
+
+
+def _area() -> Column:
+    whole = F.max(F.col("pos") * F.col("neg"))
+    return F.when(whole > 0, F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0)) / whole).otherwise(F.lit(float("nan")))
+
+
+def _hits(limit: float) -> Column:
+    return F.max(F.when(F.col("fp") <= limit * F.col("neg"), F.try_divide("tp", "pos")).otherwise(F.lit(0.0)))
+
+
+def _gap() -> Column:
+    return F.greatest(F.max(F.try_divide("tp", "pos") - F.try_divide("fp", "neg")), F.lit(0.0))
 
 
 def auc(rows: DataFrame, *by: str) -> DataFrame:
     """(by, auc); equal scores count half, a single class gives NaN."""
-    area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2.0))
-    return roc(rows, *by).groupBy(*by, "pos", "neg").agg(area.alias("a")).select(*by, F.when(F.col("pos") * F.col("neg") > 0, F.col("a") / (F.col("pos") * F.col("neg"))).otherwise(F.lit(float("nan"))).alias("auc"))
+    return roc(rows, *by).groupBy(*by).agg(_area().alias("auc"))
 
 
 def tpr_at_fpr(rows: DataFrame, limit: float, *by: str) -> DataFrame:
     """(by, tpr): the best rate of hits with a false alarm rate up to the limit."""
-    ok = F.max(F.when(F.col("fp") <= limit * F.col("neg"), F.col("tp") / F.col("pos")).otherwise(F.lit(0.0)))
-    return roc(rows, *by).where("pos > 0 AND neg > 0").groupBy(*by).agg(ok.alias("tpr"))
+    return roc(rows, *by).where("pos > 0 AND neg > 0").groupBy(*by).agg(_hits(limit).alias("tpr"))
 
 
 def advantage(rows: DataFrame, *by: str) -> DataFrame:
-    gap = F.max(F.col("tp") / F.col("pos") - F.col("fp") / F.col("neg"))
-    return roc(rows, *by).where("pos > 0 AND neg > 0").groupBy(*by).agg(F.greatest(gap, F.lit(0.0)).alias("advantage"))
+    return roc(rows, *by).where("pos > 0 AND neg > 0").groupBy(*by).agg(_gap().alias("advantage"))
+
+
+def rates(rows: DataFrame, limit: float, *by: str) -> DataFrame:
+    """(by, auc, tpr, advantage, negatives) from one curve; without both classes auc is NaN and the others null."""
+    both = F.max(F.col("pos") * F.col("neg")) > 0
+    return roc(rows, *by).groupBy(*by).agg(_area().alias("auc"), F.when(both, _hits(limit)).alias("tpr"), F.when(both, _gap()).alias("advantage"), F.max("neg").cast("long").alias("negatives"))
 
 
 def targets(rows: DataFrame, order: list[str], least: int = 1, most: int = 0) -> DataFrame:

@@ -268,8 +268,7 @@ def membership_row(spark, sf):
     found = R.top_k(asked.select(F.col("doc_id").alias("query_id"), "vec"), docs.where("grp = 3"), 6, "l2").where("doc_id <> query_id")
     scored = X.knn_density(R.ranked(found.drop("rank"), 5, False), 5).join(asked.select(F.col("doc_id").alias("row_id"), "grp"), "row_id")
     rows = materialize(scored.where("grp <= 2").select(F.round("score", 5).alias("score"), (F.col("grp") == 1).cast("int").alias("label")), "scored")
-    low = rows.agg((F.sum(1 - F.col("label")) < 100).alias("low_resolution"))
-    return _rounded(X.auc(rows).join(X.tpr_at_fpr(rows, 0.01)).join(X.advantage(rows)).join(low), ("low_resolution",))  # single rows
+    return _rounded(X.rates(rows, 0.01).select("auc", "tpr", "advantage", (F.col("negatives") < 100).alias("low_resolution")), ("low_resolution",))
 
 
 @_R.add("sec16_shadow_attack")

@@ -39,9 +39,8 @@ def sec_auc_lang(spark, sf):
 
 @_R.add("sec8_sec12_rates", f"{_ROC} SELECT round(max(CASE WHEN fp <= 0.1 * neg THEN tp / pos ELSE 0 END), 6) AS tpr, round(greatest(max(tp / pos - fp / neg), 0), 6) AS advantage, any_value(neg) < 10 AS low_resolution FROM o")
 def sec_rates(spark, sf):
-    rows = _scored(spark, sf)
-    low = rows.agg((F.sum(1 - F.col("label")) < round(1 / 0.1)).alias("low_resolution"))
-    return X.tpr_at_fpr(rows, 0.1).select(F.round("tpr", 6).alias("tpr")).join(X.advantage(rows).select(F.round("advantage", 6).alias("advantage"))).join(low)  # single rows
+    found = X.rates(_scored(spark, sf), 0.1)
+    return found.select(F.round("tpr", 6).alias("tpr"), F.round("advantage", 6).alias("advantage"), (F.col("negatives") < round(1 / 0.1)).alias("low_resolution"))
 
 
 @_R.add("sec9_classification", f"""{_ROWS}, c AS (SELECT sum((label = 1 AND prediction = 1)::INT)::DOUBLE AS tp, sum((label = 0 AND prediction = 1)::INT)::DOUBLE AS fp, sum((label = 1 AND prediction = 0)::INT)::DOUBLE AS fn, sum((label = 0 AND prediction = 0)::INT)::DOUBLE AS tn FROM r),

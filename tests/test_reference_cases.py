@@ -75,6 +75,18 @@ def test_roc(spark):
     assert math.isnan(security.auc(rows.where("label = 1")).first().auc)
 
 
+def test_rates_of_one_curve(spark):
+    rows = spark.createDataFrame([(g, y, s) for g in ("a", "b") for y, s in zip((0, 0, 1, 1, 0, 1), (0.1, 0.4, 0.35, 0.8, 0.8, 0.9))] + [("c", 1, 0.5)], "g string, label int, score double")
+    both = {r.g: r for r in security.rates(rows, 0.4, "g").collect()}
+    for g in "ab":
+        own = rows.where(F.col("g") == g)
+        assert (both[g].auc, both[g].tpr, both[g].advantage, both[g].negatives) == (security.auc(own).first().auc, security.tpr_at_fpr(own, 0.4).first().tpr, security.advantage(own).first().advantage, 3)
+    assert math.isnan(both["c"].auc) and both["c"].tpr is None and both["c"].negatives == 0
+    with pytest.raises(ValueError, match="at least 9"):
+        security.targets(rows, ["score"], 9)
+    assert [r.score for r in security.targets(rows, ["score", "g"], 1, 2).collect()] == [0.1, 0.1] and security.targets(rows, ["score"]).count() == 13
+
+
 def test_safe_corr(spark):
     rows = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double")
     assert math.isnan(rows.agg(metrics.safe_corr(F.col("x"), F.col("y")).alias("r")).first().r)
@@ -165,9 +177,11 @@ def test_slices_of_all_sizes(spark):
     assert {r["size"] for r in registry.queries()["grd4_scale_slices"](spark, "/root/testdata/sf0.1").collect()} == {100, 300, 500, 1000}
 
 
-def test_running_sums_over_many_ranges(spark):
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_running_sums_over_many_ranges(spark, monkeypatch, small):
     from murmura.operators import ordered
 
+    monkeypatch.setattr(ordered, "SMALL_ROWS", small)
     rows = [(i, i % 3, float(i % 7)) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, grp int, x double").repartition(7)
     out = {r.id: r for r in ordered.running_sums(df, [F.col("id").desc()], {"upto": F.col("x"), "no": F.lit(1).cast("long")}, ("grp",)).collect()}
