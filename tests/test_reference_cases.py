@@ -82,8 +82,8 @@ def test_rates_of_one_curve(spark):
         own = rows.where(F.col("g") == g)
         assert (both[g].auc, both[g].tpr, both[g].advantage, both[g].negatives) == (security.auc(own).first().auc, security.tpr_at_fpr(own, 0.4).first().tpr, security.advantage(own).first().advantage, 3)
     assert math.isnan(both["c"].auc) and both["c"].tpr is None and both["c"].negatives == 0
-    with pytest.raises(ValueError, match="at least 9"):
-        security.targets(rows, ["score"], 9)
+    with pytest.raises(ValueError, match="at least 14"):
+        security.targets(rows, ["score"], 14)
     assert [r.score for r in security.targets(rows, ["score", "g"], 1, 2).collect()] == [0.1, 0.1] and security.targets(rows, ["score"]).count() == 13
 
 
