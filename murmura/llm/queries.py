@@ -143,7 +143,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IS NULL OR rule = 'example.com/
 
 _NEAREST = """
 WITH e AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
 ), n AS (
   SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e
 ), pairs AS (

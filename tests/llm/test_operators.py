@@ -227,6 +227,12 @@ def test_nearest_of_huge_and_tiny_numbers(spark):
     assert vectors.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_repeated_vectors_count_once(spark):
+    rows = spark.createDataFrame([(50, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [0.5, 0.5]), (50, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    found = vectors.nearest(rows, F.col("vec_id") % 50 == 0, k=5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == [(50, 1, 1), (50, 2, 2)]
+
+
 # -- 5
 
 
@@ -341,6 +347,46 @@ def test_characters_far_inside_a_long_run_count():
         assert all(any(word[i : i + 20] in p for p in parts) for i in range(n))
 
 
+def plain_score(network, text):
+    """A text's score by loops over windows, words, features, states and both directions."""
+    w, h = {k: v.astype(float) for k, v in network.w.items()}, len(network.w["att"]) // 2
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    vectors = []
+    for word in toxicity.words_of(text):
+        marked = f"<{word}>"
+        parts = {marked, marked[:4], marked[:5], marked[:6], marked[-4:], marked[-5:], *(marked[i : i + 3] for i in range(len(marked) - 2))}
+        vectors.append(sum((w["table"][network.rows[p]] for p in parts if p in network.rows), np.zeros(w["table"].shape[1])))
+    best = -np.inf
+    for begin in toxicity.starts(len(vectors)):
+        window = vectors[begin : begin + toxicity.WINDOW] or [np.zeros(w["table"].shape[1])]
+        empty, both = not vectors, []
+        for d, order in (("f", range(len(window))), ("b", reversed(range(len(window))))):
+            state, states = np.zeros(h), {}
+            for t in order:
+                x, u = window[t] @ w[f"w{d}"] + w[f"b{d}"], w[f"u{d}"]
+                z, r = sigmoid(x[:h] + state @ u[:, :h]), sigmoid(x[h : 2 * h] + state @ u[:, h : 2 * h])
+                c = np.tanh(x[2 * h :] + (r * state) @ u[:, 2 * h :])
+                state = state if empty else state + z * (c - state)
+                states[t] = state
+            both.append([states[t] for t in range(len(window))])
+        joined = [np.concatenate(p) for p in zip(*both)]
+        weight = np.exp([j @ w["att"] for j in joined])
+        pooled = sum(a * j for a, j in zip(weight / weight.sum(), joined))
+        best = max(best, pooled @ w["out"] + w["bias"][0])
+    a, b = network.scale
+    return float(sigmoid(a * best + b))
+
+
+def test_scores_are_those_of_plain_loops():
+    r = random.Random(9)
+    say = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    mild, bad = "one two three four five house garden table window".split(), "worthless stupid idiot".split()
+    texts = [(say(mild + bad * (i % 2), r.randint(3, 120)), i % 2) for i in range(120)]
+    network = toxicity.train(texts, rounds=3)
+    some = [t for t, _ in texts[:30]] + ["", "!!", "a", "x" * 100, "Don't STOP", say(mild, 300) + " worthless idiot"]
+    assert toxicity.Scorer(network).scores(some) == pytest.approx([plain_score(network, t) for t in some], abs=1e-4)
+
+
 # -- 8
 
 
