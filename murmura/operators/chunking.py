@@ -154,9 +154,9 @@ def panel(text: Column, width: int) -> Column:
 # Fixed value: what is asked of a text without words.
 TOPIC = "general document topic"
 
-# The parts of a prompt, with {identity}, {found} and {question} to be put in.
+# The parts of a prompt, with {role}, {identity}, {found} and {question} to be put in.
 CONTEXT = "AI Identity/Persona\n{identity}\n\n【知识库检索结果】\n{found}"
-PROMPT = """你是一名智能问答助手(扮演DeepSeek知识管家 Theodore 西奥-多尔)，以下是你的身份描述和检索到的文档内容:
+PROMPT = """你是一名智能问答助手(扮演{role})，以下是你的身份描述和检索到的文档内容:
 {context}
 
 请遵守identity.md中的所有“沟通风格准则”和“特殊行为准则”，并根据文档做出回答。
@@ -173,11 +173,11 @@ def filled(template: str, **values: Column) -> Column:
     return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 
 
-def prompts(found: DataFrame, records: DataFrame, questions: DataFrame, identity_text: Column) -> DataFrame:
+def prompts(found: DataFrame, records: DataFrame, questions: DataFrame, identity_text: Column, role: str = "知识管家") -> DataFrame:
     """(query_id, prompt): found (query_id, rank, doc_id), records (doc_id, filename, chunk_id, content), questions (query_id, question); without any entry the prompt says nothing was found by an empty list."""
     entries = found.join(records, "doc_id").select("query_id", F.struct("rank", prompt_entry(F.col("filename"), F.col("chunk_id"), F.col("content")).alias("entry")).alias("e"))
     listed = entries.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x.entry), "\n\n").alias("found"))
-    whole = filled(PROMPT, context=filled(CONTEXT, identity=identity_text, found=F.coalesce("found", F.lit(""))), question=F.col("question"))
+    whole = filled(PROMPT, role=F.lit(role), context=filled(CONTEXT, identity=identity_text, found=F.coalesce("found", F.lit(""))), question=F.col("question"))
     return questions.join(listed, "query_id", "left").select("query_id", strip(whole).alias("prompt"))
 
 

@@ -92,7 +92,7 @@ def ret_linkage(spark, sf):
     return R.linkage(docs.withColumnRenamed("doc_id", "query_id"), docs, 5).select("query_id", "rank", "doc_id")
 
 
-_PROMPT_SQL = " || ".join("'" + x.replace("'", "''") + "'" if i % 2 == 0 else {"identity": "'The text of de' || chr(10)", "found": "coalesce(string_agg('📄【' || source || '/' || d.doc_id || '#chunk-0】' || chr(10) || substring(d.text, 1, 1000) || '...', chr(10) || chr(10) ORDER BY rank), '')", "question": "'What is like ' || query_id || '?'"}[x] for i, x in enumerate(re.split(r"\{(\w+)\}", C.PROMPT.replace("{context}", C.CONTEXT))))
+_PROMPT_SQL = " || ".join("'" + x.replace("'", "''") + "'" if i % 2 == 0 else {"role": "'知识管家'", "identity": "'The text of de' || chr(10)", "found": "coalesce(string_agg('📄【' || source || '/' || d.doc_id || '#chunk-0】' || chr(10) || substring(d.text, 1, 1000) || '...', chr(10) || chr(10) ORDER BY rank), '')", "question": "'What is like ' || query_id || '?'"}[x] for i, x in enumerate(re.split(r"\{(\w+)\}", C.PROMPT.replace("{context}", C.CONTEXT))))
 
 
 @_R.add("ret18_prompt", f"""{_PAIRS}, t AS ({_top('cosine', 'DESC', 3)}), d AS (SELECT doc_id, source, text FROM documents WHERE length(text) > 0) SELECT query_id, {_PROMPT_SQL} AS prompt FROM t LEFT JOIN d ON d.doc_id = t.doc_id GROUP BY query_id""")

@@ -39,10 +39,13 @@ def vec_pairs(spark, sf):
     return rows.join(after, "row_id").select("row_id", F.round(V.dot(a, b), 6).alias("ip"), F.round(V.squared_l2(a, b), 6).alias("l2"), F.round(V.cosine(a, b), 6).alias("cosine"), F.round(V.guarded_cosine(a, b), 6).alias("guarded"))
 
 
-@_R.add("vec8_jl_dimension", "SELECT n, eps, CASE WHEN n <= 1 THEN 1 ELSE CAST(ceil(4 * ln(n) / (eps * eps / 2 - eps * eps * eps / 3)) AS INTEGER) END AS dim FROM (VALUES (1, 0.3::DOUBLE), (100, 0.3), (1000, 0.3), (1000, 0.1)) t(n, eps)")
+@_R.add("vec8_jl_dimension", "SELECT source, n::INTEGER AS n, eps, CASE WHEN n <= 1 THEN 1 ELSE CAST(ceil(4 * ln(n) / (eps * eps / 2 - eps * eps * eps / 3)) AS INTEGER) END AS dim FROM (SELECT source, count(*) AS n FROM documents GROUP BY source UNION ALL SELECT 'all', count(*) FROM documents), (SELECT unnest([0.1::DOUBLE, 0.3]) AS eps)")
 def vec_jl_dimension(spark, sf):
-    rows = spark.createDataFrame([(1, 0.3), (100, 0.3), (1000, 0.3), (1000, 0.1)], "n int, eps double")
-    return rows.select("n", "eps", V.jl_min_dim_column(F.col("n"), F.col("eps")).alias("dim"))
+    """The least width for the documents of each source, and for all of them, at two tolerances."""
+    docs = table(spark, sf, "documents")
+    sizes = docs.groupBy("source").count().unionByName(docs.agg(F.lit("all").alias("source"), F.count(F.lit(1)).alias("count")))
+    rows = sizes.select("source", F.col("count").cast("int").alias("n"), F.explode(F.array(F.lit(0.1), F.lit(0.3))).alias("eps"))
+    return rows.select("source", "n", "eps", V.jl_min_dim_column(F.col("n"), F.col("eps")).alias("dim"))
 
 
 _MATRIX = f"m AS (SELECT i, j, {randomness.gaussian_sql(42, 'jl', 'i', 'j')} / sqrt(16.0::DOUBLE) AS w FROM range(64) a(i), range(16) b(j))"
