@@ -71,13 +71,18 @@ def vec_random_projection(spark, sf):
 
 _BALL = f"""{_N}, u AS (SELECT vec_id, v, unnest(range(64)) AS i, unnest(v) AS x FROM n), g AS (SELECT vec_id, i, x, {randomness.gaussian_sql(11, 'sap', 'vec_id', 'i')} AS z FROM u),
 s AS (SELECT vec_id, sqrt(sum(z * z)) AS zn, pow((('0x' || substr(md5('11|sapr|' || vec_id), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE, 1.0 / 64) AS r FROM g GROUP BY ALL)
-SELECT vec_id AS row_id, round(sqrt(sum(pow(8.0 * x + z / zn * r * 8.0 * 0.1 / 4, 2))), 6) AS norm FROM g JOIN s USING (vec_id) GROUP BY vec_id"""
+SELECT vec_id AS row_id, round(sqrt(sum(pow(8.0 * x + z / zn * r * 8.0 * 0.1 / 4, 2))), 6) AS norm, round(sum((8.0 * x + z / zn * r * 8.0 * 0.1 / 4) * (i + 1)), 5) AS places FROM g JOIN s USING (vec_id) GROUP BY vec_id"""
+
+
+def _places(v):
+    """The sum of a vector's numbers times their places: differs where any number does."""
+    return F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
 
 
 @_R.add("vec14_vec15_scale_perturb", _BALL)
 def vec_scale_perturb(spark, sf):
     rows = N.scale_and_perturb(_vectors(spark, sf), "row_id", "vec", 0.1, 11)
-    return rows.select("row_id", F.round(V.norm(F.col("perturbed")), 6).alias("norm"))
+    return rows.select("row_id", F.round(V.norm(F.col("perturbed")), 6).alias("norm"), F.round(_places(F.col("perturbed")), 5).alias("places"))
 
 
 @_R.add("vec12_representation", f"{_N} SELECT vec_id AS row_id, 'no_jl' AS mode, 64 AS width, round(v[1] / greatest(n, 1e-12), 6) AS first FROM n")
@@ -124,13 +129,14 @@ def dp_calibrate(spark, sf):
     return N.calibrate(rows, "raw").select("row_id", *[F.round(c, 9).alias(c) for c in ("epsilon", "local_sensitivity", "sigma")], "solved")
 
 
-_NOISE = f"WITH RECURSIVE {S.VECTORS}, {S.CALIBRATION}, {S.DRAWS}, q AS (SELECT g.vec_id, cal.sigma, cal.sigma * 0.01::DOUBLE / 8 AS step, x, z FROM g JOIN cal ON cal.vec_id = g.vec_id)"
+_NOISE = f"WITH RECURSIVE {S.VECTORS}, {S.CALIBRATION}, {S.DRAWS}, q AS (SELECT g.vec_id, i, cal.sigma, cal.sigma * 0.01::DOUBLE / 8 AS step, x, z FROM g JOIN cal ON cal.vec_id = g.vec_id)"
 
 
-@_R.add("dp7_dp9_noise", f"{_NOISE} SELECT vec_id AS row_id, round(any_value(step), 9) AS sigma_per_dim, round(sqrt(sum(step * z * step * z)), 8) AS noise_norm, 1.0::DOUBLE AS final_norm FROM q GROUP BY vec_id")
+@_R.add("dp7_dp9_noise", f"{_NOISE} SELECT vec_id AS row_id, round(any_value(step), 9) AS sigma_per_dim, round(sqrt(sum(step * z * step * z)), 8) AS noise_norm, 1.0::DOUBLE AS final_norm, round(sum((x + step * z) * (i + 1)) / sqrt(sum((x + step * z) * (x + step * z))), 6) AS final_places FROM q GROUP BY vec_id")
 def dp_noise(spark, sf):
     out = noised(spark, sf)
-    return out.select("row_id", F.round("sigma_per_dim", 9).alias("sigma_per_dim"), F.round(V.norm(F.col("noise")), 8).alias("noise_norm"), F.round(V.norm(V.normalize(F.col("noised"))), 8).alias("final_norm"))
+    final = V.normalize(F.col("noised"))
+    return out.select("row_id", F.round("sigma_per_dim", 9).alias("sigma_per_dim"), F.round(V.norm(F.col("noise")), 8).alias("noise_norm"), F.round(V.norm(final), 8).alias("final_norm"), F.round(_places(final), 6).alias("final_places"))
 
 
 @_R.add("dp8_fixed_noise", f"""{_N}, u AS (SELECT vec_id, n, unnest(v) AS x, unnest(range(len(v))) AS i FROM n),
