@@ -51,10 +51,13 @@ def txt_paragraphs(spark, sf):
     return _docs(spark, sf).select("doc_id", F.size(p).alias("paragraphs"), F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
 
 
-@_R.add("txt3_sentences")
+@_R.add("txt3_sentences", r"""
+WITH m AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([。！？；!?;])\s*', '\1' || chr(1), 'g'), '([A-Za-z0-9][.])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
+s AS (SELECT doc_id, list_filter(list_transform(p, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM m)
+SELECT doc_id, CAST(len(s) AS INTEGER) AS sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM s""")
 def txt_sentences(spark, sf):
     parts = F.filter(F.transform(F.split("text", C.SENTENCE), C.strip), lambda s: s != "")
-    return _docs(spark, sf).select("doc_id", F.size(parts).alias("sentences"))
+    return _docs(spark, sf).select("doc_id", F.size(parts).alias("sentences"), F.md5(F.array_join(parts, "|")).alias("sentences_md5"))
 
 
 @_R.add("txt4_txt7_semantic_chunks")
