@@ -34,8 +34,8 @@ def attack(rows: DataFrame, folds: int = 5, seed: int = 2028, rounds: int = 100)
         total = sum(n.values())
         weight = F.when(F.col("label") == 1, total / (2 * n[1])).otherwise(total / (2 * n[0]))
         model = LogisticRegression(weightCol="weight", regParam=1 / total, maxIter=rounds).fit(scaler.transform(train).withColumn("weight", weight))
-        part = model.transform(scaler.transform(dealt.where(F.col("fold") == fold)))
-        part = part.select("row_id", "fold", "label", vector_to_array("probability")[1].alias("score"), F.col("prediction").cast("int").alias("prediction"))
+        part = scaler.transform(dealt.where(F.col("fold") == fold)).withColumn("score", X.logistic(vector_to_array("features"), model))
+        part = part.select("row_id", "fold", "label", "score", (F.col("score") > 0.5).cast("int").alias("prediction"))
         out = part if out is None else out.unionByName(part)
     return materialize(out, "attack")
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from murmura.functions import sensitivity as S
 from murmura.operators import chunking as C
+from murmura.session import forget, scratch_folder
 
 KINDS = ("public", "personal", "financial", "corporate")
 FEATURES = 1 << 12
@@ -55,7 +56,13 @@ class TermClassifier:
         rows = rows.where(F.col(text_col).isNotNull()).withColumn("__kind", kind_of(F.col(text_col)) if kind is None else kind)
         if rows.select("__kind").distinct().count() < 2:
             return cls(None)
-        return cls(LogisticRegression(featuresCol="__features", labelCol="__kind", family="multinomial", regParam=0.01, maxIter=rounds).fit(_features(rows, text_col)))
+        model = LogisticRegression(featuresCol="__features", labelCol="__kind", family="multinomial", regParam=0.01, maxIter=rounds).fit(_features(rows, text_col))
+        # read back, as the summary of its training can't be sent to tasks once the session has observed counts
+        path = scratch_folder(rows.sparkSession, "classifier")
+        model.write().save(path)
+        model = LogisticRegressionModel.load(path)
+        forget(rows.sparkSession, path)
+        return cls(model)
 
     def scored(self, rows: DataFrame, text_col: str = "text", out_col: str = "nlp") -> DataFrame:
         """rows with the score; what sensitivity.fused_score() and profile() take as nlp."""

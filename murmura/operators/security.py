@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmura.functions import randomness
+from murmura.functions import randomness, vector
 from murmura.operators import ordered
 from murmura.session import materialize
 
@@ -195,6 +195,15 @@ def linkage_metrics(found: DataFrame, sensitive: DataFrame) -> DataFrame:
     return marked.agg(*out)
 
 
+def logistic(features: Column, model) -> Column:
+    """The probability of 1 that a binary fit gives an array of features, by its coefficients.
+
+    A fitted model carries the summary of its training and by it the session, which tasks can't be
+    sent once it has observed counts; its coefficients can.
+    """
+    return 1 / (1 + F.exp(-(vector.dot(features, F.array(*[F.lit(float(x)) for x in model.coefficients])) + F.lit(float(model.intercept)))))
+
+
 def shadow_attack(shadow: DataFrame, targets: DataFrame, vec: str = "vec", limit: float = 0.5) -> DataFrame:
     """targets with score and prediction of a balanced logistic fit on shadow rows (label, vec) only."""
     from pyspark.ml.classification import LogisticRegression
@@ -208,7 +217,7 @@ def shadow_attack(shadow: DataFrame, targets: DataFrame, vec: str = "vec", limit
     weight = F.coalesce(*[F.when(F.col("label") == r["label"], F.lit(total / (len(counts) * r["count"]))) for r in counts], F.lit(1.0))
     scaler = StandardScaler(withMean=True, inputCol="raw", outputCol="features").fit(train)
     model = LogisticRegression(weightCol="weight", regParam=1 / max(1, total), maxIter=100).fit(scaler.transform(train).withColumn("weight", weight))
-    out = model.transform(scaler.transform(targets.withColumn("raw", raw))).withColumn("score", vector_to_array("probability")[1])
+    out = scaler.transform(targets.withColumn("raw", raw)).withColumn("score", logistic(vector_to_array("features"), model))
     return out.select(*targets.columns, "score", (F.col("score") >= limit).cast("int").alias("prediction"))
 
 

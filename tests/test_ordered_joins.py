@@ -65,7 +65,10 @@ def test_subtotals(spark):
     assert got == {(0, "x", "p"): 1, (0, "x", "q"): 2, (0, "y", "p"): 4, (0, None, "p"): 8, (1, "x", None): 3, (1, "y", None): 4, (1, None, None): 8, (2, None, "p"): 13, (2, None, "q"): 2, (3, None, None): 15}
 
 
-def test_attribute_attack(spark):
+def test_attribute_attack(spark, tmp_path):
+    from murmura.sources import files
+
+    files.write_counted(spark.range(5), lambda df: df.write.parquet(f"file://{tmp_path}/seen"))  # a session that has observed counts can't be sent to tasks
     r = np.random.default_rng(7)
     rows = spark.createDataFrame([(i, i % 2, [float(x) for x in (i % 2) * 4 + r.normal(0, 0.15, 2)]) for i in range(40)], "row_id long, label int, vec array<double>")
     scored = A.attack(rows, 4, 2028, 20)

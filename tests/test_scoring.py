@@ -59,7 +59,10 @@ def test_fused_score_takes_a_classifiers_share(spark):
     assert got == pytest.approx([0.28, 0.35 * 0.12, 0.35 * 0.05, 1.0, 0.65 * 0.35 + 0.35 * 0.8])  # alone; capped; under the cap; direct identifier; rule of 0.35 isn't capped
 
 
-def test_classifier(spark):
+def test_classifier(spark, tmp_path):
+    from murmura.sources import files
+
+    files.write_counted(spark.range(5), lambda df: df.write.parquet(f"file://{tmp_path}/seen"))
     docs = [("common public words about weather and history",)] * 12 + [("invoice amount due 500 dollars payable account",)] * 12 + [("write to jane@corp.com about her private phone",)] * 12 + [("内部资料 project roadmap confidential",)] * 12
     rows = spark.createDataFrame(docs, "text string")
     model = K.TermClassifier.fit(rows)
