@@ -143,7 +143,7 @@ def manifest(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     tree = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # null comes first
     leaves = docs.select("doc_id", tree.alias("tree"), leaf_of(F.col("text")).alias("digest"), leaf_of(cut).alias("now"), F.monotonically_increasing_id().alias("tie"))
     order = [F.col("tree"), F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("tie")]
-    placed = numbered(materialize(leaves, "leaves"), order, "no", ("tree",)).withColumn("no", F.col("no") - 1)
+    placed = numbered(materialize(leaves, "leaves"), order, "no", ("tree",), written=True).withColumn("no", F.col("no") - 1)
     kept = placed.select("tree", "no", "digest", F.col("doc_id").cast("string").alias("doc_id"), F.col("digest").alias("leaf"), "now")
     tiers = climb(kept, ("doc_id", "leaf", "now"), height)
     subroots = materialize(tiers[-1].where("no = 0").select("tree", F.col("block_digest").alias("digest")), "subroots")

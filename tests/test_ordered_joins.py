@@ -101,3 +101,27 @@ def test_prompts(spark):
     listed = "📄【a.txt#chunk-3】\n" + "x" * 1000 + "...\n\n📄【b.txt#chunk-0】\nshort..."
     assert f"AI Identity/Persona\nI am.\n\n【知识库检索结果】\n{listed}\n\n" in got[1] and "用户的问题：why?" in got[1] and got[1].startswith("你是一名") and got[1].endswith("回答：")
     assert "【知识库检索结果】\n\n\n请遵守" in got[2]
+
+
+def test_running_sums_work_out_their_rows_once(spark):
+    from murmura.operators import ordered
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def noted(x):
+        seen.add(1)
+        return x
+
+    n = ordered.SMALL_ROWS + 2000
+    out = ordered.numbered(spark.range(n).select(noted("id").alias("id")), [F.col("id").desc()], "no")
+    assert out.agg(F.sum((F.col("id") + F.col("no") == n).cast("int"))).first()[0] == n and seen.value == n
+
+
+def test_resamples_are_drawn_once(spark):
+    from murmura.operators import security as X
+
+    rows = spark.range(50).selectExpr("id", "id % 2 AS label", "id / 50D AS score")
+    drawn = X._drawn(rows, "id", 20, 7)
+    assert drawn._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    assert drawn.rdd.getNumPartitions() > 1 and {r.b for r in drawn.collect()} == set(range(20))
