@@ -125,3 +125,11 @@ def test_resamples_are_drawn_once(spark):
     drawn = X._drawn(rows, "id", 20, 7)
     assert drawn._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
     assert drawn.rdd.getNumPartitions() > 1 and {r.b for r in drawn.collect()} == set(range(20))
+
+
+def test_terms_of_a_query_are_sought_once(spark):
+    rows = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "to be"), (3, None)], "doc_id long, content string")
+    asked = rows.select("doc_id", C.query_text(F.col("content"), F.lit("7"), F.col("doc_id").cast("string")).alias("query"))
+    assert asked._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    found = {r.doc_id: r["query"] for r in asked.collect()}
+    assert set(found[1].split()) == {"alpha", "beta", "gamma", "delta"} and found[2] == "to be" and found[3] == C.TOPIC
