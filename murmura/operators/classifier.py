@@ -9,6 +9,8 @@ a row (no number), and for all texts if there are fewer than two kinds to learn.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from murmura.functions import sensitivity as S
 from murmura.operators import chunking as C
-from murmura.session import forget, scratch_folder
+from murmura.session import forget, materialize_at, scratch_folder
 
 KINDS = ("public", "personal", "financial", "corporate")
 FEATURES = 1 << 12
@@ -26,7 +28,7 @@ FEATURES = 1 << 12
 
 def kind_of(text: Column) -> Column:
     """The number of a text's kind by the rules: the first of the sensitive ones that it shows."""
-    has = lambda *names: F.greatest(*[text.rlike(S.IDENTIFIERS.get(n, S.KEYWORDS.get(n, S.HEURISTICS.get(n)))) for n in names])
+    has = lambda *names: reduce(or_, [S.shows(text, n) for n in names])
     personal, financial, corporate = has("ID", "Phone", "Email", "PersonalStrong", "PersonalWeak"), has("Bank", "Money", "Finance"), has("CorporateStrong", "CorporateWeak")
     return F.when(personal, 1.0).when(financial, 2.0).when(corporate, 3.0).otherwise(0.0)
 
@@ -54,9 +56,12 @@ class TermClassifier:
     def fit(cls, rows: DataFrame, text_col: str = "text", kind: Column | None = None, rounds: int = 30) -> TermClassifier:
         """kind: a number of KINDS, the rules' by default."""
         rows = rows.where(F.col(text_col).isNotNull()).withColumn("__kind", kind_of(F.col(text_col)) if kind is None else kind)
+        rows, known = materialize_at(_features(rows, text_col).select("__kind", "__features"), "features")  # texts are read once
         if rows.select("__kind").distinct().count() < 2:
+            forget(rows.sparkSession, known)
             return cls(None)
-        model = LogisticRegression(featuresCol="__features", labelCol="__kind", family="multinomial", regParam=0.01, maxIter=rounds).fit(_features(rows, text_col))
+        model = LogisticRegression(featuresCol="__features", labelCol="__kind", family="multinomial", regParam=0.01, maxIter=rounds).fit(rows)
+        forget(rows.sparkSession, known)
         # read back, as the summary of its training can't be sent to tasks once the session has observed counts
         path = scratch_folder(rows.sparkSession, "classifier")
         model.write().save(path)

@@ -142,3 +142,25 @@ def test_schemes_are_checked_and_refined(spark):
     assert len(rows) == 7 and rows["full_scan", 8].retrieval_exact and rows["index", 8].recall_at_5 == pytest.approx(1) and rows["filter_refine", 2].retrieval_candidates == 20
     with pytest.raises(ValueError):
         X.retrieve(schemes[0], 0, [1], 1)
+
+
+def test_the_classifier_reads_its_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(x):
+        seen.add(1)
+        return x
+
+    texts = ["plain words about weather", "write to someone@example.com today", "it costs 300 dollars there"] * 20
+    rows = spark.createDataFrame([(t,) for t in texts], "raw string").select(noted("raw").alias("text"))
+    assert K.TermClassifier.fit(rows, rounds=3).model is not None and seen.value <= 2 * len(texts)  # its features and the filter on null texts
+
+
+def test_attack_queries_are_made_in_one_pass(spark):
+    from murmura.plans import experiment_queries as Q
+
+    rows = [(1, "alpha beta gamma delta someone@example.com", True), (2, "alpha beta gamma delta", False), (20, "alpha beta gamma delta", False), (40, "alpha beta", False), (60, None, False)]
+    found = {r.doc_id: r for r in Q._asked(spark.createDataFrame(rows, "doc_id long, text string, hot boolean"), ("email", "url")).collect()}
+    assert {i for i, r in found.items() if r.asked is not None} == {1, 20}
+    assert set(found[1].asked) == set(found[20].asked) == set(found[2].buckets) and len(found[1].buckets) > 4
