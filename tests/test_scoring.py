@@ -164,3 +164,9 @@ def test_attack_queries_are_made_in_one_pass(spark):
     found = {r.doc_id: r for r in Q._asked(spark.createDataFrame(rows, "doc_id long, text string, hot boolean"), ("email", "url")).collect()}
     assert {i for i, r in found.items() if r.asked is not None} == {1, 20}
     assert set(found[1].asked) == set(found[20].asked) == set(found[2].buckets) and len(found[1].buckets) > 4
+
+
+def test_a_cell_of_the_search_grid_is_small(spark):
+    from murmura.operators import retrieval as R
+
+    assert (R.BLOCK_ROWS + R.TILE_ROWS) * 64 * 8 <= 50_331_648  # bytes of one task's two tables of doubles
