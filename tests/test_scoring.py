@@ -170,3 +170,30 @@ def test_a_cell_of_the_search_grid_is_small(spark):
     from murmura.operators import retrieval as R
 
     assert (R.BLOCK_ROWS + R.TILE_ROWS) * 64 * 8 <= 50_331_648  # bytes of one task's two tables of doubles
+
+
+def test_a_vectors_norm_is_worked_out_once(spark):
+    import time
+
+    from murmura.functions import vector as V
+
+    rows = spark.range(16).select(F.transform(F.sequence(F.lit(1), F.lit(8000)), lambda x: x * (F.col("id") + 1.5)).alias("v"))
+    start = time.perf_counter()
+    found = rows.select(V.norm(V.normalize(F.col("v"))).alias("n"), V.norm(V.clip_norm(F.col("v"), 2.0)).alias("c")).collect()
+    assert time.perf_counter() - start < 10 and [tuple(r) for r in found] == [pytest.approx((1.0, 2.0))] * 16
+
+
+def test_search_against_all_scores_in_double_precision():
+    from murmura.operators import retrieval as R
+
+    draws = np.random.default_rng(3)
+    for queries, rows, width, k in ((1, 1, 3, 2), (513, 1025, 8, 3), (600, 3000, 64, 10), (5, 31, 1, 10)):
+        q, c = draws.normal(size=(queries, width)), draws.normal(size=(rows, width))[draws.integers(0, rows, rows)]
+        c[: rows // 2] = c[0]
+        ids = draws.permutation(3 * rows)[:rows]
+        for measure in R.MEASURES:
+            kept = R._first_copies(c, ids, k)
+            assert (c[kept] == c[0]).all(1).sum() == min(k, (c == c[0]).all(1).sum())
+            got = R._nearest(q, c[kept], ids[kept], k, measure)
+            for a, b in zip(got[:2], R._nearest_plain(q, c, ids, k, measure)[:2]):
+                assert (a == b).all(), (queries, rows, measure)
