@@ -133,3 +133,38 @@ def test_terms_of_a_query_are_sought_once(spark):
     assert asked._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
     found = {r.doc_id: r["query"] for r in asked.collect()}
     assert set(found[1].split()) == {"alpha", "beta", "gamma", "delta"} and found[2] == "to be" and found[3] == C.TOPIC
+
+
+def test_variants_are_drawn_once(spark):
+    from murmura.operators import experiments as E
+    from murmura.plans import experiment_queries as Q
+
+    docs = spark.createDataFrame([(i, [float(i % 7 - 3), float(i % 5), 0.5]) for i in range(40)], "doc_id long, vec array<double>")
+    sigmas = {"none": F.lit(0.0), "some": F.lit(0.3), "own": F.col("doc_id") * 0.01}
+    shown = lambda df: sorted((r.variant, r.doc_id, tuple(r.vec), tuple(r.ref), r.nsr) for r in df.collect())
+    together = E.noised_all(docs, sigmas)
+    assert shown(together) == shown(E.union([E.noised(docs, n, s) for n, s in sigmas.items()]))
+    assert together._jdf.queryExecution().optimizedPlan().toString().count("gaussians(") == 1
+    assert Q._by_scale(docs)[0].count() == 40 * len(Q.SCALES)
+
+
+def test_pair_sums_against_all_pairs(spark):
+    import numpy as np
+
+    from murmura.operators import retrieval as R
+
+    draws = np.random.default_rng(5)
+    a = draws.normal(size=(1100, 8))
+    moved = {"near": a + 0.01 * draws.normal(size=a.shape), "far": a + draws.normal(size=a.shape), "same": a}
+    rows = [(n, i, [float(x) for x in b[i]], [float(x) for x in a[i]]) for n, b in moved.items() for i in range(len(a))]
+    variants = spark.createDataFrame(rows, "variant string, doc_id long, vec array<double>, ref array<double>")
+    queries = spark.createDataFrame([(i, [float(x) for x in a[i]]) for i in range(0, 1100, 2)], "query_id long, vec array<double>")
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = R.pair_sums(queries, variants, list(moved)).collect()
+    assert len(found) == 3 * 550
+    for n, b in moved.items():
+        s, t = (np.round(unit(a[::2]) @ unit(x).T, 9) for x in (a, b))
+        want = np.stack([x.sum(1) for x in (s, t, s * s, t * t, s * t, abs(s - t))] + [abs(s - t).max(1)], 1)
+        for r in found:
+            if r.variant == n:
+                assert r.n == 1100 and np.allclose(tuple(r)[3:], want[r.query_id // 2], atol=1e-6)
