@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -22,21 +25,27 @@ def attack(rows: DataFrame, folds: int = 5, seed: int = 2028, rounds: int = 100)
     """
     if folds < 2:
         raise ValueError("at least two folds are needed")
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if min(sizes.get(0, 0), sizes.get(1, 0)) < folds:
-        raise ValueError("each class needs as many rows as there are folds")
     dealt = X.stratified_folds(rows.select("row_id", "label", array_to_vector(F.col("vec").cast("array<double>")).alias("raw")), "row_id", "label", folds, seed)
-    dealt, out = materialize(dealt.select("row_id", "label", "raw", "fold"), "folds"), None
-    for fold in range(folds):
+    dealt = materialize(dealt.select("row_id", "label", "raw", "fold"), "folds")
+    sizes = {(r["fold"], r["label"]): r["count"] for r in dealt.groupBy("fold", "label").count().collect()}  # two rows a fold
+    whole = [sum(n for (_, own), n in sizes.items() if own == label) for label in (0, 1)]
+    if min(whole) < folds:
+        raise ValueError("each class needs as many rows as there are folds")
+
+    def scored(fold: int) -> DataFrame:
         train = dealt.where(F.col("fold") != fold)
         scaler = StandardScaler(withMean=True, inputCol="raw", outputCol="features").fit(train)
-        n = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
-        total = sum(n.values())
-        weight = F.when(F.col("label") == 1, total / (2 * n[1])).otherwise(total / (2 * n[0]))
-        model = LogisticRegression(weightCol="weight", regParam=1 / total, maxIter=rounds).fit(scaler.transform(train).withColumn("weight", weight))
+        n = [whole[label] - sizes.get((fold, label), 0) for label in (0, 1)]
+        weight = F.when(F.col("label") == 1, sum(n) / (2 * n[1])).otherwise(sum(n) / (2 * n[0]))
+        model = LogisticRegression(weightCol="weight", regParam=1 / sum(n), maxIter=rounds).fit(scaler.transform(train).withColumn("weight", weight))
         part = scaler.transform(dealt.where(F.col("fold") == fold)).withColumn("score", X.logistic(vector_to_array("features"), model))
-        part = part.select("row_id", "fold", "label", "score", (F.col("score") > 0.5).cast("int").alias("prediction"))
-        out = part if out is None else out.unionByName(part)
+        return part.select("row_id", "fold", "label", "score", (F.col("score") > 0.5).cast("int").alias("prediction"))
+
+    with ThreadPoolExecutor(folds) as pool:  # the folds' fits don't wait for each other
+        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(scored), range(folds)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return materialize(out, "attack")
 
 

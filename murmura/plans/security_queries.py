@@ -62,6 +62,7 @@ def sec_attribute(spark, sf):
     """Whether vectors tell that a document holds an identifier: a row for raw and for noised vectors."""
     ship(spark)
     marked = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), (F.size(sensitivity.entity_types(F.col("text"))) > 0).cast("int").alias("label"))
+    marked = materialize(marked, "marked")  # texts are read once
     docs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vec"))
     out = None
     for name, sigma in (("raw", 0.0), ("noised", 0.1 / 8)):

@@ -168,3 +168,25 @@ def test_pair_sums_against_all_pairs(spark):
         for r in found:
             if r.variant == n:
                 assert r.n == 1100 and np.allclose(tuple(r)[3:], want[r.query_id // 2], atol=1e-6)
+
+
+def test_an_attack_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def noted(i):
+        seen.add(1)
+        return [float(i % 7), float(i % 5)]
+
+    rows = spark.range(60).select(F.col("id").alias("row_id"), (F.col("id") % 3 == 0).cast("int").alias("label"), noted("id").alias("vec"))
+    assert A.attack(rows, 3, 2028, 5).count() == 60 and seen.value <= 60
+
+
+def test_kinds_of_entities_are_those_of_their_patterns(spark):
+    from murmura.functions import sensitivity as S
+
+    texts = ["a@b.com", "é@b.com", "@", "a@b", "see HTTP://x.y", "://x", "wWw.x.y", "www", "ww.w.x", "call 123 4567", "555-1234-5678", "12-3456", "123.4567", "+1 (20) 300-4000", "1234567", "", None, "a@b.com www.x.y 123-4567"]
+    t = F.col("t")
+    plain = F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(k)) for k, p in S.ENTITIES.items()]))
+    found = spark.createDataFrame([(x,) for x in texts], "t string").select("t", S.entity_types(t).alias("a"), plain.alias("b")).collect()
+    assert all(r.a == r.b for r in found) and {len(r.a) for r in found} == {0, 1, 3}
