@@ -173,12 +173,12 @@ def test_pair_sums_against_all_pairs(spark):
 def test_an_attack_reads_its_rows_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
-    @F.udf("array<double>")
+    @F.udf("int")
     def noted(i):
         seen.add(1)
-        return [float(i % 7), float(i % 5)]
+        return int(i % 3 == 0)
 
-    rows = spark.range(60).select(F.col("id").alias("row_id"), (F.col("id") % 3 == 0).cast("int").alias("label"), noted("id").alias("vec"))
+    rows = spark.range(60).select(F.col("id").alias("row_id"), noted("id").alias("label"), F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double")).alias("vec"))
     assert A.attack(rows, 3, 2028, 5).count() == 60 and seen.value <= 60
 
 
