@@ -15,10 +15,11 @@ with a probability close to the Jaccard similarity.
    no link; otherwise the full sets decide, with whole numbers. Members already connected are
    never compared, so a large group of copies costs about one comparison a member, not all pairs.
 4. A group of several blocks is settled within its blocks; then one member of each component found so
-   far meets those of the others, again in blocks, as long as that halves their number. At last members
-   outside the group's largest component meet all members of like size in all blocks. No pair that could
-   connect two components is left out. The last step is quadratic in the members left over; among near
-   copies of one text there are none or few.
+   far meets those of the others, again in blocks, as long as that halves their number. At last the
+   members of each bucket that still holds several components meet, in blocks if they are many: those
+   outside the bucket's largest component meet all. Large groups are mostly chains of unlike texts, so
+   their buckets are far smaller than they are, and no pair of a bucket that could connect two
+   components is left out.
 
 At similarity 0.8 a pair misses all of the 40 bands with a probability of about 4e-6.
 
@@ -50,8 +51,8 @@ BASE, RATE = 1.1, 20.0
 MARGIN = 15.0
 #: Members and shingles of a block.
 BLOCK_DOCS, BLOCK_SHINGLES = 1500, 3_000_000
-#: Rows of a side that is sent to all tasks: of some 400 bytes each, and of two numbers; beyond, tables are joined by a shuffle.
-_BROADCAST_ROWS, _BROADCAST_PAIRS = 100_000, 1_000_000
+#: Rows of two numbers that are sent to all tasks; beyond, tables are joined by a shuffle.
+_BROADCAST_ROWS, _BROADCAST_PAIRS = 65_536, 16_384
 _WORDS = 60_000
 
 
@@ -136,10 +137,26 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
     return float(_GRID[out[0].argmax()])
 
 
+@lru_cache(maxsize=8)
+def _least_equal(percent: int) -> int:
+    """Of so many equal registers sets of that similarity have fewer with a probability under exp(-2 MARGIN), by Chernoff's bound."""
+    p = min(max(percent / 100, 1e-9), 1 - 1e-9)
+    for e in range(int(REGISTERS * p), 0, -1):
+        x = e / REGISTERS
+        if REGISTERS * (x * math.log(x / p) + (1 - x) * math.log((1 - x) / (1 - p))) > 2 * MARGIN:
+            return e
+    return 0
+
+
 def _possible(x: np.ndarray, others: np.ndarray, n: int, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the others may be similar enough."""
-    out = _log_likelihood((x > others).sum(1), (x < others).sum(1), n, sizes)
-    return out[:, _GRID >= percent / 100 - 0.011].max(1) >= out.max(1) - MARGIN
+    """Which of the others may be similar enough; the likelihood is worked out only where enough registers are equal."""
+    may = np.count_nonzero(x == others, axis=1) >= _least_equal(percent)
+    some = np.flatnonzero(may)
+    if len(some):
+        near = others[some]
+        out = _log_likelihood(np.count_nonzero(x > near, axis=1), np.count_nonzero(x < near, axis=1), n, sizes[some])
+        may[some] = out[:, _GRID >= percent / 100 - 0.011].max(1) >= out.max(1) - MARGIN
+    return may
 
 
 def _shared(x: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -241,14 +258,18 @@ def _node(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
+def _bands() -> Column:
+    """The buckets of a sketch."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * ROWS + 1, F.lit(ROWS))))
+
+
 def candidate_edges(classes: DataFrame) -> DataFrame:
     """(a, b): each class with the first class of each of its buckets, by 64-bit hashes of their nodes.
 
     Nearly all buckets hold one class: those that hold several are found first, by sums of fixed width,
     and only their rows are joined. Classes whose hashes collide share a group, where full sets decide.
     """
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * ROWS + 1, F.lit(ROWS))))
-    in_bands = classes.select(F.xxhash64("node").alias("k"), F.explode(band).alias("bucket"))
+    in_bands = classes.select(F.xxhash64("node").alias("k"), F.explode(_bands()).alias("bucket"))
     several = in_bands.groupBy("bucket").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first <> last").drop("last")
     several = materialize(several, "buckets")
     small = several.count() <= _BROADCAST_PAIRS
@@ -288,8 +309,11 @@ def _settle(docs: DataFrame, tasks: DataFrame, words: int, percent: int) -> Data
 
     texts = docs.select(F.col("doc_id").alias("t_id"), F.col("text").cast("string").alias("doc_text")).withColumn("t_hash", F.xxhash64("doc_text"))
     tasks = materialize(tasks.select("group_key", "node", "doc_id", "h", "sketch", "known"), "tasks")
-    small = tasks.count() <= _BROADCAST_ROWS
-    found = texts.join(F.broadcast(tasks) if small else tasks, F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_hash") == F.col("h")))
+    same = F.col("t_id").eqNullSafe(F.col("doc_id")) & (F.col("t_hash") == F.col("h"))
+    asked = materialize(tasks.select("doc_id", "h").distinct(), "asked")
+    if asked.count() <= _BROADCAST_ROWS:  # ids and hashes only, so that other texts aren't shuffled
+        texts = texts.join(F.broadcast(asked), same, "left_semi")
+    found = texts.join(tasks, same)
     ordered = found.select("group_key", "node", "doc_text", "sketch", "known").repartition("group_key").sortWithinPartitions("group_key", "node")
     return ordered.mapInPandas(run, "a binary, b binary")
 
@@ -355,22 +379,32 @@ def _across(docs: DataFrame, known: DataFrame, words: int, percent: int) -> Data
         known, last = _relabelled(known, _settle(docs, parts.withColumn("group_key", _key("part")), words, percent)), left
     if not left:
         return known
-    counts = known.where("blocks > 1").groupBy("grp", "known").agg(F.count(F.lit(1)).alias("n_known"))
-    most = counts.groupBy("grp").agg(F.max_by("known", F.struct("n_known", "known")).alias("most"))
-    # sets may be similar enough only if their sizes' classes are neighbours or the same
-    size_class = F.floor(F.log(100 / percent, "n") + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
-    large = materialize(known.join(most, "grp").withColumn("size_class", size_class), "known")
-    rest = large.where("known <> most")
-    n_rest = rest.groupBy("grp", "size_class").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("parts"))
-    columns = ["grp", "node", "doc_id", "h", "sketch", "known", "size_class"]
-    near = large.select("grp", "node", "doc_id", "h", "sketch", "known", "block", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])).alias("size_class"))
-    all_parts = near.join(n_rest, ["grp", "size_class"]).select(*columns, "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    own_parts = rest.join(n_rest, ["grp", "size_class"]).select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash(F.hash("node")), F.col("parts")).alias("part"))
-    tasks = all_parts.unionByName(own_parts).withColumn("group_key", _key("block", "size_class", "part"))
-    names = components(_settle(docs, tasks, words, percent))
+    names = components(_settle(docs, _bucket_tasks(known.where("blocks > 1")), words, percent))
     return _relabelled(known, names.select(F.col("k").alias("a"), F.col("root").alias("b")))
 
 
+def _bucket_tasks(large: DataFrame) -> DataFrame:
+    """Tasks in which the members of each bucket of several components meet; of buckets with the same members one does."""
+    in_buckets = materialize(large.select("node", "known", "n", F.explode(_bands()).alias("bucket")), "in-buckets")
+    marks = [F.expr(f"bit_xor(xxhash64(node, {i}))").alias(f"mark{i}") for i in (0, 1)]
+    counts = in_buckets.groupBy("bucket", "known").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), *marks)
+    order = F.struct("members", "known")
+    whole = counts.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("several"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles"), F.max_by("known", order).alias("most"),
+        F.max_by("members", order).alias("m"), F.max_by("shingles", order).alias("s"), *[F.bit_xor(f"mark{i}").alias(f"mark{i}") for i in (0, 1)],
+    ).where("several > 1")
+    needed = lambda docs, shingles: F.greatest(F.lit(1), F.ceil(F.greatest(docs / BLOCK_DOCS, shingles / BLOCK_SHINGLES))).cast("int")
+    blocks, parts = needed(F.col("members"), F.col("shingles")), needed(F.col("members") - F.col("m"), F.col("shingles") - F.col("s"))
+    once = whole.groupBy("mark0", "mark1", "members").agg(F.min(F.struct("bucket", "most", blocks.alias("blocks"), F.when(blocks == 1, 1).otherwise(parts).alias("parts"))).alias("b"))
+    met = in_buckets.select("node", "known", "bucket").join(materialize(once.select("b.*"), "met"), "bucket")
+    met = met.withColumns({"block": F.pmod(F.hash("node"), F.col("blocks")), "part": F.pmod(F.hash(F.hash("node")), F.col("parts"))})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cells = met.select("node", "bucket", "block", every("parts").alias("part"))
+    rest = met.where("blocks > 1 AND known <> most").select("node", "bucket", every("blocks").alias("block"), "part")
+    tasks = cells.unionByName(rest).join(large.select("node", "doc_id", "h", "sketch", "known"), "node")
+    return tasks.withColumn("group_key", F.concat_ws("/", *[F.col(c).cast("string") for c in ("bucket", "block", "part")]))
+
+
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with the document of the smallest id of each component; an id goes if none of its rows is kept."""
     found = near_duplicates(docs, words, percent)

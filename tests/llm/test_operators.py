@@ -512,6 +512,22 @@ def test_components(spark, block, monkeypatch):
     assert all(x.kept == (x.doc_id == x.component_id) for x in out)
 
 
+def test_a_chain_of_unlike_texts_is_settled_without_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", 7)
+    texts = [(i, " ".join(f"w{j}" for j in range(12 * i, 12 * i + 60))) for i in range(300)]  # neighbours share two thirds of their shingles or less
+    docs = documents(spark, texts)
+    classes = near_dup.sketch_rows(docs, 2).selectExpr("1 AS grp", "43 AS blocks", "pmod(hash(node), 43) AS block", "node", "doc_id", "h", "n_shingles AS n", "sketch", "node AS known")
+    read = []
+
+    def settle(_, tasks, *__):
+        read.append(tasks.count())
+        return spark.createDataFrame([], "a binary, b binary")
+
+    monkeypatch.setattr(near_dup, "_settle", settle)
+    assert near_dup._across(docs, near_dup.materialize(classes, "known"), 2, 80).count() == 300
+    assert max(read) <= 10 * 300  # 25,757 when all members met
+
+
 def test_sketches():
     a, b = np.arange(4000, dtype=np.uint64), np.arange(400, 4400, dtype=np.uint64)
     a, b = near_dup._mix(a), near_dup._mix(b)
