@@ -150,6 +150,7 @@ def test_rules_keep_large_ids_beside_null_ones(spark):
 def test_lines_to_drop_are_sent_to_all_tasks_only_while_the_driver_holds_them_with_ease(spark):
     rows = spark.range(492_422).selectExpr("id AS leaf", "id AS bucket")  # buckets of a table of 2 GB
     assert not line_dedup._held(rows, "many")[1] and line_dedup._held(rows.limit(10), "few")[1]
+    assert not line_dedup._held(rows.limit(119_104), "several")[1]  # of half a GB
 
 
 def test_rules_for_very_long_urls(spark):
